@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stepview.functions import paths
 from stepview.operators.prefix import prefix_join
 
 
@@ -31,21 +34,22 @@ def listed_requests(requests: DataFrame, listed: DataFrame) -> DataFrame:
     return requests.join(listed, keys, "left_semi")
 
 
-def read_logs(spark, roots: DataFrame, folders: list[str]) -> DataFrame:
-    """Whole text of the log files below ``folders`` as ``(source, rel_path, content)``.
+def read_logs(listed: DataFrame) -> DataFrame:
+    """Add ``content``, the whole text, to rows with the ``path`` of a log file.
 
-    ``folders`` are the sources' ``logs`` directories, ``roots(source,
-    directory)`` the registry. One row per file, read by the executors.
+    The executors open the paths, so these must lie on a folder they all see.
+    Spark's own text reader is not used as it leaves out names that start with
+    ``_`` or ``.``.
     """
-    read = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .text(folders)
-        .select(F.col("value").alias("content"), F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("_uri"))
-    )
-    path = F.regexp_replace("_uri", r"^file:/+", "/")
-    located = read.select("content", path.alias("path"))
-    below = located.path.startswith(F.concat(roots.directory, F.lit("/logs/")))
-    return located.join(roots, below).select(
-        "source", paths.relative_to(F.col("path"), F.col("directory")).alias("rel_path"), "content"
+    columns = listed.columns
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(len(batch)):
+                row = batch.iloc[i : i + 1]
+                with open(row["path"].iat[0], encoding="utf-8", errors="replace") as file:
+                    yield row.assign(content=file.read())
+
+    return listed.mapInPandas(read, T.StructType([*listed.schema.fields, T.StructField("content", T.StringType())])).select(
+        *columns, "content"
     )
