@@ -36,7 +36,7 @@ def freshness_status(base: Column, raw: Column, epochs: Column, readable: Column
 def freshness(caches: DataFrame) -> DataFrame:
     """``status`` for each row of ``caches(…, base_mtime, raw_mtime, epo_mtime)``."""
     status = freshness_status(F.col("base_mtime"), F.col("raw_mtime"), F.col("epo_mtime"))
-    return caches.drop("base_mtime", "raw_mtime", "epo_mtime").withColumn("status", status)
+    return caches.withColumn("status", status).drop("base_mtime", "raw_mtime", "epo_mtime")
 
 
 def caches(manifest: DataFrame) -> DataFrame:

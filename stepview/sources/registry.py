@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stepview.operators.ranking import materialize, rank
+
 SCHEMA = "name string, directory string"
 
 
@@ -62,3 +64,57 @@ def default_name(name, directory):
     last = F.substring_index(bare, "/", -1)
     given = F.when(name != "", name)
     return F.trim(F.coalesce(given, F.when(last != "", last), directory))
+
+
+def _placed(rows: DataFrame, blocks: DataFrame | None) -> DataFrame:
+    """Give each row the slot number ``k`` of its name, skipping the blocked ones."""
+    if blocks is None:
+        return rank(rows, ["name"], ["arrival"], "k")
+    match = (
+        (rows["name"] == blocks["name"])
+        & (rows["directory"] == blocks["holder"])
+        & (rows["arrival"] > blocks["since"])
+    )
+    fixed = rows.join(blocks, match).groupBy(*[rows[c] for c in rows.columns]).agg(F.min("k").alias("k"))
+    free = rank(rows.join(fixed, ["name", "directory"], "left_anti"), ["name"], ["arrival"], "_r")
+    # One block is added per round of the loop below, so the arrays stay short.
+    taken = blocks.groupBy("name").agg(F.sort_array(F.collect_set("k")).alias("_taken"))
+    shifted = F.transform(F.coalesce("_taken", F.array()), lambda k, i: k - i)
+    skipped = F.size(F.filter(shifted, lambda k: k <= F.col("_r")))
+    numbered = free.join(taken, "name", "left").select(*rows.columns, (F.col("_r") + skipped).alias("k"))
+    return numbered.unionByName(fixed)
+
+
+def unique_names(arrivals: DataFrame) -> DataFrame:
+    """Names made unique: ``(name, directory, unique_name)`` for ``arrivals(name, directory, arrival)``.
+
+    A name taken by another directory becomes ``name-2``, ``name-3``, …; the same
+    name and directory again make no new entry. ``arrival`` is a number
+    unique to a row. Numbering is by rank within a name. A numbered name
+    may also have been given as such (``x-2``): then the earlier arrival keeps it,
+    and the later one's name skips that number. These cases are settled one per
+    round and family of names, in order of arrival, until none is left.
+    """
+    rows = arrivals.groupBy("name", "directory").agg(F.min("arrival").alias("arrival"))
+    rows = materialize(rows, "arrivals")
+    blocks = None
+    while True:
+        slot = F.when(F.col("k") == 1, F.col("name")).otherwise(F.concat_ws("-", "name", "k"))
+        placed = materialize(_placed(rows, blocks).withColumn("unique_name", slot), "names")
+        entry = F.struct("arrival", "name", "k", "directory")
+        clashes = (
+            placed.groupBy("unique_name")
+            .agg(F.min(entry).alias("first"), F.max(entry).alias("last"))
+            .where("first.directory <> last.directory")
+            .select(
+                F.regexp_replace("unique_name", r"(-[1-9][0-9]*)+$", "").alias("family"),
+                F.struct("last.arrival", "last.name", "last.k", F.col("first.directory").alias("holder")).alias("clash"),
+            )
+            .groupBy("family")
+            .agg(F.min("clash").alias("clash"))
+            .select("clash.name", "clash.k", "clash.holder", F.col("clash.arrival").alias("since"))
+        )
+        clashes = materialize(clashes, "clashes")
+        if clashes.isEmpty():
+            return placed.select("name", "directory", "unique_name")
+        blocks = clashes if blocks is None else blocks.unionByName(clashes)

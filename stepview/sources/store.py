@@ -12,6 +12,7 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stepview.operators.freshness import pending
 from stepview.operators.ranking import materialize
@@ -55,7 +56,8 @@ def convert(recordings: DataFrame, blocks: DataFrame, path: str, clean: bool = F
 
     ``recordings`` are rows of ``RECORDING``, ``kind`` and ``mtime``; ``blocks`` their
     decoded signal. Returns ``RECORDING`` and ``status``: ``Caching`` or
-    ``Already cached``. ``clean`` does them all again.
+    ``Already cached``. ``clean`` does them all again and drops what their
+    partitions held before.
     """
     spark = recordings.sparkSession
     batch = uuid.uuid4().hex
@@ -63,16 +65,17 @@ def convert(recordings: DataFrame, blocks: DataFrame, path: str, clean: bool = F
     # Written out: the store changes below, and the report must not see that.
     todo = materialize(todo.select(*RECORDING, "kind", "mtime"), "todo")
     if not todo.isEmpty():
-        fresh = blocks.join(todo, RECORDING, "left_semi").withColumn("batch", F.lit(batch))
-        columns = [f.name for f in spark.createDataFrame([], SIGNAL).schema]
         # Ranges cut a source of any size into files of equal size, sorted so
         # that a window of one participant touches few row groups.
         order = ["source", "step_num", "participant", "step_dir", "start_sample", "ch_idx"]
         (
-            fresh.select(*columns)
+            blocks.join(todo, RECORDING, "left_semi")
+            .withColumn("batch", F.lit(batch))
+            .select(*T.StructType.fromDDL(SIGNAL).names)
             .repartitionByRange(*order)
             .sortWithinPartitions(*order)
-            .write.mode("append")
+            .write.mode("overwrite" if clean else "append")
+            .option("partitionOverwriteMode", "dynamic")
             .partitionBy("source", "step_num")
             .parquet(f"{path}/signal")
         )

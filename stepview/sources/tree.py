@@ -37,7 +37,7 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     seconds, rest = divmod(stat.st_mtime_ns // 1000, 1_000_000)
                     mtime = datetime.fromtimestamp(seconds, timezone.utc).replace(microsecond=rest)
                     rel_path = f"{rel}/{entry.name}" if rel else entry.name
-                    is_dir = entry.is_dir()
+                    is_dir = entry.is_dir(follow_symlinks=not rel)  # deeper links could be cycles
                     rows.append((source, entry.path, rel_path, is_dir, mtime, None if is_dir else stat.st_size))
                     if len(rows) == BATCH_ROWS:
                         yield pd.DataFrame(rows, columns=columns).astype({"size": "Int64"})
@@ -77,7 +77,7 @@ def manifest(sources: DataFrame, shallow: bool = False) -> DataFrame:
         if shallow:
             break
         # Steps are two levels deep; only the other two are walked to the bottom.
-        folders = level.where(F.col("is_dir") & ~paths.is_numbered(F.col("rel_path")))
+        folders = level.where(F.col("is_dir") & F.col("rel_path").rlike("^(logs|quality_control)/"))
     return described(found)
 
 
