@@ -20,6 +20,6 @@ def natural_key(text: Column) -> Column:
     def encode(run: Column) -> Column:
         digits = F.ltrim(run, F.lit("0"))
         number = F.concat(F.lit("\0"), F.lpad(F.length(digits).cast("string"), 5, "0"), digits)
-        return F.when(run.rlike("^[0-9]"), number).otherwise(run)
+        return F.when((run >= "0") & (run < ":"), number).otherwise(run)
 
     return F.array_join(F.transform(runs, encode), "")

@@ -30,8 +30,7 @@ def is_numbered(name: Column) -> Column:
 
 def step_number(name: Column) -> Column:
     """The number in front of the first ``_``; NULL if the name is no step name."""
-    digits = F.regexp_extract(name, r"^([0-9]+)", 1)
-    return F.when(is_numbered(name), digits.try_cast("bigint"))
+    return F.when(is_numbered(name), F.substring_index(name, "_", 1).try_cast("bigint"))
 
 
 def step_reject_reason(name: Column) -> Column:
@@ -61,7 +60,13 @@ def stem(name: Column) -> Column:
 
 
 def is_recording(name: Column) -> Column:
-    return name.endswith(RECORDING_SUFFIX) & (suffix(name) == RECORDING_SUFFIX)
+    """Is ``.set`` the suffix of ``name``? Plain string tests, for use on every file."""
+    return name.endswith(RECORDING_SUFFIX) & (F.ltrim(recording_stem(name), F.lit(".")) != "")
+
+
+def recording_stem(name: Column) -> Column:
+    """``stem`` of a name that is known to end in ``.set``."""
+    return F.substring(name, F.lit(1), F.length(name) - len(RECORDING_SUFFIX))
 
 
 def parts(rel_path: Column) -> Column:
@@ -74,7 +79,8 @@ def base_name(rel_path: Column) -> Column:
 
 def parent(rel_path: Column) -> Column:
     """Path without its last segment; ``''`` at the top level."""
-    return F.regexp_extract(rel_path, r"(?s)^(.*)/[^/]*$", 1)
+    size = F.length(rel_path) - F.length(base_name(rel_path)) - 1
+    return F.substring(rel_path, F.lit(1), F.greatest(size, F.lit(0)))
 
 
 def relative_to(path: Column, root: Column) -> Column:

@@ -19,18 +19,17 @@ PARTICIPANT = ["source", "participant"]
 
 def step_files(manifest: DataFrame) -> DataFrame:
     """Recordings directly inside a numbered first-level directory."""
-    parts = paths.parts(F.col("rel_path"))
-    step_dir, name = parts[0], F.element_at(parts, -1)
-    return manifest.where(
-        (F.size(parts) == 2)
-        & paths.step_number(step_dir).isNotNull()
-        & paths.is_recording(name)
-    ).select(
-        "source",
-        paths.stem(name).alias("participant"),
-        paths.step_number(step_dir).alias("step_num"),
-        step_dir.alias("step_dir"),
+    path = F.col("rel_path")
+    named = manifest.where(path.endswith(paths.RECORDING_SUFFIX)).select(
+        "source", paths.parent(path).alias("step_dir"), paths.base_name(path).alias("_name")
     )
+    # A deeper folder has a slash in it and thus no step number.
+    return named.where(paths.is_recording(F.col("_name")) & ~F.contains("step_dir", F.lit("/"))).select(
+        "source",
+        paths.recording_stem(F.col("_name")).alias("participant"),
+        paths.step_number(F.col("step_dir")).alias("step_num"),
+        "step_dir",
+    ).where("step_num is not null")
 
 
 def participants(files: DataFrame) -> DataFrame:

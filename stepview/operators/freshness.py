@@ -46,10 +46,10 @@ def caches(manifest: DataFrame) -> DataFrame:
     by (source, folder, stem) in one aggregation instead of two joins.
     """
     name, folder = F.col("name"), paths.parent(F.col("rel_path"))
-    numbered = (F.size(paths.parts(F.col("rel_path"))) == 2) & paths.step_number(folder).isNotNull()
+    numbered = paths.step_number(folder).isNotNull() & ~F.contains(folder, F.lit("/"))
     raw_stem = paths.copied_stem(name, paths.RAW_COPY_ENDING)
     epochs_stem = paths.copied_stem(name, paths.EPOCHS_COPY_ENDING)
-    own_stem = F.when(paths.is_recording(name), paths.stem(name))
+    own_stem = F.when(paths.is_recording(name), paths.recording_stem(name))
     role = (
         F.when(own_stem.isNotNull(), "base").when(raw_stem.isNotNull(), "raw").when(epochs_stem.isNotNull(), "epo")
     )

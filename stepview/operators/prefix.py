@@ -29,10 +29,11 @@ def prefix_join(
     ids = participants.select(*by, "participant").distinct()
     # At most one entry per id length.
     lengths = participants.agg(F.sort_array(F.collect_set(F.length("participant")))).scalar()
-    text = F.col(name)
-    fitting = F.filter(F.col("_lengths"), lambda n: n <= F.length(text))
-    prefixes = F.transform(fitting, lambda n: F.substring(text, F.lit(1), n))
-    expanded = names.withColumn("_lengths", lengths).select(*names.columns, F.explode(prefixes).alias("participant"))
+    expanded = (
+        names.select(*names.columns, F.explode(lengths).alias("_n"))
+        .where(F.col("_n") <= F.length(name))
+        .withColumn("participant", F.substring(name, F.lit(1), F.col("_n")))
+    )
     matched = expanded.join(ids, [*by, "participant"]).select(*names.columns, "participant")
     if not longest:
         return matched

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stepview.functions import paths
 from stepview.functions.natural import natural_key
 from stepview.operators.prefix import prefix_join
-from stepview.operators.ranking import rank
+from stepview.operators.ranking import materialize, rank
 
 ROOT = ["source", "participant", "root"]
 SET = [*ROOT, "set_name"]
@@ -27,8 +27,9 @@ def qc_files(manifest: DataFrame) -> DataFrame:
 
 
 def _reject_reason(rel_path: Column) -> Column:
-    parts = paths.parts(rel_path)
-    return F.when(F.size(parts) < 2, "too_shallow").when(~parts[1].startswith("set"), "outside_set")
+    return F.when(~F.contains(rel_path, F.lit("/")), "too_shallow").when(
+        ~rel_path.rlike("^[^/]*/set"), "outside_set"
+    )
 
 
 def qc_rejects(files: DataFrame) -> DataFrame:
@@ -51,26 +52,35 @@ def classified(files: DataFrame, participants: DataFrame, longest: bool = False)
     kept = files.where(_reject_reason(path).isNull()).select("source", "rel_path")
     named = kept.withColumn("name", paths.base_name(path))
     matched = prefix_join(named, participants, by=["source"], longest=longest)
-    name, parts = F.col("name"), paths.parts(path)
-    scalp, channels = name.rlike(paths.SCALP_PATTERN), name.rlike(paths.CHANNELS_PATTERN)
+    name, kind = F.col("name"), F.col("item_kind")
+    kinds = (
+        F.when(name.contains("-badChan-scalp") & name.rlike(paths.SCALP_PATTERN), "scalp")
+        .when(name.contains("-chs") & name.rlike(paths.CHANNELS_PATTERN), "chs")
+        .otherwise("rest")
+    )
 
     def from_channels(group: int) -> Column:
-        return F.when(~scalp & channels, F.regexp_extract(name, paths.CHANNELS_PATTERN, group))
-
-    stem = F.when(scalp, F.regexp_extract(name, paths.SCALP_PATTERN, 1)).otherwise(from_channels(1))
-    return matched.select(
-        "source",
-        "participant",
-        parts[0].alias("root"),
-        parts[1].alias("set_name"),
-        F.when(scalp, "scalp").when(channels, "chs").otherwise("rest").alias("item_kind"),
-        stem.alias("stem"),
-        from_channels(2).try_cast("bigint").alias("ch_start"),
-        from_channels(3).try_cast("bigint").alias("ch_end"),
-        "name",
-        "rel_path",
-        F.coalesce(stem, name).alias("bit"),
-        natural_key(path).alias("_nat"),
+        return F.when(kind == "chs", F.regexp_extract(name, paths.CHANNELS_PATTERN, group))
+
+    stem = F.when(kind == "scalp", F.regexp_extract(name, paths.SCALP_PATTERN, 1)).otherwise(from_channels(1))
+    # In steps, so that an expression used further up is not worked out again.
+    return (
+        matched.withColumn("item_kind", kinds)
+        .withColumn("stem", stem)
+        .select(
+            "source",
+            "participant",
+            F.substring_index("rel_path", "/", 1).alias("root"),
+            F.substring_index(F.substring_index("rel_path", "/", 2), "/", -1).alias("set_name"),
+            "item_kind",
+            "stem",
+            from_channels(2).try_cast("bigint").alias("ch_start"),
+            from_channels(3).try_cast("bigint").alias("ch_end"),
+            "name",
+            "rel_path",
+            F.coalesce("stem", "name").alias("bit"),
+            natural_key(path).alias("_nat"),
+        )
     )
 
 
@@ -101,17 +111,16 @@ def qc_tree(items: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
     keys = [*SET, "is_rest", "bit"]
     items = items.withColumn("is_rest", _is_rest())
     order = ["ch_start", "ch_end", "name", "rel_path"]
-    entry = F.struct(F.col("_pos").alias("pos"), *order)
-    ranges = rank(items.where("item_kind = 'chs'"), keys, order, "_pos")
-    others = items.where("item_kind <> 'chs'").withColumn("_pos", F.lit(None).cast("bigint"))
+    is_range = F.col("item_kind") == "chs"
+    # All kinds are ranked, not the ranges alone, so that ``items`` is worked out once.
+    ranked = rank(items, [*keys, "item_kind"], order, "_pos")
     return (
-        ranges.unionByName(others)
-        .withColumn("part", F.coalesce(F.floor((F.col("_pos") - 1) / list_rows), F.lit(0)).cast("bigint"))
+        ranked.withColumn("part", F.when(is_range, F.floor((F.col("_pos") - 1) / list_rows)).otherwise(0).cast("bigint"))
         .groupBy(*keys, "part")
         .agg(
             _last("scalp").alias("_scalp"),
             _last("rest").alias("_rest"),
-            F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), entry))).alias("chs"),
+            F.array_sort(F.collect_list(F.when(is_range, F.struct(*order)))).alias("chs"),
         )
         .select(
             *keys,
@@ -171,6 +180,7 @@ def qc_lookup(requests: DataFrame, items: DataFrame) -> DataFrame:
     (one row per image), ``not_found`` if both set and bit were given and
     nothing is there, ``empty`` or, without a root, ``unselected``.
     """
+    items = materialize(items, "items")  # used three times below
     per_set = qc_defaults(items)
     sets = first_sets(per_set).select(*ROOT, F.col("set_name").alias("_set"))
     bits = per_set.select(*SET, F.col("bit").alias("_bit"))

@@ -40,13 +40,14 @@ def person(number: str) -> Column:
 
 
 def step_files(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem")
-    return lines.select(
+    # Distinct before the texts are put together: the same rows, cheaper to compare.
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.lower("l_returnflag").alias("flag"))
+    return lines.distinct().select(
         site("l_orderkey").alias("source"),
         person("l_orderkey").alias("participant"),
         F.col("l_linenumber").cast("bigint").alias("step_num"),
-        F.concat(text("l_linenumber"), F.lit("_"), F.lower("l_returnflag")).alias("step_dir"),
-    ).distinct()
+        F.concat(text("l_linenumber"), F.lit("_"), "flag").alias("step_dir"),
+    )
 
 
 def step_manifest(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,19 +76,25 @@ def step_requests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def qc_files(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem")
-    who, low = person("l_suppkey"), F.col("l_quantity").cast("int")
-    folder = F.when(F.col("l_orderkey") % 97 == 0, "misc").otherwise(F.concat(F.lit("set"), text("l_linenumber")))
+    kind, line = F.col("l_partkey") % 3, F.col("l_linenumber")
+    # What a path is made of, so that distinct rows here are distinct paths.
+    pieces = table(spark, sf, "lineitem").select(
+        "l_suppkey",
+        F.lower("l_returnflag").alias("flag"),
+        F.when(F.col("l_orderkey") % 97 != 0, line).alias("set_no"),
+        kind.alias("kind"),
+        F.when(kind == 1, F.col("l_quantity").cast("int")).alias("low"),
+        F.when(kind == 2, line).alias("hist"),
+    )
+    who, low = person("l_suppkey"), F.col("low")
     name = (
-        F.when(F.col("l_partkey") % 3 == 0, F.concat(who, F.lit("-badChan-scalp.png")))
-        .when(
-            F.col("l_partkey") % 3 == 1,
-            F.concat(who, F.lit("-chs"), text(low), F.lit("-"), text(low + 31), F.lit(".png")),
-        )
-        .otherwise(F.concat(who, F.lit("-hist"), text("l_linenumber"), F.lit(".png")))
+        F.when(F.col("kind") == 0, F.concat(who, F.lit("-badChan-scalp.png")))
+        .when(F.col("kind") == 1, F.concat(who, F.lit("-chs"), text(low), F.lit("-"), text(low + 31), F.lit(".png")))
+        .otherwise(F.concat(who, F.lit("-hist"), text("hist"), F.lit(".png")))
     )
-    rel_path = F.concat(F.lit("peek_"), F.lower("l_returnflag"), F.lit("/"), folder, F.lit("/"), name)
-    return lines.select(site("l_suppkey").alias("source"), rel_path.alias("rel_path")).distinct()
+    folder = F.coalesce(F.concat(F.lit("set"), text("set_no")), F.lit("misc"))
+    rel_path = F.concat(F.lit("peek_"), "flag", F.lit("/"), folder, F.lit("/"), name)
+    return pieces.distinct().select(site("l_suppkey").alias("source"), rel_path.alias("rel_path"))
 
 
 def qc_participants(spark: SparkSession, sf: str) -> DataFrame:
