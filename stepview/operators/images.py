@@ -115,3 +115,12 @@ def encoded_images(images: DataFrame) -> DataFrame:
         F.col("image.data").alias("data"),
     )
     return trimmed(flat).select(F.col("key").alias("origin"), base64_text(F.col("png")).alias("encoded"))
+
+
+def located(encoded: DataFrame, files: DataFrame) -> DataFrame:
+    """``encoded`` with the ``source`` and ``rel_path`` of the ``files`` the images came from."""
+    # Origins are URIs: percent-encoded, with a scheme in front.
+    path = F.regexp_replace(F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+    return encoded.withColumn("path", path).join(files.select("source", "rel_path", "path"), "path").select(
+        "source", "rel_path", "encoded"
+    )
