@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from stepview.functions import paths
 from stepview.functions.natural import natural_key
 from stepview.operators.prefix import prefix_join
-from stepview.operators.ranking import rank
+from stepview.operators.ranking import materialize, rank
 
 PARTICIPANT = ["source", "participant"]
 
@@ -162,7 +162,9 @@ def step_lookup(requests: DataFrame, files: DataFrame, present: DataFrame | None
             *PARTICIPANT, "step_num", "step_dir", F.coalesce("_here", F.lit(False)).alias("present")
         )
     asked = requests.withColumn("step_num", paths.text_to_int(F.col("step_text")))
-    found = asked.join(resolved_steps(files), [*PARTICIPANT, "step_num"], "left")
+    # Written out so that AQE can split a step that is asked for very often.
+    resolved = materialize(resolved_steps(files), "resolved")
+    found = asked.join(resolved, [*PARTICIPANT, "step_num"], "left")
     exists = F.col("step_dir").isNotNull()
     has_prev = exists & F.col("prev_dir").isNotNull()
     overlay = wants_overlay(has_prev, F.col("overlay_text"))
@@ -187,6 +189,7 @@ def overview(people: DataFrame, files: DataFrame, qc: DataFrame, logs: DataFrame
 
     ``qc`` and ``logs`` have ``source, name, rel_path``.
     """
+    people = materialize(people.select(*PARTICIPANT).distinct(), "people")
     own_steps = files.join(people, PARTICIPANT, "left_semi").select(
         *PARTICIPANT, F.lit("step").alias("section"), F.col("step_dir").alias("item")
     )

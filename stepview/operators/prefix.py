@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepview.operators.ranking import materialize
+
 
 def prefix_join(
     names: DataFrame,
@@ -24,17 +26,19 @@ def prefix_join(
     The prefix predicate itself would plan as a nested loop. Instead each name
     is expanded to its prefixes of the lengths that participants have, and
     those are joined by equality. A participant with a large part of
-    all files is one skewed key against one row, which AQE splits.
+    all files is one skewed key against one row. AQE splits such a key, but
+    only where a shuffle is a direct input of the join; hence the ids are written
+    out once they are distinct.
     """
-    ids = participants.select(*by, "participant").distinct()
+    ids = materialize(participants.select(*by, "participant").distinct(), "ids")
     # At most one entry per id length.
-    lengths = participants.agg(F.sort_array(F.collect_set(F.length("participant")))).scalar()
+    lengths = ids.agg(F.sort_array(F.collect_set(F.length("participant")))).scalar()
     expanded = (
         names.select(*names.columns, F.explode(lengths).alias("_n"))
         .where(F.col("_n") <= F.length(name))
         .withColumn("participant", F.substring(name, F.lit(1), F.col("_n")))
     )
-    matched = expanded.join(ids, [*by, "participant"]).select(*names.columns, "participant")
+    matched = expanded.join(ids, [*by, "participant"], "left_semi").select(*names.columns, "participant")
     if not longest:
         return matched
     ranked = F.struct(F.length("participant").alias("n"), F.col("participant"))

@@ -136,8 +136,13 @@ def qc_defaults(items: DataFrame) -> DataFrame:
     """Each root's first set and the bit shown first in it.
 
     That bit is the first other image if there is one, else the first group.
-    Takes ``classified`` rows.
+    Takes ``classified`` rows. They are written out first: grouped as they come
+    from the prefix join, all sets of a participant would stay in one task.
     """
+    return _defaults(materialize(items, "items"))
+
+
+def _defaults(items: DataFrame) -> DataFrame:
     at = F.struct("_nat", "rel_path")
     per_set = items.groupBy(*SET).agg(
         F.min(at).alias("_first"),
@@ -156,21 +161,21 @@ def first_sets(per_set: DataFrame) -> DataFrame:
     )
 
 
-def shown_images(items: DataFrame) -> DataFrame:
-    """The images each bit shows: of scalp and other images only the last.
+def _bits(items: DataFrame) -> DataFrame:
+    """One row per bit: ``qc_type`` and the one image it shows besides ranges, if any.
 
     Where a group and another image share a bit, the group wins.
     """
-    per_bit = items.groupBy(*BIT).agg(
-        F.max(~_is_rest()).alias("_grouped"), _last("scalp").alias("_scalp"), _last("rest").alias("_rest")
+    grouped = F.col("_grouped")
+    return (
+        items.groupBy(*BIT)
+        .agg(F.max(~_is_rest()).alias("_grouped"), _last("scalp").alias("_scalp"), _last("rest").alias("_rest"))
+        .select(
+            *BIT,
+            F.when(grouped, "eeg").otherwise("image").alias("qc_type"),
+            F.when(grouped, F.col("_scalp.rel_path")).otherwise(F.col("_rest.rel_path")).alias("rel_path"),
+        )
     )
-    single = per_bit.select(
-        *BIT,
-        F.when(F.col("_grouped"), "eeg").otherwise("image").alias("qc_type"),
-        F.when(F.col("_grouped"), F.col("_scalp.rel_path")).otherwise(F.col("_rest.rel_path")).alias("rel_path"),
-    ).where("rel_path is not null")
-    ranges = items.where("item_kind = 'chs'").select(*BIT, F.lit("eeg").alias("qc_type"), "rel_path")
-    return single.unionByName(ranges)
 
 
 def qc_lookup(requests: DataFrame, items: DataFrame) -> DataFrame:
@@ -180,25 +185,36 @@ def qc_lookup(requests: DataFrame, items: DataFrame) -> DataFrame:
     (one row per image), ``not_found`` if both set and bit were given and
     nothing is there, ``empty`` or, without a root, ``unselected``.
     """
-    items = materialize(items, "items")  # used three times below
-    per_set = qc_defaults(items)
+    # Written out as they are used more than once, and so that the lookups below
+    # are joins of two shuffles, in which AQE can split a much requested key.
+    items = materialize(items, "items")
+    per_set = materialize(_defaults(items), "defaults")
+    bits = materialize(_bits(items), "bits")
     sets = first_sets(per_set).select(*ROOT, F.col("set_name").alias("_set"))
-    bits = per_set.select(*SET, F.col("bit").alias("_bit"))
+    first = per_set.select(*SET, F.col("bit").alias("_bit"))
     both = F.col("set_name").isNotNull() & F.col("bit").isNotNull()
-    asked = (
-        requests.withColumn("_both", both)
-        .join(sets, ROOT, "left")
-        .withColumn("set_name", F.coalesce("set_name", "_set"))
-        .join(bits, SET, "left")
-        .withColumn("bit", F.coalesce("bit", "_bit"))
-    )
     status = (
         F.when(F.coalesce("root", F.lit("")) == "", "unselected")
         .when(F.col("qc_type").isNotNull(), F.col("qc_type"))
         .when(F.col("_both"), "not_found")
         .otherwise("empty")
     )
-    return asked.join(shown_images(items), BIT, "left").select("request", status.alias("status"), "rel_path")
+    asked = (
+        requests.withColumn("_both", both)
+        .join(materialize(sets, "sets"), ROOT, "left")
+        .withColumn("set_name", F.coalesce("set_name", "_set"))
+        .join(first, SET, "left")
+        .withColumn("bit", F.coalesce("bit", "_bit"))
+        .join(bits, BIT, "left")
+        .select("request", *BIT, status.alias("status"), "qc_type", "rel_path")
+    )
+    asked = materialize(asked, "asked")
+    # A bit without ranges has its one row already, one with ranges may have one more.
+    single = asked.where("rel_path is not null or qc_type is null").select("request", "status", "rel_path")
+    ranges = items.where("item_kind = 'chs'").select(*BIT, F.col("rel_path").alias("_range"))
+    # An inner join can be split on both sides, were a bit's images many.
+    several = asked.where("qc_type = 'eeg'").join(ranges, BIT).select("request", "status", F.col("_range").alias("rel_path"))
+    return single.unionByName(several)
 
 
 def with_encoded(items: DataFrame, encoded: DataFrame) -> DataFrame:

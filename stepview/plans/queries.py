@@ -99,7 +99,7 @@ def overview(spark, sf):
     )
     qc_named = b.qc_files(spark, sf).withColumn("name", paths.base_name(F.col("rel_path")))
     log_named = log.select(F.col("site").alias("source"), "name", "rel_path")
-    return catalog.overview(people.distinct(), files, qc_named, log_named)
+    return catalog.overview(people, files, qc_named, log_named)
 
 
 # ------------------------------------------------- natural order and prefixes
