@@ -20,6 +20,15 @@ RAW_COPY_ENDING = "-raw.fif"
 EPOCHS_COPY_ENDING = "-epo.fif"
 
 NUMBERED_PATTERN = r"^[0-9]+\s*(_|$)"
+# A step number fits into BIGINT: 18 digits at most, leading zeros aside.
+_STEP = r"^0*[0-9]{1,18}\s*"
+STEP_PATTERN = _STEP + r"(_|$)"
+# Files in a step directory, told by one pattern over the whole path so that a
+# scan evaluates it once per file: a recording (its name is more than a suffix)
+# and the hidden copy of one.
+_RECORDING = r"\.*[^./][^/]*\.set"
+RECORDING_PATH = _STEP + rf"(_[^/]*)?/{_RECORDING}$"
+RECORDING_OR_COPY_PATH = _STEP + rf"(_[^/]*)?/({_RECORDING}|\.[^/]+-(raw|epo)\.fif)$"
 INTEGER_PATTERN = r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$"
 
 
@@ -30,7 +39,7 @@ def is_numbered(name: Column) -> Column:
 
 def step_number(name: Column) -> Column:
     """The number in front of the first ``_``; NULL if the name is no step name."""
-    return F.when(is_numbered(name), F.substring_index(name, "_", 1).try_cast("bigint"))
+    return F.when(name.rlike(STEP_PATTERN), F.substring_index(name, "_", 1).try_cast("bigint"))
 
 
 def step_reject_reason(name: Column) -> Column:
@@ -97,10 +106,6 @@ def copy_path(folder: Column, recording_stem: Column, ending: str) -> Column:
     return F.when(folder == "", name).otherwise(F.concat(folder, F.lit("/"), name))
 
 
-def copied_stem(name: Column, ending: str) -> Column:
-    """Stem of the recording that the hidden file ``name`` is a copy of, else NULL."""
-    size = F.length(name) - len(ending) - 1
-    return F.when(
-        name.startswith(".") & name.endswith(ending) & (size > 0),
-        F.substring(name, F.lit(2), size),
-    )
+def copied_stem(name: Column) -> Column:
+    """Stem of the recording that ``name``, known to be a copy's, belongs to."""
+    return F.substring(name, F.lit(2), F.length(name) - len(RAW_COPY_ENDING) - 1)

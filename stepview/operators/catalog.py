@@ -20,16 +20,13 @@ PARTICIPANT = ["source", "participant"]
 def step_files(manifest: DataFrame) -> DataFrame:
     """Recordings directly inside a numbered first-level directory."""
     path = F.col("rel_path")
-    named = manifest.where(path.endswith(paths.RECORDING_SUFFIX)).select(
-        "source", paths.parent(path).alias("step_dir"), paths.base_name(path).alias("_name")
-    )
-    # A deeper folder has a slash in it and thus no step number.
-    return named.where(paths.is_recording(F.col("_name")) & ~F.contains("step_dir", F.lit("/"))).select(
+    step_dir = F.substring_index(path, "/", 1)
+    return manifest.where(path.rlike(paths.RECORDING_PATH)).select(
         "source",
-        paths.recording_stem(F.col("_name")).alias("participant"),
-        paths.step_number(F.col("step_dir")).alias("step_num"),
-        "step_dir",
-    ).where("step_num is not null")
+        paths.recording_stem(F.substring_index(path, "/", -1)).alias("participant"),
+        F.substring_index(step_dir, "_", 1).try_cast("bigint").alias("step_num"),
+        step_dir.alias("step_dir"),
+    )
 
 
 def participants(files: DataFrame) -> DataFrame:

@@ -45,24 +45,20 @@ def caches(manifest: DataFrame) -> DataFrame:
     A recording and its two copies are siblings, so they are brought together
     by (source, folder, stem) in one aggregation instead of two joins.
     """
-    name, folder = F.col("name"), paths.parent(F.col("rel_path"))
-    numbered = paths.step_number(folder).isNotNull() & ~F.contains(folder, F.lit("/"))
-    raw_stem = paths.copied_stem(name, paths.RAW_COPY_ENDING)
-    epochs_stem = paths.copied_stem(name, paths.EPOCHS_COPY_ENDING)
-    own_stem = F.when(paths.is_recording(name), paths.recording_stem(name))
-    role = (
-        F.when(own_stem.isNotNull(), "base").when(raw_stem.isNotNull(), "raw").when(epochs_stem.isNotNull(), "epo")
-    )
+    path = F.col("rel_path")
+    name = F.substring_index(path, "/", -1)
+    base, raw = name.endswith(paths.RECORDING_SUFFIX), name.endswith(paths.RAW_COPY_ENDING)
+    # The pattern has settled what each file is; its ending tells which.
+    stem = F.when(base, paths.recording_stem(name)).otherwise(paths.copied_stem(name))
     return (
-        manifest.where(numbered & ~F.col("is_dir"))
+        manifest.where(path.rlike(paths.RECORDING_OR_COPY_PATH) & ~F.col("is_dir"))
         .select(
             "source",
-            folder.alias("step_dir"),
-            F.coalesce(own_stem, raw_stem, epochs_stem).alias("participant"),
-            role.alias("_role"),
+            F.substring_index(path, "/", 1).alias("step_dir"),
+            stem.alias("participant"),
+            F.when(base, "base").when(raw, "raw").otherwise("epo").alias("_role"),
             "mtime",
         )
-        .where("_role is not null")
         .groupBy("source", "step_dir", "participant")
         .agg(*[F.max(F.when(F.col("_role") == r, F.col("mtime"))).alias(f"{r}_mtime") for r in ("base", "raw", "epo")])
         .where("base_mtime is not null")

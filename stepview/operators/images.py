@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepview.functions.labels import base64_text
@@ -117,10 +117,17 @@ def encoded_images(images: DataFrame) -> DataFrame:
     return trimmed(flat).select(F.col("key").alias("origin"), base64_text(F.col("png")).alias("encoded"))
 
 
+def _path_of(origin: Column) -> Column:
+    """File path of an origin, a URI: percent-encoded, with a scheme in front."""
+    return F.regexp_replace(F.url_decode(F.replace(origin, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+
+
+def with_path(images: DataFrame) -> DataFrame:
+    """Spark ``image`` rows with the ``path`` they were read from."""
+    return images.withColumn("path", _path_of(F.col("image.origin")))
+
+
 def located(encoded: DataFrame, files: DataFrame) -> DataFrame:
     """``encoded`` with the ``source`` and ``rel_path`` of the ``files`` the images came from."""
-    # Origins are URIs: percent-encoded, with a scheme in front.
-    path = F.regexp_replace(F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
-    return encoded.withColumn("path", path).join(files.select("source", "rel_path", "path"), "path").select(
-        "source", "rel_path", "encoded"
-    )
+    at = encoded.withColumn("path", _path_of(F.col("origin")))
+    return at.join(files.select("source", "rel_path", "path"), "path").select("source", "rel_path", "encoded")

@@ -42,6 +42,8 @@ def read_logs(listed: DataFrame) -> DataFrame:
     ``_`` or ``.``.
     """
     columns = listed.columns
+    # A split of a listing holds few bytes but many files: spread by count.
+    tasks = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -50,6 +52,5 @@ def read_logs(listed: DataFrame) -> DataFrame:
                 with open(row["path"].iat[0], encoding="utf-8", errors="replace") as file:
                     yield row.assign(content=file.read())
 
-    return listed.mapInPandas(read, T.StructType([*listed.schema.fields, T.StructField("content", T.StringType())])).select(
-        *columns, "content"
-    )
+    schema = T.StructType([*listed.schema.fields, T.StructField("content", T.StringType())])
+    return listed.repartition(tasks, "path").mapInPandas(read, schema).select(*columns, "content")

@@ -8,32 +8,41 @@ its group in front of it.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+@functools.cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a new one in local mode only."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return _local_dir()
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, columnar and prunable."""
-    path = f"{shared_dir(df.sparkSession)}/stepview-{tag}-{uuid.uuid4().hex}"
+    """Write ``df`` to the shared folder and read it back, columnar and prunable.
+
+    The table goes away with the session.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stepview-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _cut(
@@ -67,7 +76,7 @@ def _with_sums(chunked: DataFrame, sums: DataFrame, keys: Sequence[str], how: st
     named = sums.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], F.col("_chunk").alias("_at"), *extra)
     same = [chunked[k].eqNullSafe(named[f"_{i}"]) for i, k in enumerate(keys)]
     same.append(chunked["_chunk"] == named["_at"])
-    return chunked.join(named, reduce(Column.__and__, same), how).select(chunked["*"], *extra)
+    return chunked.join(named, functools.reduce(Column.__and__, same), how).select(chunked["*"], *extra)
 
 
 def running_total(

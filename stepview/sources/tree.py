@@ -48,9 +48,8 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _listed(folders: DataFrame) -> DataFrame:
     """One level below ``folders(source, path, rel_path)``, spread over all tasks."""
-    spread = folders.select("source", "path", "rel_path").repartition(
-        folders.sparkSession.sparkContext.defaultParallelism
-    )
+    tasks = int(folders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = folders.select("source", "path", "rel_path").repartition(tasks, "path")
     return materialize(spread.mapInPandas(_list_folders, ENTRY), "tree")
 
 

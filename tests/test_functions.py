@@ -32,6 +32,18 @@ def test_is_recording(spark):
     assert one_column(spark, ["..set"], paths.is_recording) == [False]
 
 
+def test_recording_paths(spark):
+    def wanted(path):
+        parts = path.split("/")
+        number = parts[0].split("_")[0]
+        name = PurePosixPath(parts[-1])
+        ok = len(parts) == 2 and re.fullmatch(r"[0-9]+\s*", number) is not None
+        return ok and name.suffix == ".set" and set(name.stem) != {"."} and int(number) < 10**18
+
+    values = [f"{d}/{n}" for d in ("1_a", "7", "8 _b", "12x_a", "_1", "9" * 19 + "_a", "0" * 30 + "4_a", "1_a/b") for n in NAMES + ["..set"]]
+    assert one_column(spark, values, lambda c: c.rlike(paths.RECORDING_PATH)) == [wanted(v) for v in values]
+
+
 def test_parent_and_base_name(spark):
     values = ["a/b/c", "a", "a/b"]
     assert one_column(spark, values, paths.parent) == ["a/b", "", "a"]
@@ -63,8 +75,10 @@ def test_step_number_and_rejects(spark):
 
 
 def test_copy_names(spark):
-    name = ".S1-raw.fif"
-    assert one_column(spark, [name, ".-raw.fif", "S1-raw.fif"], lambda c: paths.copied_stem(c, "-raw.fif")) == ["S1", None, None]
+    assert one_column(spark, [".S1-raw.fif", "..a-epo.fif"], paths.copied_stem) == ["S1", ".a"]
+    copies = ["1_a/.S1-raw.fif", "1_a/.-raw.fif", "1_a/S1-raw.fif", "1_a/b/.S1-raw.fif", "7/.x-epo.fif", "1_a/S1.set", "x/S1.set"]
+    want = [True, False, False, False, True, True, False]
+    assert one_column(spark, copies, lambda c: c.rlike(paths.RECORDING_OR_COPY_PATH)) == want
     df = spark.createDataFrame([("1_load", "S1"), ("", "S1")], "f string, s string")
     got = df.select(paths.copy_path(F.col("f"), F.col("s"), paths.EPOCHS_COPY_ENDING)).collect()
     assert [r[0] for r in got] == ["1_load/.S1-epo.fif", ".S1-epo.fif"]

@@ -1,6 +1,8 @@
 """Ranks, running totals and quantiles with groups cut over many chunks."""
 
 import random
+import tempfile
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -93,6 +95,16 @@ def test_ranks_survive_a_second_run(skewed):
     assert ranked.join(again, "i").where("pos <> other").count() == 0
 
 
-def test_shared_folder_comes_from_the_session(spark, tmp_path):
-    named = spark.conf.get("spark.checkpoint.dir")
-    assert ranking.shared_dir(spark) == named
+def test_shared_folder_comes_from_the_session(spark):
+    assert ranking.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_no_local_folder_on_a_cluster():
+    def session(master):
+        conf = SimpleNamespace(get=lambda key, default: default)
+        context = SimpleNamespace(getCheckpointDir=lambda: None, master=master)
+        return SimpleNamespace(conf=conf, sparkContext=context)
+
+    assert ranking.shared_dir(session("local[4]")).startswith(tempfile.gettempdir())
+    with pytest.raises(ValueError):
+        ranking.shared_dir(session("yarn"))
