@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from stepview.functions.labels import base64_text
 
+# Output of one batch; ``spark.sql.execution.arrow.maxBytesPerBatch`` limits its input.
+BATCH_BYTES = 32 << 20
 TRIMMED = "x0 int, y0 int, x1 int, y1 int, png binary"
 
 
@@ -89,18 +91,25 @@ def png_bytes(pixels: np.ndarray) -> bytes:
 def trimmed(images: DataFrame) -> DataFrame:
     """Trim box and cropped PNG for rows ``(key, height, width, n_channels, data)``.
 
-    One image per output batch: the size of a batch does not grow with the data.
+    Images reach and leave the function in batches limited by their bytes.
     """
     key = images.schema["key"].dataType.simpleString()
+    columns = ["key", "x0", "y0", "x1", "y1", "png"]
 
     def crop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows, size = [], 0
             for row in batch.itertuples(index=False):
                 shape = (row.height, row.width, row.n_channels)
                 pixels = np.frombuffer(row.data, dtype=np.uint8).reshape(shape)
                 x0, y0, x1, y1 = trim_box(pixels)
-                png = png_bytes(pixels[y0:y1, x0:x1])
-                yield pd.DataFrame({"key": [row.key], "x0": [x0], "y0": [y0], "x1": [x1], "y1": [y1], "png": [png]})
+                rows.append((row.key, x0, y0, x1, y1, png_bytes(pixels[y0:y1, x0:x1])))
+                size += len(rows[-1][-1])
+                if size > BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     return images.select("key", "height", "width", "n_channels", "data").mapInPandas(crop, f"key {key}, {TRIMMED}")
 
