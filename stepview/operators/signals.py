@@ -19,13 +19,22 @@ from stepview.operators.ranking import exact_quantiles
 # ---------------------------------------------------------------- long form
 
 
-def window(signal: DataFrame, start: int, stop: int | None = None, picks: Sequence[str] | None = None) -> DataFrame:
-    """Samples ``start`` up to, not including, ``stop`` (open if None) of the picked channels."""
+def window(
+    signal: DataFrame,
+    start: int,
+    stop: int | None = None,
+    picks: Sequence[str] | Sequence[int] | None = None,
+    channel: str = "ch_name",
+) -> DataFrame:
+    """Samples ``start`` up to, not including, ``stop`` (open if None) of the picked channels.
+
+    ``picks`` are values of the column ``channel``: names or, with ``"ch_idx"``, indices.
+    """
     inside = F.col("sample_idx") >= start
     if stop is not None:
         inside &= F.col("sample_idx") < stop
     if picks is not None:
-        inside &= F.col("ch_name").isin(*picks)
+        inside &= F.col(channel).isin(*picks)
     return signal.where(inside)
 
 
@@ -173,7 +182,12 @@ def explode_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def window_blocks(
-    blocks: DataFrame, start: int, stop: int | None = None, picks: Sequence[str] | None = None, size: int | None = None
+    blocks: DataFrame,
+    start: int,
+    stop: int | None = None,
+    picks: Sequence[str] | Sequence[int] | None = None,
+    size: int | None = None,
+    channel: str = "ch_name",
 ) -> DataFrame:
     """``window`` on blocks: unneeded ones are dropped, those at the edges cut.
 
@@ -187,7 +201,7 @@ def window_blocks(
     if stop is not None:
         inside &= first < stop
     if picks is not None:
-        inside &= F.col("ch_name").isin(*picks)
+        inside &= F.col(channel).isin(*picks)
     skipped = F.greatest(F.lit(start) - first, F.lit(0)).cast("int")
     end = F.size("samples") if stop is None else F.least(F.size("samples"), (F.lit(stop) - first).cast("int"))
     return (

@@ -45,6 +45,9 @@ def test_window_of_blocks_is_window_of_samples(long, blocks, start, stop, picks)
     for size in (None, 16):
         got = signals.explode_blocks(signals.window_blocks(blocks, start, stop, picks, size))
         assert as_set(got, *SAMPLE) == want
+    if picks is not None:
+        by_index = signals.window_blocks(blocks, start, stop, [int(p[1:]) for p in picks], channel="ch_idx")
+        assert as_set(signals.explode_blocks(by_index), *SAMPLE) == want
     channels = [c for c in TYPES if picks is None or f"c{c}" in picks]
     end = {s: n if stop is None else min(n, stop) for s, n in LENGTH.items()}
     assert want == {(s, c, i, value(s, c, i)) for s in LENGTH for c in channels for i in range(start, end[s])}
