@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepview.operators import catalog, freshness, images, logs, qc, signals
+from stepview.functions.natural import natural_key
+from stepview.operators import catalog, epochs, freshness, images, logs, qc, signals
+from stepview.operators.prefix import prefix_join
 from stepview.operators.ranking import materialize
 from stepview.sources import registry, store
 from stepview.sources.tree import manifest
@@ -22,7 +24,7 @@ def refresh(sources: DataFrame, path: str) -> None:
     listed = materialize(manifest(sources), "manifest")
     files = materialize(catalog.step_files(listed), "files")
     people = materialize(files.select(*catalog.PARTICIPANT).distinct(), "people")
-    log = logs.prefix_join(logs.log_files(listed), people, by=["source"])
+    log = prefix_join(logs.log_files(listed), people, by=["source"])
     tables = {
         "manifest": listed,
         "step_files": files,
@@ -67,7 +69,7 @@ def overview(spark: SparkSession, path: str, source: str, participant: str) -> D
         F.lit(3).alias("_at"), F.lit("log").alias("section"), F.col("rel_path").alias("item")
     )
     every = steps.unionByName(shown, allowMissingColumns=True).unionByName(log, allowMissingColumns=True)
-    natural = F.when(F.col("_at") < 3, catalog.natural_key(F.col("item")))
+    natural = F.when(F.col("_at") < 3, natural_key(F.col("item")))
     return every.orderBy("_at", "step_num", natural, "item").select("section", "item")
 
 
@@ -107,6 +109,44 @@ def peek_view(
     )
 
 
+def _recordings(
+    spark: SparkSession, store_path: str, source: str, participant: str, step: int, onionskin: bool
+) -> DataFrame:
+    """Stored blocks of a step and, for an overlay, of the one before it.
+
+    Of a step number's directories only the last in natural order counts.
+    """
+    steps = [step - 1, step] if onionskin else [step]
+    asked = (F.col("source") == source) & (F.col("participant") == participant) & F.col("step_num").isin(steps)
+    dirs = catalog.latest_dirs(store.converted(spark, store_path).where(asked))
+    return store.read_signal(spark, store_path).where(asked).join(dirs, store.RECORDING, "left_semi")
+
+
+def _with_scale(long: DataFrame, recording: DataFrame, yaxis: str) -> DataFrame:
+    """Add ``scale``: that of the whole recording and the channel's type, or 1."""
+    if yaxis != "normalize":
+        return long.withColumn("scale", F.lit(1.0))
+    whole = recording.select("ch_type", F.explode("samples").alias("value"))
+    scales = materialize(signals.auto_scales(whole, ["ch_type"]), "scales")
+    return long.join(scales, "ch_type", "left").withColumn("scale", F.coalesce("scale", F.lit(1.0)))
+
+
+def _traces(long: DataFrame, yaxis: str, y_limits: tuple[float, float] | None) -> DataFrame:
+    """Add ``y`` and ``prev_y`` to samples with ``value``, ``prev_value``, ``scale`` and ``kind``."""
+    offset = F.col("ch_idx").cast("double")
+    y, prev = (signals.trace(F.col(c).cast("double"), offset, F.col("scale")) for c in ("value", "prev_value"))
+    if y_limits is not None:
+        lo, hi = signals.clip_band(offset, *y_limits)
+        # The overlay is clipped in every mode, the trace itself if asked for.
+        prev = F.when(prev.isNotNull(), signals.clamp(prev, lo, hi))
+        if yaxis in ("clamp", "clip"):
+            y = F.when(F.col("kind") == "raw", signals.clamp(y, lo, hi)).otherwise(y)
+    return long.withColumn("y", y).withColumn("prev_y", prev)
+
+
+SHOWN = ["ch_idx", "ch_name", "epoch_idx", "sample_idx", "t", "y", "prev_y"]
+
+
 def signal_view(
     spark: SparkSession,
     store_path: str,
@@ -124,45 +164,46 @@ def signal_view(
 ) -> DataFrame:
     """Traces of one step over a window, with those of the step before if asked for.
 
-    Rows ``ch_idx, ch_name, epoch_idx, sample_idx, y, prev_y``. Both steps come
+    Rows ``ch_idx, ch_name, epoch_idx, sample_idx, t, y, prev_y``. Both steps come
     from one scan, cut down to the window before any sample is unpacked.
     """
-    recording = ["source", "participant"]
-    steps = [step - 1, step] if onionskin else [step]
-    asked = (F.col("source") == source) & (F.col("participant") == participant) & F.col("step_num").isin(steps)
-    # Of a step number's directories only the last in natural order counts.
-    dirs = catalog.latest_dirs(store.converted(spark, store_path).where(asked))
-    own = store.read_signal(spark, store_path).where(asked).join(dirs, [*recording, "step_num", "step_dir"], "left_semi")
+    own = _recordings(spark, store_path, source, participant, step, onionskin)
     window = signals.window_blocks(own, start, stop, picks)
-    laid = signals.overlay_blocks(window, recording).where(F.col("step_num") == step)
-    both = F.posexplode(
-        F.arrays_zip(F.col("samples").alias("value"), F.coalesce("prev_samples", F.array()).alias("prev"))
-    ).alias("_pos", "_pair")
-    long = laid.select("ch_idx", "ch_name", "ch_type", "kind", "epoch_idx", "start_sample", both).select(
-        "ch_idx",
-        "ch_name",
-        "ch_type",
-        "kind",
-        "epoch_idx",
-        (F.col("start_sample") + F.col("_pos")).alias("sample_idx"),
-        F.col("_pair.value").cast("double").alias("value"),
-        F.col("_pair.prev").cast("double").alias("prev"),
+    laid = signals.overlay_blocks(window, ["source", "participant"]).where(F.col("step_num") == step)
+    pairs = F.arrays_zip(F.col("samples").alias("value"), F.coalesce("prev_samples", F.array()).alias("prev_value"))
+    kept = ["ch_idx", "ch_name", "ch_type", "kind", "epoch_idx", "sfreq", "first_time", "start_sample"]
+    long = laid.select(*kept, F.posexplode(pairs).alias("_pos", "_pair")).select(
+        *kept, (F.col("start_sample") + F.col("_pos")).alias("sample_idx"), "_pair.*"
     )
-    scale = F.lit(1.0)
-    if yaxis == "normalize":
-        whole = signals.explode_blocks(own.where(F.col("step_num") == step).select("ch_type", "start_sample", "samples"))
-        scales = materialize(signals.auto_scales(whole, ["ch_type"]).withColumnRenamed("scale", "_scale"), "scales")
-        long = long.join(scales, "ch_type", "left")
-        scale = F.coalesce("_scale", F.lit(1.0))
     long = signals.decimate(long, start, signals.decimation(decim, F.col("ch_type").isin(*data_types)))
-    offset = F.col("ch_idx").cast("double")
-    y, prev = (signals.trace(F.col(c), offset, scale) for c in ("value", "prev"))
-    if y_limits is not None:
-        lo, hi = signals.clip_band(offset, *y_limits)
-        # The overlay is clipped in every mode, the trace itself if asked for.
-        prev = F.when(prev.isNotNull(), signals.clamp(prev, lo, hi))
-        if yaxis in ("clamp", "clip"):
-            y = F.when(F.col("kind") == "raw", signals.clamp(y, lo, hi)).otherwise(y)
-    return long.select("ch_idx", "ch_name", "epoch_idx", "sample_idx", y.alias("y"), prev.alias("prev_y")).orderBy(
-        "ch_idx", "epoch_idx", "sample_idx"
-    )
+    time = signals.sample_time(F.col("sample_idx"), F.col("sfreq"), F.col("first_time"))
+    scaled = _with_scale(long.withColumn("t", time), own.where(F.col("step_num") == step), yaxis)
+    return _traces(scaled, yaxis, y_limits).select(*SHOWN).orderBy("ch_idx", "epoch_idx", "sample_idx")
+
+
+def epoch_view(
+    spark: SparkSession,
+    store_path: str,
+    source: str,
+    participant: str,
+    step: int,
+    t_start: float,
+    n_epochs: int,
+    yaxis: str = "overdraw",
+    onionskin: bool = False,
+    y_limits: tuple[float, float] | None = None,
+) -> DataFrame:
+    """``signal_view`` of an epoched recording: ``n_epochs`` epochs from time ``t_start``.
+
+    ``t`` counts along the epochs laid end to end.
+    """
+    own = _recordings(spark, store_path, source, participant, step, onionskin).where("kind = 'epochs'")
+    length = F.size("samples") / F.col("sfreq")
+    first = epochs.first_epoch(t_start, 1 / F.col("sfreq"), length)
+    window = epochs.epoch_window(own, first, n_epochs)
+    laid = epochs.overlay_epochs(window, ["source", "participant"]).where(F.col("step_num") == step)
+    kept = ["ch_idx", "ch_name", "ch_type", "kind", "epoch_idx", "sfreq", "samples", "prev_samples"]
+    long = epochs.explode_epochs(laid.select(*kept).withColumn("_length", length))
+    time = F.col("epoch_idx") * F.col("_length") + F.col("sample_idx") / F.col("sfreq")
+    scaled = _with_scale(long.withColumn("t", time), own.where(F.col("step_num") == step), yaxis)
+    return _traces(scaled, yaxis, y_limits).select(*SHOWN).orderBy("ch_idx", "epoch_idx", "sample_idx")

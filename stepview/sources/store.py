@@ -20,7 +20,7 @@ from stepview.operators.ranking import materialize
 RECORDING = ["source", "participant", "step_num", "step_dir"]
 RECORDINGS = (
     "source string, participant string, step_num bigint, step_dir string, kind string, "
-    "mtime timestamp, batch string, converted timestamp"
+    "sfreq double, first_time double, mtime timestamp, batch string, converted timestamp"
 )
 SIGNAL = (
     "participant string, step_dir string, kind string, epoch_idx bigint, ch_idx int, ch_name string, "
@@ -40,30 +40,33 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def converted(spark: SparkSession, path: str) -> DataFrame:
     """The last conversion of each recording."""
     log = _read(spark, f"{path}/recordings", RECORDINGS)
-    last = F.max(F.struct("converted", "kind", "mtime", "batch")).alias("_last")
-    return log.groupBy(*RECORDING).agg(last).select(*RECORDING, "_last.kind", "_last.mtime", "_last.batch")
+    last = F.max(F.struct("converted", "kind", "sfreq", "first_time", "mtime", "batch")).alias("_last")
+    return log.groupBy(*RECORDING).agg(last).select(*RECORDING, "_last.*").drop("converted")
 
 
 def read_signal(spark: SparkSession, path: str) -> DataFrame:
-    """The blocks of the last conversion of each recording."""
+    """The blocks of the last conversion of each recording, with ``sfreq`` and ``first_time``."""
     blocks = _read(spark, f"{path}/signal", SIGNAL)
-    live = converted(spark, path).select(*RECORDING, "batch")
-    return blocks.join(live, [*RECORDING, "batch"], "left_semi").drop("batch")
+    live = converted(spark, path).select(*RECORDING, "batch", "sfreq", "first_time")
+    return blocks.join(live, [*RECORDING, "batch"]).drop("batch")
 
 
 def convert(recordings: DataFrame, blocks: DataFrame, path: str, clean: bool = False) -> DataFrame:
     """Convert what has no fresh conversion and report on all.
 
-    ``recordings`` are rows of ``RECORDING``, ``kind`` and ``mtime``; ``blocks`` their
-    decoded signal. Returns ``RECORDING`` and ``status``: ``Caching`` or
+    ``recordings`` are rows of ``RECORDING``, ``kind``, ``mtime`` and, if known, ``sfreq``
+    and ``first_time``; ``blocks`` their decoded signal. Returns ``RECORDING`` and ``status``: ``Caching`` or
     ``Already cached``. ``clean`` does them all again and drops what their
     partitions held before.
     """
     spark = recordings.sparkSession
     batch = uuid.uuid4().hex
+    for name in ("sfreq", "first_time"):
+        if name not in recordings.columns:
+            recordings = recordings.withColumn(name, F.lit(None).cast("double"))
     todo = recordings if clean else pending(recordings, converted(spark, path), RECORDING)
     # Written out: the store changes below, and the report must not see that.
-    todo = materialize(todo.select(*RECORDING, "kind", "mtime"), "todo")
+    todo = materialize(todo.select(*RECORDING, "kind", "sfreq", "first_time", "mtime"), "todo")
     if not todo.isEmpty():
         # Ranges cut a source of any size into files of equal size, sorted so
         # that a window of one participant touches few row groups.

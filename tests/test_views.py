@@ -51,6 +51,7 @@ def signal_store(spark, tmp_path_factory):
     dirs = [(1, "1_a"), (2, "2_a"), (2, "2_b"), (4, "4_c")]
     recs = spark.createDataFrame([("s", "P1", n, d, "raw") for n, d in dirs], "source string, participant string, step_num long, step_dir string, kind string")
     recs = recs.withColumn("mtime", F.timestamp_seconds(F.lit(1)))
+    recs = recs.withColumn("sfreq", F.lit(4.0)).withColumn("first_time", F.lit(0.5))
     mark = F.when(F.col("step_dir") == "2_a", 1000).otherwise(F.col("step_num") * 10)
     blocks = (
         recs.withColumn("ch_idx", F.explode(F.array(F.lit(0), F.lit(1))))
@@ -69,6 +70,7 @@ def test_signal_view(spark, signal_store):
     assert [r.sample_idx for r in shown if r.ch_idx == 0] == list(range(5, 25, 4))
     assert [r.sample_idx for r in shown if r.ch_idx == 1] == list(range(5, 25))
     for r in shown:
+        assert r.t == r.sample_idx / 4 + 0.5
         assert r.y == pytest.approx(r.ch_idx - (20 + r.ch_idx + r.sample_idx / 100), abs=1e-4)
         assert r.prev_y == pytest.approx(r.ch_idx - (10 + r.ch_idx + r.sample_idx / 100), abs=1e-4)
 
@@ -85,3 +87,31 @@ def test_signal_view_modes(spark, signal_store):
     # Samples rise by 0.01: quartiles of 30 lie 14.5 steps apart.
     first = [r.y for r in scaled if r.ch_idx == 0]
     assert first[0] - first[-1] == pytest.approx(29 / 14.5, rel=1e-3)
+
+
+@pytest.fixture(scope="module")
+def epoch_store(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("epochs"))
+    schema = "source string, participant string, step_num long, step_dir string, kind string, sfreq double"
+    recs = spark.createDataFrame([("s", "P1", n, f"{n}_a", "epochs" if n < 3 else "raw", 2.0) for n in (1, 2, 3)], schema)
+    recs = recs.withColumn("mtime", F.timestamp_seconds(F.lit(1)))
+    blocks = (
+        recs.withColumn("epoch_idx", F.explode(F.sequence(F.lit(0), F.lit(5)).cast("array<bigint>")))
+        .withColumn("samples", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.col("step_num") * 100 + F.col("epoch_idx") * 10 + i).cast("float")))
+        .withColumns({"ch_idx": F.lit(0), "ch_name": F.lit("c0"), "ch_type": F.lit("eeg"), "start_sample": F.lit(0).cast("bigint")})
+    )
+    store.convert(recs, blocks, path)
+    return path
+
+
+def test_epoch_view(spark, epoch_store):
+    shown = views.epoch_view(spark, epoch_store, "s", "P1", 2, t_start=4.0, n_epochs=2, onionskin=True).collect()
+    # Epochs last 2 s: the view starts with the third one.
+    assert [(r.epoch_idx, r.sample_idx) for r in shown] == [(e, i) for e in (2, 3) for i in range(4)]
+    assert [r.t for r in shown] == [4 + i / 2 for i in range(8)]
+    assert all(r.y == -(200 + r.epoch_idx * 10 + r.sample_idx) and r.prev_y == r.y + 100 for r in shown)
+
+
+def test_epochs_are_not_laid_under_a_raw_recording(spark, epoch_store):
+    shown = views.signal_view(spark, epoch_store, "s", "P1", 3, 0, onionskin=True).collect()
+    assert len(shown) == 24 and all(r.prev_y is None for r in shown)
