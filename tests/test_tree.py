@@ -5,7 +5,7 @@ import zlib
 from pathlib import Path
 
 import pytest
-from conftest import FILES, IMAGES, boxed, write_png
+from conftest import IMAGES, boxed, write_png
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
