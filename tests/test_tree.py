@@ -295,3 +295,14 @@ def test_pixel_boxes_of_many_colours(spark):
     grid = [[0, 0, 0, 0], [0, 5, 0, 0], [0, 0, 7, 0]]
     df = spark.createDataFrame([(1, x, y, v) for y, row in enumerate(grid) for x, v in enumerate(row)], "image long, x int, y int, v int")
     assert tuple(images.pixel_boxes(df).head()) == (1, 1, 1, 3, 3)
+
+
+def test_group_wins_over_an_image_of_the_same_name(spark, people):
+    names = ["ICA/set1/S1-a.png-chs1-2.png", "ICA/set1/S1-a.png", "ICA/set1/S1-b.png"]
+    files = spark.createDataFrame([("one", n) for n in names], "source string, rel_path string")
+    items = qc.classified(files, people)
+    schema = "request long, source string, participant string, root string, set_name string, bit string"
+    requests = spark.createDataFrame([(1, "one", "S1", "ICA", "set1", "S1-a.png"), (2, "one", "S1", "ICA", None, None)], schema)
+    got = rows(qc.qc_lookup(requests, items), "request", "status", "rel_path")
+    # By default the first other image is chosen, which is then found as a group.
+    assert got == [(1, "eeg", names[0]), (2, "eeg", names[0])]
