@@ -43,19 +43,15 @@ class Fragments(words.Words):
         super().__init__(path, room)
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
-        self.end = model["end_of_word_suffix"] or ""
-        self.side_by_side = neighbours(model["vocab"], self.end)
+        self.side_by_side = neighbours(model["vocab"], model["end_of_word_suffix"] or "")
         merges = [tuple(x.split(" ", 1)) if isinstance(x, str) else tuple(x) for x in model["merges"]]
         # The same merges without the mark of a word's end, for fragments with more of the word behind them.
-        self.inner = type(self._model)(vocab=model["vocab"], merges=merges, fuse_unk=False)
+        self.inner = type(self.library.model)(vocab=model["vocab"], merges=merges, fuse_unk=False)
 
-    def word_ids(self, word: str) -> list[int]:
-        out: list[int] = []
-        for part in self.parts(word):
-            pieces = fragments(part, self.side_by_side)
-            for k, piece in enumerate(pieces, 1):
-                out += self.merged(piece, k == len(pieces))
-        return out
+    def piece(self, piece: str) -> bytes:
+        *front, last = fragments(piece, self.side_by_side)
+        inner, packed = self.inner.tokenize, self.packed
+        return b"".join([packed[t.id] for x in front for t in inner(x)] + [packed[t.id] for t in self._tokenize(last)])
 
 
 def neighbours(vocabulary: dict[str, int], end: str) -> set[str]:
@@ -69,7 +65,10 @@ def neighbours(vocabulary: dict[str, int], end: str) -> set[str]:
 
 def fragments(part: str, side_by_side: set[str]) -> list[str]:
     """``part`` cut between letters that are neighbours in no token."""
-    cuts = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in side_by_side]
+    pairs = list(map("".join, itertools.pairwise(part)))
+    if side_by_side.issuperset(pairs):
+        return [part]
+    cuts = [i for i, pair in enumerate(pairs, 1) if pair not in side_by_side]
     return [part[a:b] for a, b in itertools.pairwise([0, *cuts, len(part)])]
 
 

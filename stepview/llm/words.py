@@ -15,11 +15,10 @@ import functools
 import json
 import re
 
-import numpy as np
 from tokenizers import Tokenizer
 
-#: Words, and pieces of words, kept by a worker: about 150 MB.
-ROOM = 400_000
+#: Words, and pieces of words, kept by a worker: about 120 MB.
+ROOM = 800_000
 
 
 @functools.cache
@@ -55,7 +54,10 @@ def check(path: str) -> None:
 
 
 class Words(dict):
-    """A word's UTF-8 bytes -> its ids as little-endian unsigned 32-bit integers."""
+    """A word's UTF-8 bytes -> its ids as little-endian unsigned 32-bit integers.
+
+    Pieces of words, in lower case, are words as well and share the table.
+    """
 
     def __init__(self, path: str, room: int = ROOM):
         super().__init__()
@@ -63,33 +65,28 @@ class Words(dict):
         self.library = load(path)
         self.room = room
         self.special = [x.content.encode() for x in self.library.get_added_tokens_decoder().values()]
-        self._model = self.library.model
-        self.known: dict[tuple[str, bool], list[int]] = {}
+        self._tokenize = self.library.model.tokenize
+        self.packed = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
 
     def __missing__(self, word: bytes) -> bytes:
-        got = np.array(self.word_ids(word.decode("utf-8", "replace")), "<u4").tobytes()
+        text = word.decode("utf-8", "replace")
+        if _PLAIN(text) is None:
+            form = self.library.normalizer.normalize_str(text)
+            got = b"".join([self.piece(x) for x, _ in self.library.pre_tokenizer.pre_tokenize_str(form)])
+        else:
+            parts = _PARTS(text.lower())
+            if len(parts) == 1 and parts[0] == text:
+                got = self.piece(text if text.isascii() else letters(text))
+            else:
+                got = b"".join([self[x.encode()] for x in parts])
         if len(self) < self.room:
             self[word] = got
         return got
 
-    def parts(self, word: str) -> list[str]:
-        """The word's matches of the splitting pattern, in the tokenizer's letters for bytes."""
-        if word.isascii() and word.isprintable():
-            return _ASCII.findall(word.lower())
-        form = self.library.normalizer.normalize_str(word)
-        return [x for x, _ in self.library.pre_tokenizer.pre_tokenize_str(form)]
-
-    def merged(self, piece: str, last: bool = True) -> list[int]:
-        """Ids that the merges make of a piece; ``last``: a word ends with it."""
-        got = self.known.get((piece, last))
-        if got is None:
-            got = [t.id for t in (self._model if last else self.inner).tokenize(piece)]
-            if len(self.known) < self.room:
-                self.known[piece, last] = got
-        return got
-
-    def word_ids(self, word: str) -> list[int]:
-        return [i for x in self.parts(word) for i in self.merged(x)]
+    def piece(self, piece: str) -> bytes:
+        """What the merges make of a match of the pattern, given in the tokenizer's letters for bytes."""
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self._tokenize(piece)])
 
     def ids(self, text: bytes | None) -> bytes:
         """Ids of a whole text; none for a null."""
@@ -97,12 +94,22 @@ class Words(dict):
             return b""
         if any(s in text for s in self.special):
             whole = self.library.encode(text.decode("utf-8", "replace"), add_special_tokens=False)
-            return np.array(whole.ids, "<u4").tobytes()
+            return b"".join([self.packed[i] for i in whole.ids])
         return b"".join(map(self.__getitem__, text.split()))
 
 
-#: The alternatives of the splitting pattern, for printable ASCII letters in lower case.
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ a-z0-9]+")
+def letters(piece: str) -> str:
+    """A piece in the letters that byte-level tokenizers have for bytes."""
+    return piece.encode().decode("latin-1").translate(_LETTERS)
+
+
+#: Fixed rule: printable bytes stand for themselves, all others for letters from 256 on, in order.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+#: Words of printable ASCII and Latin-1 letters: in normal form, each letter with one lower case.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+#: The alternatives of the splitting pattern, for such words in lower case.
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+").findall
 
 
 @functools.cache
