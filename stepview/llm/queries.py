@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepview.llm import bpe, latent, lengths, perspectives, quality, rans, reshard, secrets, simhash
+from stepview.llm import bpe, latent, lengths, perspectives, quality, rans, reshard, secrets, simhash, wrapper
 from stepview.llm.shared import ship, table
 
 
@@ -50,6 +50,10 @@ def op9_bpe_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_text(table(spark, sf_dir, "pages"))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_length_histogram,
         op8_latent_leaks,
         op9_bpe_boundaries,
+        op10_wrapper_text,
     )
 }
 
