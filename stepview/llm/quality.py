@@ -165,4 +165,7 @@ def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 def filtered(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` that pass, as they are."""
-    return judged(docs, docs.columns, text, lang).where("kept").select("row.*")
+    # A filter is pushed below projections by copying their expressions into it, here each of them many
+    # times; it stays above one that numbers the rows.
+    d = judged(docs, docs.columns, text, lang).select("row", "kept", F.monotonically_increasing_id().alias("number"))
+    return d.where(F.col("kept") & (F.col("number") >= 0)).select("row.*")
