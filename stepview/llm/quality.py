@@ -28,7 +28,7 @@ from stepview.llm.shared import col
 #: White space between words.
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
-#: Words in a window; least words; most percent of words in repeated windows.
+#: Words in a window (hashed by doubling, so a power of two); least words; most percent of words in repeated windows.
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 #: Character classes in the order in which they are taken out of a text; the rest is a class too.
 CLASSES = {
@@ -92,8 +92,12 @@ def features(docs: DataFrame, key: list[str], text: str, lang: str, repeats: boo
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
     )
-    starts = F.when(F.col("n_words") >= WINDOW, F.sequence(F.lit(1), (F.col("n_words") - (WINDOW - 1)).cast("int"))).otherwise(F.array().cast("array<int>"))
-    d = d.withColumn("windows", F.transform(starts, lambda i: F.xxhash64(F.slice("hashes", i, WINDOW)))).drop("hashes")
+    # Hashes of 2, 4 and 8 words, each from two of the step before. Every step is a column that is used twice: one that is
+    # used once would be copied into the function and worked out again for each of its elements.
+    for name, of, apart in (("two", "hashes", 1), ("four", "two", 2), ("windows", "four", 4)):
+        shifted = F.slice(of, apart + 1, F.greatest(F.size(of) - apart, F.lit(0)))
+        d = d.withColumn(name, F.zip_with(of, shifted, lambda a, b: F.xxhash64(a, b))).drop(of)
+    d = d.withColumn("windows", F.slice("windows", 1, F.greatest(F.col("n_words").cast("int") - (WINDOW - 1), F.lit(0))))
     # Few texts repeat a window; only those are sorted.
     twice = F.size(F.array_distinct("windows")) < F.size("windows")
     d = d.withColumn("sorted", F.when(twice, F.sort_array(F.transform("windows", lambda x, i: F.struct(x.alias("x"), i.alias("i")))))).drop("windows")
