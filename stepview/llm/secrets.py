@@ -60,15 +60,16 @@ def _matches(text: Column, rank: int, pattern: str, group: int) -> Column:
     """Per match of a text: kind, place in the row, length of the piece before, of the match, and of the group that counts."""
     whole = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     counted = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(group + 1))
-    before = F.split(text, pattern)
+    # Zipped, so that each of them is worked out once and not for every match.
+    rows = F.slice(F.arrays_zip(whole.alias("m"), F.split(text, pattern).alias("gap"), counted.alias("counted")), 1, F.size(whole))
     return F.transform(
-        whole,
-        lambda m, i: F.struct(
+        rows,
+        lambda r, i: F.struct(
             F.lit(rank).alias("rank"),
             i.cast("int").alias("i"),
-            F.length(F.get(before, i)).cast("bigint").alias("gap"),
-            F.length(m).cast("bigint").alias("size"),
-            F.length(F.get(counted, i)).alias("counted"),
+            F.length(r["gap"]).cast("bigint").alias("gap"),
+            F.length(r["m"]).cast("bigint").alias("size"),
+            F.length(r["counted"]).alias("counted"),
         ),
     )
 
