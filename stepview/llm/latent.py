@@ -3,8 +3,9 @@
 Texts are cut into passages; a passage is a vector of term weights (TF-IDF over hashed
 terms). A randomised SVD of all passages of all documents gives a latent space: tasks
 multiply their own passages with a thin random matrix and back, the small sums meet
-in Spark, and the driver only sees matrices whose size the parameters bound. One pass
-finds the range, a second one (a power step) the singular vectors and values.
+in Spark, and the driver only sees matrices whose size the parameters bound. From that one
+pass, singular vectors and values follow by the Nystrom formula. The first ``COMMON``
+directions, which tell little more than the language, are left out.
 
 In the latent space, scaled by the singular values, half-overlapping windows of every text are
 compared with every benchmark item by cosine. Wherever it reaches ``COSINE``, the words
@@ -20,9 +21,7 @@ Texts of any length are gone through to the end.
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,10 +33,10 @@ from pyspark.sql import types as T
 
 from stepview.llm.shared import beside, col, saved
 
-#: Hashed terms, rank, extra columns of the random matrix, words of a passage.
-TERMS, RANK, EXTRA, PASSAGE = 1 << 14, 64, 8, 32
+#: Hashed terms, rank, extra columns of the random matrix, leading directions left out, words of a passage.
+TERMS, RANK, EXTRA, COMMON, PASSAGE = 1 << 14, 128, 16, 8, 32
 #: Least cosine of a candidate.
-COSINE = 0.25
+COSINE = 0.45
 #: Least share of an item, and of its answer, in the common subsequence; from this share of the item on, the answer needn't be there.
 SHARE, ANSWER, ALL = 0.75, 0.5, 0.9
 #: The last part of an item that counts as its answer.
@@ -45,14 +44,15 @@ TAIL = 0.25
 #: Items compared at a time; slices of sums.
 ITEMS, SLICES = 4096, 64
 
-_WORD = re.compile(r"\w+")
+#: Letters, digits, ``_`` and whatever isn't ASCII stay; all else divides words.
+_LETTERS = bytes(c if c >= 128 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
 
 
 class _Terms(dict):
     """Checksums of words; a bounded number is kept."""
 
-    def __missing__(self, word: str) -> int:
-        got = zlib.crc32(word.encode("utf-8", "replace"))
+    def __missing__(self, word: bytes) -> int:
+        got = zlib.crc32(word)
         if len(self) < 400_000:
             self[word] = got
         return got
@@ -63,30 +63,34 @@ _terms = _Terms()
 
 def words_of(text: str | None) -> np.ndarray:
     """A checksum for each word of the whole text, in lower case and without punctuation."""
-    found = _WORD.findall((text or "").lower())
+    found = (text or "").lower().encode("utf-8", "replace").translate(_LETTERS).split()
     return np.fromiter(map(_terms.__getitem__, found), np.uint32, len(found))
 
 
-def hashed(docs: DataFrame, text: str) -> DataFrame:
-    """``terms`` of each text with a word: numbers of hashed terms, 16 bits each."""
+def worded(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``doc_id`` and the ``words`` of each text: 32-bit checksums in a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(words_of(x.as_py()) % TERMS).astype("<u2").tobytes() for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x in got if x], pa.binary())], names=["terms"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                got = [words_of(x.as_py()).astype("<u4").tobytes() for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.binary())], names=["doc_id", "words"])
 
-    return docs.select(col(text).alias("text")).mapInArrow(run, "terms binary")
+    return docs.select(col(key).cast("bigint").alias("doc_id"), col(text).alias("text")).mapInArrow(run, "doc_id bigint, words binary")
+
+
+def padded(terms: np.ndarray, size: int) -> np.ndarray:
+    """Terms as rows of ``size``, filled up with ``TERMS``."""
+    rows = np.full(-(-len(terms) // size) * size, TERMS, np.int32)
+    rows[: len(terms)] = terms
+    return rows.reshape(-1, size)
 
 
 def passages(batch: pa.RecordBatch, size: int = 2048) -> Iterator[np.ndarray]:
-    """Passages of a batch of texts as rows of terms, filled up with ``TERMS``."""
-    rows = []
-    for x in batch.column(0):
-        terms = np.frombuffer(x.as_buffer(), "<u2")
-        row = np.full(-(-len(terms) // PASSAGE) * PASSAGE, TERMS, np.int32)
-        row[: len(terms)] = terms
-        rows.append(row)
-    whole = np.concatenate(rows or [np.zeros(0, np.int32)]).reshape(-1, PASSAGE)
+    """Passages of a batch of texts, ``size`` at a time."""
+    rows = [padded(np.frombuffer(x.as_buffer(), "<u4") % TERMS, PASSAGE) for x in batch.column(0)]
+    whole = np.concatenate(rows or [np.zeros((0, PASSAGE), np.int32)])
     for at in range(0, len(whole), size):
         yield whole[at : at + size]
 
@@ -118,15 +122,14 @@ def gram_times(terms: DataFrame, weight: np.ndarray, thin: np.ndarray) -> np.nda
     weighted = np.vstack([thin * weight[:, None], np.zeros(width)]).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((TERMS + 1, width))
+        total = np.zeros((width, TERMS + 1))
         for batch in batches:
             for rows in passages(batch):
-                projected = weighted[rows].sum(axis=1)
+                projected = np.concatenate([weighted[rows[k : k + 256]].sum(axis=1) for k in range(0, len(rows), 256)])
                 flat = rows.ravel()
-                order = np.argsort(flat.astype(np.uint16), kind="stable")
-                begins = np.flatnonzero(np.diff(flat[order], prepend=-1))
-                total[flat[order[begins]]] += np.add.reduceat(projected[order // PASSAGE], begins, axis=0)
-        parts = np.split(total[:TERMS].astype(np.float32), SLICES)
+                for c, column in enumerate(np.ascontiguousarray(projected.T, np.float64)):
+                    total[c] += np.bincount(flat, np.repeat(column, PASSAGE), TERMS + 1)
+        parts = np.split(total.T[:TERMS].astype(np.float32), SLICES)
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["slice", "part"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,23 +154,25 @@ class Space:
     place: np.ndarray
 
 
-def fit(docs: DataFrame, text: str = "text", rank: int = RANK, seed: int = 0) -> Space:
-    """The latent space of all passages of all texts."""
-    spark = docs.sparkSession
-    terms = saved(hashed(docs, text), "terms")
+def fit(words: DataFrame, rank: int = RANK, seed: int = 0) -> Space:
+    """The latent space of all passages of all texts in a table of ``words``."""
     # A task sends one matrix of sums: few, long tasks rather than one for each file.
-    terms = terms.coalesce(4 * spark.sparkContext.defaultParallelism)
-    frequency, n = document_frequencies(terms)
+    words = words.select("words").coalesce(4 * words.sparkSession.sparkContext.defaultParallelism)
+    frequency, n = document_frequencies(words)
     weight = np.log((1 + n) / (1 + frequency))
-    start = np.random.default_rng(seed).standard_normal((TERMS, rank + EXTRA))
-    base = np.linalg.qr(gram_times(terms, weight, start))[0]
-    image = gram_times(terms, weight, base)
-    small = base.T @ image
-    values, turns = np.linalg.eigh((small + small.T) / 2)
-    best = np.argsort(values)[::-1][:rank]
-    best = best[values[best] > max(values.max(), 0) * 1e-9]
-    vectors = base @ turns[:, best] / np.sqrt(values[best])
-    return Space(np.vstack([vectors * weight[:, None], np.zeros(vectors.shape[1])]).astype(np.float32))
+    thin = np.linalg.qr(np.random.default_rng(seed).standard_normal((TERMS, rank + EXTRA)))[0]
+    image = gram_times(words, weight, thin)
+    # Nystrom: with G the Gram matrix, G ~ (G thin) (thin' G thin)^-1 (G thin)', shifted a little to stay definite.
+    shift = np.linalg.norm(image) * 1e-7 + 1e-12
+    image = image + shift * thin
+    small = thin.T @ image
+    root = np.linalg.cholesky((small + small.T) / 2)
+    vectors, values, _ = np.linalg.svd(np.linalg.solve(root, image.T).T, full_matrices=False)
+    values = np.maximum(values**2 - shift, 0)
+    keep = np.flatnonzero(values > values[0] * 1e-5)[:rank]
+    keep = keep[min(COMMON, len(keep) // 16) :]
+    vectors = vectors[:, keep] / np.sqrt(values[keep])
+    return Space(np.vstack([vectors * weight[:, None], np.zeros(len(keep))]).astype(np.float32))
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -176,8 +181,7 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 def windows(terms: np.ndarray, space: Space) -> np.ndarray:
     """Directions of the half-overlapping windows of one text; window ``i`` begins at word ``i * PASSAGE // 2``."""
-    half = PASSAGE // 2
-    halves = np.add.reduceat(space.place[terms], np.arange(0, len(terms), half), axis=0)
+    halves = space.place[padded(terms, PASSAGE // 2)].sum(axis=1)
     return unit(halves[:-1] + halves[1:]) if len(halves) > 1 else unit(halves)
 
 
@@ -214,18 +218,18 @@ def leaks(words: np.ndarray, space: Space, items: Items) -> list[tuple[int, int,
     """Number of each item that a text holds, words of the item found in order, and their share."""
     if not len(words) or not items.ids:
         return []
-    cosine = windows((words % TERMS).astype(np.int64), space) @ items.directions.T
+    cosine = windows(words % TERMS, space) @ items.directions.T
     at, item = np.nonzero(cosine >= COSINE)
     best: dict[int, tuple[int, float]] = {}
     half = PASSAGE // 2
     for j, group in _runs(at, item):
         wanted = items.words[j].tolist()
         n = len(wanted)
-        have = Counter(wanted)
+        have = set(wanted)
         for first, last in group:
             begin = max(0, first * half - n)
             region = words[begin : last * half + PASSAGE + n].tolist()
-            if (have & Counter(region)).total() < SHARE * n:
+            if n - len(have.difference(region)) < SHARE * n:  # no subsequence can have what the region lacks
                 continue
             for k in range(0, max(1, len(region) - n // 2), max(1, n // 2)):
                 part = region[k : k + 2 * n]
@@ -265,29 +269,31 @@ def benchmark_blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[lis
 
 def matched(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``doc_id``, ``item_id``, ``lcs`` (words), ``share``: every benchmark item that a document holds."""
-    space = fit(docs, text)
+    words = saved(worded(docs, key, text), "words")
+    space = fit(words.unionByName(worded(benchmark, item, item_text)))
     out = None
     for block in benchmark_blocks(benchmark, item, item_text):
-        part = _matched(docs, Items.of(block, space), space, key, text)
+        part = _matched(words, Items.of(block, space), space)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, lcs int, share double")
 
 
-def _matched(docs: DataFrame, items: Items, space: Space, key: str, text: str) -> DataFrame:
+def _matched(words: DataFrame, items: Items, space: Space) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, *x) for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for x in leaks(words_of(t.as_py()), space, items)]
+            rows = [(k, *x) for k, w in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for x in leaks(np.frombuffer(w.as_buffer(), "<u4"), space, items)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([items.ids[r[1]] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.float64())],
                 names=["doc_id", "item_id", "lcs", "share"],
             )
 
-    return docs.select(col(key).cast("bigint").alias("doc_id"), col(text).alias("text")).mapInArrow(run, "doc_id bigint, item_id bigint, lcs int, share double")
+    return words.mapInArrow(run, "doc_id bigint, item_id bigint, lcs int, share double")
 
 
 def filtered(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, as they are."""
-    space = fit(docs, text)
+    texts = docs.select(F.lit(None).alias("key"), col(text).alias("text"))
+    space = fit(saved(worded(texts, "key", "text").unionByName(worded(benchmark, item, item_text)), "words"))
     for block in benchmark_blocks(benchmark, item, item_text):
         docs = _clean(docs, Items.of(block, space), space, text)
     return docs
