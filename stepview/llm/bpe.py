@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stepview.llm import words
-from stepview.llm.shared import beside, col
+from stepview.llm.shared import beside, col, map_batches
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -94,7 +94,7 @@ def encode(docs: DataFrame, text: str = "text", into: str = "ids", path: str = T
                 ids = pa.ListArray.from_arrays(pa.array(ends), values)
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], ids], names=schema.names)
 
-    return both.mapInArrow(run, schema)
+    return map_batches(both, run, schema)
 
 
 def decode(docs: DataFrame, ids: str = "ids", into: str = "decoded", path: str = TOKENIZER) -> DataFrame:
@@ -115,7 +115,7 @@ def decode(docs: DataFrame, ids: str = "ids", into: str = "decoded", path: str =
     with open(path, encoding="utf-8") as file:
         if json.load(file)["decoder"] is not None:
             raise ValueError(f"{path}: has a decoder of its own")
-    return both.mapInArrow(run, schema)
+    return map_batches(both, run, schema)
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = TOKENIZER) -> DataFrame:

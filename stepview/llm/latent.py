@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stepview.llm.shared import beside, col, saved
+from stepview.llm.shared import beside, col, map_batches, saved
 
 #: Hashed terms, rank, extra columns of the random matrix, leading directions left out, words of a passage.
 TERMS, RANK, EXTRA, COMMON, PASSAGE = 1 << 14, 128, 16, 8, 32
@@ -306,6 +306,6 @@ def _clean(docs: DataFrame, items: Items, space: Space, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             clean = [not leaks(words_of(t.as_py()), space, items) for t in batch.column(place)]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(clean, pa.bool_())).columns, names=schema.names)
 
-    return both.mapInArrow(run, schema)
+    return map_batches(both, run, schema)

@@ -80,4 +80,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_links": secrets.SQL, "op2_perspectives": perspectives.SQL}
+    return {"op1_secret_links": secrets.SQL, "op4_divergence_rules": quality.SQL, "op2_perspectives": perspectives.SQL}

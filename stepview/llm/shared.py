@@ -8,10 +8,11 @@ import pathlib
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _open: list[list[str]] = []
 _shipped: set[str] = set()
@@ -99,6 +100,11 @@ def beside(docs: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, int,
     return docs.select(*map(col, keep), col(text).alias("\0text")), len(keep), len(keep)
 
 
+def map_batches(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any name: it can't take names with dots."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, schema)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """These names, each lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stepview.llm.shared import beside, col, saved, unused
+from stepview.llm.shared import beside, col, map_batches, saved, unused
 
 WORDS, REACH, SEED = 4, 4, 42
 #: Fingerprints at one anchor that one task compares, and the size of a block beyond that.
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, text: str, into: str, keep: list[str]) -> Data
             got = np.array([fingerprint(x.as_py()) for x in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(got)], names=schema.names)
 
-    return both.mapInArrow(run, schema)
+    return map_batches(both, run, schema)
 
 
 @functools.cache
