@@ -45,9 +45,9 @@ def explode_epochs(epochs: DataFrame) -> DataFrame:
     rest = [c for c in epochs.columns if c not in ("samples", "prev_samples")]
     if "prev_samples" not in epochs.columns:
         return epochs.select(*rest, F.posexplode("samples").alias("sample_idx", "value"))
-    pairs = F.arrays_zip(
-        F.col("samples").alias("value"), F.coalesce("prev_samples", F.array()).alias("prev_value")
-    )
+    # The previous epoch may be longer; only what lies under this one is given.
+    previous = F.slice(F.coalesce("prev_samples", F.array().cast(epochs.schema["prev_samples"].dataType)), F.lit(1), F.size("samples"))
+    pairs = F.arrays_zip(F.col("samples").alias("value"), previous.alias("prev_value"))
     exploded = epochs.select(*rest, F.posexplode(pairs).alias("sample_idx", "_pair"))
     return exploded.select(*rest, "sample_idx", "_pair.*")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -18,10 +19,10 @@ BATCH_BYTES = 32 << 20
 TRIMMED = "x0 int, y0 int, x1 int, y1 int, png binary"
 
 
-def read_images(spark: SparkSession, folders: list[str], pattern: str = "*.png") -> DataFrame:
-    """Spark's ``image`` rows for the files anywhere below ``folders``."""
-    reader = spark.read.format("image").option("recursiveFileLookup", True)
-    return reader.option("pathGlobFilter", pattern).load(folders)
+def read_images(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Spark's ``image`` rows for files and for all below folders, of any kind that Java reads; others are left out."""
+    plain = [re.sub(r"([*?\[\]{}\\])", r"\\\1", f) for f in files]
+    return spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True).load(plain)
 
 
 def pixel_boxes(pixels: DataFrame) -> DataFrame:

@@ -14,9 +14,6 @@ ROOT = ["source", "participant", "root"]
 SET = [*ROOT, "set_name"]
 BIT = [*SET, "bit"]
 
-# A list of channel-range images is cut into rows of this many entries.
-LIST_ROWS = 1000
-
 
 def qc_files(manifest: DataFrame) -> DataFrame:
     """Files anywhere below ``quality_control/``; ``rel_path`` starts below it."""
@@ -100,36 +97,24 @@ def _last(kind: str) -> Column:
     return F.max(F.when(F.col("item_kind") == kind, F.struct("_nat", "rel_path", "name")))
 
 
-def qc_tree(items: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
-    """The drill-down: one row per group of images or other image.
+def qc_tree(items: DataFrame) -> DataFrame:
+    """The drill-down, one row per image shown: ``SET, is_rest, bit, item_kind, pos, rel_path, ch_start, ch_end``.
 
-    Takes ``classified`` rows. A group (``is_rest`` false) has the last scalp
-    image and the channel-range images by (start, end, name, path). A list
-    longer than ``list_rows`` goes on in rows with ``part`` 1, 2, …, so
-    no task builds an unbounded array.
+    Takes ``classified`` rows. A group (``is_rest`` false) shows its last scalp
+    image and all channel-range images, with their position ``pos`` by (start,
+    end, name, path); any other bit the last image of its name.
     """
-    keys = [*SET, "is_rest", "bit"]
+    keys = [*SET, "is_rest", "bit", "item_kind"]
     items = items.withColumn("is_rest", _is_rest())
     order = ["ch_start", "ch_end", "name", "rel_path"]
     is_range = F.col("item_kind") == "chs"
     # All kinds are ranked, not the ranges alone, so that ``items`` is worked out once.
-    ranked = rank(items, [*keys, "item_kind"], order, "_pos")
-    return (
-        ranked.withColumn("part", F.when(is_range, F.floor((F.col("_pos") - 1) / list_rows)).otherwise(0).cast("bigint"))
-        .groupBy(*keys, "part")
-        .agg(
-            _last("scalp").alias("_scalp"),
-            _last("rest").alias("_rest"),
-            F.array_sort(F.collect_list(F.when(is_range, F.struct(*order)))).alias("chs"),
-        )
-        .select(
-            *keys,
-            "part",
-            F.col("_scalp.rel_path").alias("scalp_path"),
-            "chs",
-            F.col("_rest.rel_path").alias("rest_path"),
-        )
-    )
+    ranked = rank(items, keys, order, "pos")
+    ranges = ranked.where(is_range).select(*keys, "pos", "rel_path", "ch_start", "ch_end")
+    last = ranked.where(~is_range).groupBy(*keys).agg(F.max(F.struct("_nat", "rel_path")).alias("_last"))
+    none = F.lit(None).cast("bigint")
+    single = last.select(*keys, F.lit(1).cast("bigint").alias("pos"), "_last.rel_path", none.alias("ch_start"), none.alias("ch_end"))
+    return ranges.unionByName(single)
 
 
 def qc_defaults(items: DataFrame) -> DataFrame:

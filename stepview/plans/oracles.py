@@ -273,17 +273,13 @@ WHERE starts_with(l.name, a.participant) AND a.participant IN (SELECT source FRO
         "qc_items": _sql("SELECT * FROM qc_all", "qc_all"),
         "qc_tree": _sql(
             """
-, chs AS (SELECT *, (row_number() OVER (PARTITION BY source, participant, root, set_name, bit
-           ORDER BY ch_start, ch_end, name, rel_path) - 1) // 1000 AS part FROM qc_bits WHERE item_kind = 'chs'
-  UNION ALL SELECT *, 0 FROM qc_bits WHERE item_kind <> 'chs')
-SELECT source, participant, root, set_name, is_rest, bit AS stem, part,
-       arg_max(rel_path, nat_rank) FILTER (WHERE item_kind = 'scalp') AS scalp_path,
-       coalesce(string_agg(concat_ws(':', ch_start, ch_end, rel_path), '|' ORDER BY ch_start, ch_end, name, rel_path)
-         FILTER (WHERE item_kind = 'chs'), '') AS chs,
-       arg_max(rel_path, nat_rank) FILTER (WHERE item_kind = 'rest') AS rest_path
-FROM chs GROUP BY source, participant, root, set_name, is_rest, bit, part""",
+SELECT source, participant, root, set_name, is_rest, bit AS stem, item_kind, row_number() OVER (PARTITION BY source, participant,
+  root, set_name, bit ORDER BY ch_start, ch_end, name, rel_path) AS pos, rel_path, ch_start, ch_end
+FROM qc_bits WHERE item_kind = 'chs'
+UNION ALL SELECT source, participant, root, set_name, is_rest, bit, item_kind, 1, arg_max(rel_path, nat_rank), NULL, NULL
+FROM qc_bits WHERE item_kind <> 'chs' GROUP BY source, participant, root, set_name, is_rest, bit, item_kind""",
             "qc_bits",
-        ).replace("\n, chs", ",\nchs"),
+        ),
         "qc_rejects": _sql(
             """
 SELECT source, 'outside_set' AS reason, count(*) AS n FROM qc_raw WHERE NOT starts_with(parts[2], 'set') GROUP BY source""",

@@ -184,23 +184,7 @@ def qc_items(spark, sf):
 
 @query
 def qc_tree(spark, sf):
-    def shown(entry):
-        return F.concat_ws(":", entry["ch_start"].cast("string"), entry["ch_end"].cast("string"), entry["rel_path"])
-
-    tree = qc.qc_tree(_qc_items(spark, sf))
-    text = F.array_join(F.transform("chs", shown), "|")
-    return tree.select(
-        "source",
-        "participant",
-        "root",
-        "set_name",
-        "is_rest",
-        F.col("bit").alias("stem"),
-        "part",
-        "scalp_path",
-        text.alias("chs"),
-        "rest_path",
-    )
+    return qc.qc_tree(_qc_items(spark, sf)).withColumnRenamed("bit", "stem")
 
 
 @query

@@ -8,24 +8,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stepview.functions.natural import natural_key
 from stepview.operators import catalog, epochs, freshness, images, logs, qc, signals
 from stepview.operators.prefix import prefix_join
 from stepview.operators.ranking import materialize
-from stepview.sources import registry, store
+from stepview.sources import registry, store, versions
 from stepview.sources.tree import manifest
 
-TABLES = ("manifest", "step_files", "steps", "participants", "logs", "qc_images", "caches")
+TABLES = ("sources", "manifest", "step_files", "steps", "participants", "logs", "qc_images", "caches")
 
 
 def refresh(sources: DataFrame, path: str) -> None:
-    """Walk all ``sources(name, directory)`` once and write the tables below ``path``."""
+    """Walk all ``sources(name, directory)`` once and write the tables below ``path``.
+
+    They count together, once all of them are written.
+    """
     listed = materialize(manifest(sources), "manifest")
     files = materialize(catalog.step_files(listed), "files")
     people = materialize(files.select(*catalog.PARTICIPANT).distinct(), "people")
     log = prefix_join(logs.log_files(listed), people, by=["source"])
     tables = {
+        "sources": sources.select(F.col("name").alias("source"), "directory"),
         "manifest": listed,
         "step_files": files,
         "steps": catalog.step_dirs(listed),
@@ -34,19 +39,35 @@ def refresh(sources: DataFrame, path: str) -> None:
         "qc_images": qc.classified(qc.qc_files(listed), people),
         "caches": freshness.freshness(freshness.caches(listed)),
     }
-    for name in TABLES:
-        table = tables[name]
-        if "participant" in table.columns and name != "participants":
-            # Ranges keep a participant's rows together; the digest of the row lets
-            # them cut a big one.
-            order = [F.col("source"), F.col("participant"), F.xxhash64(*table.columns)]
-            table = table.repartitionByRange(*order).sortWithinPartitions("source", "participant")
-        table.write.mode("overwrite").partitionBy("source").parquet(f"{path}/{name}")
+    with versions.new_version(sources.sparkSession, path) as folder:
+        for name in TABLES:
+            table = tables[name]
+            if "participant" in table.columns and name != "participants":
+                # Ranges keep a participant's rows together; the digest of the row lets
+                # them cut a big one.
+                order = [F.col("source"), F.col("participant"), F.xxhash64(*table.columns)]
+                table = table.repartitionByRange(*order).sortWithinPartitions("source", "participant")
+            table.write.partitionBy("source").parquet(f"{folder}/{name}")
 
 
 def table(spark: SparkSession, path: str, name: str, source: str | None = None) -> DataFrame:
-    df = spark.read.parquet(f"{path}/{name}")
-    return df if source is None else df.where(F.col("source") == source)
+    """A table of the last ``refresh``; an unknown source is an error."""
+    folder = versions.current(spark, path)
+    if folder is None:
+        raise ValueError(f"{path}: no tables, call refresh first")
+    df = _as_written(spark, f"{folder}/{name}")
+    if source is None:
+        return df
+    if _as_written(spark, f"{folder}/sources").where(F.col("source") == source).isEmpty():
+        raise KeyError(source)
+    return df.where(F.col("source") == source)
+
+
+def _as_written(spark: SparkSession, path: str) -> DataFrame:
+    """A partitioned table whose sources stay text, whatever they look like."""
+    found = spark.read.parquet(path).schema
+    kinds = [T.StructField(f.name, T.StringType() if f.name == "source" else f.dataType) for f in found.fields]
+    return spark.read.schema(T.StructType(kinds)).parquet(path)
 
 
 def participant_list(spark: SparkSession, path: str, source: str) -> DataFrame:
@@ -91,7 +112,7 @@ def peek_view(
 ) -> DataFrame:
     """The images of one bit, trimmed and encoded: ``status, rel_path, encoded``.
 
-    Only the folder of the chosen root is read.
+    Only the chosen files are opened.
     """
     request = [(0, source, participant, root, set_name, bit)]
     names = "request long, source string, participant string, root string, set_name string, bit string"
@@ -100,10 +121,9 @@ def peek_view(
     wanted = found.where("rel_path is not null")
     if wanted.isEmpty():
         return found.withColumn("encoded", F.lit(None).cast("string"))
-    folder = f"{registry.directory_of(sources, source)}/quality_control"
+    folder = f"{registry.normalized(registry.directory_of(sources, source))}/quality_control"
     files = wanted.select(F.lit(source).alias("source"), "rel_path", F.concat(F.lit(f"{folder}/"), "rel_path").alias("path"))
-    pictures = images.read_images(spark, [f"{folder}/{root}"])
-    chosen = images.with_path(pictures).join(files.select("path"), "path", "left_semi")
+    chosen = images.read_images(spark, [r["path"] for r in files.select("path").toLocalIterator()])
     return qc.with_encoded(found.withColumn("source", F.lit(source)), images.located(images.encoded_images(chosen), files)).select(
         "status", "rel_path", "encoded"
     )
@@ -122,6 +142,13 @@ def _recordings(
     return store.read_signal(spark, store_path).where(asked).join(dirs, store.RECORDING, "left_semi")
 
 
+def _lengths(spark: SparkSession, store_path: str, source: str, participant: str, step: int, onionskin: bool) -> int | None:
+    """Length of the longest block of these recordings; the answer is one row."""
+    steps = [step - 1, step] if onionskin else [step]
+    asked = (F.col("source") == source) & (F.col("participant") == participant) & F.col("step_num").isin(steps)
+    return store.converted(spark, store_path).where(asked).agg(F.max("longest")).first()[0]
+
+
 def _with_scale(long: DataFrame, recording: DataFrame, yaxis: str) -> DataFrame:
     """Add ``scale``: that of the whole recording and the channel's type, or 1."""
     if yaxis != "normalize":
@@ -168,9 +195,16 @@ def signal_view(
     from one scan, cut down to the window before any sample is unpacked.
     """
     own = _recordings(spark, store_path, source, participant, step, onionskin)
-    window = signals.window_blocks(own, start, stop, picks)
+    # The longest block of these recordings: with it, both bounds of the window reach the reader.
+    size = _lengths(spark, store_path, source, participant, step, onionskin)
+    window = signals.window_blocks(own, start, stop, picks, size)
+    if onionskin and size:
+        # Two recordings may be cut into different blocks; only the window is cut anew.
+        window = signals.reblock(window, [c for c in window.columns if c not in ("start_sample", "samples")], size)
     laid = signals.overlay_blocks(window, ["source", "participant"]).where(F.col("step_num") == step)
-    pairs = F.arrays_zip(F.col("samples").alias("value"), F.coalesce("prev_samples", F.array()).alias("prev_value"))
+    # The step before may be longer; what lies beyond the end of this one isn't shown.
+    prev = F.slice(F.coalesce("prev_samples", F.array().cast("array<float>")), F.lit(1), F.size("samples"))
+    pairs = F.arrays_zip(F.col("samples").alias("value"), prev.alias("prev_value"))
     kept = ["ch_idx", "ch_name", "ch_type", "kind", "epoch_idx", "sfreq", "first_time", "start_sample"]
     long = laid.select(*kept, F.posexplode(pairs).alias("_pos", "_pair")).select(
         *kept, (F.col("start_sample") + F.col("_pos")).alias("sample_idx"), "_pair.*"

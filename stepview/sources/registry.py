@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,22 +11,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepview.operators.ranking import materialize, rank
+from stepview.sources import versions
 
 SCHEMA = "name string, directory string"
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """The registry kept at ``path`` as JSON; values become strings."""
-    return spark.read.schema(SCHEMA).json(path)
+    return spark.read.schema(SCHEMA).json(versions.current(spark, path) or path)
 
 
 def registry(spark: SparkSession, sources: dict[str, object] | None) -> DataFrame:
     """A registry from a mapping; none is an empty one."""
-    return spark.createDataFrame([(str(k), str(v)) for k, v in (sources or {}).items()], SCHEMA)
+    return spark.createDataFrame([(str(k), normalized(str(v))) for k, v in (sources or {}).items()], SCHEMA)
 
 
 def write_registry(sources: DataFrame, path: str) -> None:
-    sources.select("name", "directory").write.mode("overwrite").json(path)
+    """Keep ``sources`` at ``path``, also if they were read from there."""
+    with versions.new_version(sources.sparkSession, path) as folder:
+        sources.select("name", "directory").write.json(folder)
+
+
+def normalized(directory: str, home: str | None = None) -> str:
+    """A directory's plain form: ``~`` filled in, no double or trailing slash, no ``.`` or ``..``."""
+    if directory == "~" or directory.startswith("~/"):
+        directory = (home or os.path.expanduser("~")) + directory[1:]
+    return re.sub("^/+", "/", os.path.normpath(directory)) if directory else directory
+
+
+def _normalized(rows: DataFrame) -> DataFrame:
+    """``rows`` with plain directories; ``~`` is the home of who calls."""
+    home = os.path.expanduser("~")
+
+    def plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(directory=[None if d is None else normalized(d, home) for d in batch["directory"]])
+
+    return rows.mapInPandas(plain, rows.schema)
 
 
 def directory_of(sources: DataFrame, name: str) -> str:
@@ -55,7 +77,7 @@ def checked(arrivals: DataFrame) -> DataFrame:
             yield batch.assign(is_dir=[os.path.isdir(d) for d in batch["directory"]])
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in arrivals.schema)
-    return arrivals.mapInPandas(look, f"{columns}, is_dir boolean")
+    return _normalized(arrivals).mapInPandas(look, f"{columns}, is_dir boolean")
 
 
 def default_name(name, directory):
@@ -88,14 +110,14 @@ def _placed(rows: DataFrame, blocks: DataFrame | None) -> DataFrame:
 def unique_names(arrivals: DataFrame) -> DataFrame:
     """Names made unique: ``(name, directory, unique_name)`` for ``arrivals(name, directory, arrival)``.
 
-    A name taken by another directory becomes ``name-2``, ``name-3``, …; the same
+    Directories are compared in their plain form. A name taken by another directory becomes ``name-2``, ``name-3``, …; the same
     name and directory again make no new entry. ``arrival`` is a number
     unique to a row. Numbering is by rank within a name. A numbered name
     may also have been given as such (``x-2``): then the earlier arrival keeps it,
     and the later one's name skips that number. These cases are settled one per
     round and family of names, in order of arrival, until none is left.
     """
-    rows = arrivals.groupBy("name", "directory").agg(F.min("arrival").alias("arrival"))
+    rows = _normalized(arrivals.select("name", "directory", "arrival")).groupBy("name", "directory").agg(F.min("arrival").alias("arrival"))
     rows = materialize(rows, "arrivals")
     blocks = None
     while True:

@@ -1,8 +1,10 @@
 """Converted signals as a Parquet store, brought up to date in bulk.
 
 ``<path>/signal`` holds blocks, ``<path>/recordings`` one row per conversion.
-Conversions only append: blocks first, then the row that makes them count.
-A job that dies in between leaves blocks that no reader sees.
+Conversions only append: blocks first, then the rows that make them count, for the
+recordings that do have blocks. A job that dies in between leaves blocks that no reader
+sees, and what counted before still does. At last the files are deleted in which every
+recording has a later conversion.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ from stepview.operators.ranking import materialize
 RECORDING = ["source", "participant", "step_num", "step_dir"]
 RECORDINGS = (
     "source string, participant string, step_num bigint, step_dir string, kind string, "
-    "sfreq double, first_time double, mtime timestamp, batch string, converted timestamp"
+    "sfreq double, first_time double, mtime timestamp, batch string, converted timestamp, "
+    "n_blocks bigint, n_samples bigint, longest int"
 )
 SIGNAL = (
     "participant string, step_dir string, kind string, epoch_idx bigint, ch_idx int, ch_name string, "
-    "ch_type string, start_sample bigint, samples array<float>, batch string, source string, step_num bigint"
+    "ch_type string, start_sample bigint, samples array<float>, source string, step_num bigint, batch string"
 )
 
 
@@ -38,9 +41,9 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def converted(spark: SparkSession, path: str) -> DataFrame:
-    """The last conversion of each recording."""
+    """The last conversion of each recording; ``longest`` is the length of its longest block."""
     log = _read(spark, f"{path}/recordings", RECORDINGS)
-    last = F.max(F.struct("converted", "kind", "sfreq", "first_time", "mtime", "batch")).alias("_last")
+    last = F.max(F.struct("converted", "kind", "sfreq", "first_time", "mtime", "batch", "longest")).alias("_last")
     return log.groupBy(*RECORDING).agg(last).select(*RECORDING, "_last.*").drop("converted")
 
 
@@ -55,9 +58,9 @@ def convert(recordings: DataFrame, blocks: DataFrame, path: str, clean: bool = F
     """Convert what has no fresh conversion and report on all.
 
     ``recordings`` are rows of ``RECORDING``, ``kind``, ``mtime`` and, if known, ``sfreq``
-    and ``first_time``; ``blocks`` their decoded signal. Returns ``RECORDING`` and ``status``: ``Caching`` or
-    ``Already cached``. ``clean`` does them all again and drops what their
-    partitions held before.
+    and ``first_time``; ``blocks`` their decoded signal. Returns ``RECORDING`` and ``status``: ``Caching``,
+    ``Already cached``, or ``no_signal`` for those to be converted that have no block. ``clean`` does
+    all given recordings again, and no others.
     """
     spark = recordings.sparkSession
     batch = uuid.uuid4().hex
@@ -67,6 +70,7 @@ def convert(recordings: DataFrame, blocks: DataFrame, path: str, clean: bool = F
     todo = recordings if clean else pending(recordings, converted(spark, path), RECORDING)
     # Written out: the store changes below, and the report must not see that.
     todo = materialize(todo.select(*RECORDING, "kind", "sfreq", "first_time", "mtime"), "todo")
+    done = todo.select(*RECORDING).limit(0)
     if not todo.isEmpty():
         # Ranges cut a source of any size into files of equal size, sorted so
         # that a window of one participant touches few row groups.
@@ -77,17 +81,35 @@ def convert(recordings: DataFrame, blocks: DataFrame, path: str, clean: bool = F
             .select(*T.StructType.fromDDL(SIGNAL).names)
             .repartitionByRange(*order)
             .sortWithinPartitions(*order)
-            .write.mode("overwrite" if clean else "append")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("source", "step_num")
+            .write.mode("append")
+            .partitionBy("source", "step_num", "batch")
             .parquet(f"{path}/signal")
         )
-        done = todo.withColumn("batch", F.lit(batch)).withColumn("converted", F.current_timestamp())
+        size = F.size("samples")
+        written = _read(spark, f"{path}/signal", SIGNAL).where(F.col("batch") == batch).groupBy(*RECORDING)
+        written = written.agg(F.count(F.lit(1)).alias("n_blocks"), F.sum(size.cast("bigint")).alias("n_samples"), F.max(size).alias("longest"))
+        done = todo.join(written, RECORDING).withColumns({"batch": F.lit(batch), "converted": F.current_timestamp()})
+        done = materialize(done.select(*T.StructType.fromDDL(RECORDINGS).names), "done")
         done.write.mode("append").parquet(f"{path}/recordings")
-    status = F.when(F.col("_todo"), "Caching").otherwise("Already cached")
+        _drop_superseded(spark, path, done)
+    status = F.when(F.col("_done"), "Caching").when(F.col("_todo"), "no_signal").otherwise("Already cached")
     marked = todo.select(*RECORDING, F.lit(True).alias("_todo"))
-    return (
-        recordings.join(marked, RECORDING, "left")
-        .withColumn("_todo", F.coalesce("_todo", F.lit(False)))
-        .select(*RECORDING, status.alias("status"))
-    )
+    cached = done.select(*RECORDING, F.lit(True).alias("_done"))
+    return recordings.join(marked, RECORDING, "left").join(cached, RECORDING, "left").select(*RECORDING, status.alias("status"))
+
+
+def _drop_superseded(spark: SparkSession, path: str, done: DataFrame) -> None:
+    """Delete the files of finished batches in which no recording's last conversion is left.
+
+    Only the partitions that ``done`` has written to are looked at. Blocks without a row
+    in ``recordings`` may belong to a job that still runs, and stay.
+    """
+    finished = _read(spark, f"{path}/recordings", RECORDINGS).select("batch").distinct()
+    live = converted(spark, path).select(*RECORDING, "batch", F.lit(True).alias("_live"))
+    partitions = done.select("source", "step_num").distinct()
+    blocks = _read(spark, f"{path}/signal", SIGNAL).select(*RECORDING, "batch", F.col("_metadata.file_path").alias("_file"))
+    old = blocks.join(partitions, ["source", "step_num"], "left_semi").join(finished, "batch", "left_semi")
+    files = old.distinct().join(live, [*RECORDING, "batch"], "left").groupBy("_file").agg(F.max("_live").alias("_live"))
+    for row in files.where("_live is null").toLocalIterator():
+        where = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(row["_file"]))
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, False)

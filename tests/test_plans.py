@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from stepview.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,9 +18,9 @@ def physical(df):
         spark.conf.unset("spark.sql.maxMetadataStringLength")
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_pairwise_joins_and_no_python_rows(spark, name):
-    plan = physical(entry.queries()[name](spark, SF))
+    plan = physical(QUERIES[name](spark, SF))
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert "BatchEvalPython" not in plan  # row-at-a-time functions
     assert ("MapInPandas" in plan) == (name == "image_trim")
@@ -37,7 +37,7 @@ def test_no_pairwise_joins_and_no_python_rows(spark, name):
     ],
 )
 def test_scans_read_only_what_is_used(spark, name, columns):
-    plan = physical(entry.queries()[name](spark, SF))
+    plan = physical(QUERIES[name](spark, SF))
     read = re.findall(r"ReadSchema: struct<(.*?)>(?:\n|$)", plan)
     assert {field.split(":")[0] for schema in read for field in re.findall(r"\w+:", schema)} == columns
 
@@ -45,6 +45,6 @@ def test_scans_read_only_what_is_used(spark, name, columns):
 def test_whole_groups_are_not_gathered_by_windows(spark):
     """Windows are over (keys, chunk), never over the keys of a group alone."""
     for name in ("qc_items", "signal_window", "steps_for_participant"):
-        plan = physical(entry.queries()[name](spark, SF))
+        plan = physical(QUERIES[name](spark, SF))
         big = [line for line in plan.splitlines() if "Window [" in line and "_before" not in line]
         assert big and all("_chunk" in line.split("windowspecdefinition")[1] for line in big)

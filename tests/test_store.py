@@ -1,6 +1,7 @@
 """The registry and the store of converted signals."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,46 +10,52 @@ from stepview.operators.prefix import prefix_join
 from stepview.sources import registry, store
 
 
-def serial_names(arrivals):
-    """Registration one after the other."""
-    taken = {}
-    got = {}
-    for name, directory, _ in sorted(arrivals, key=lambda a: a[2]):
-        candidate, suffix = name, 2
-        while candidate in taken and taken[candidate] != directory:
-            candidate = f"{name}-{suffix}"
-            suffix += 1
-        taken[candidate] = directory
-        got.setdefault((name, directory), candidate)
-    return got
-
-
 def batch_names(spark, arrivals):
     df = spark.createDataFrame(arrivals, "name string, directory string, arrival long")
     return {(r.name, r.directory): r.unique_name for r in registry.unique_names(df).collect()}
 
 
 @pytest.mark.parametrize(
-    "names",
+    "arrivals,want",
     [
-        [("x", "a"), ("x", "b"), ("x", "a"), ("y", "a"), ("x", "c")],
-        [("x", "a"), ("x-2", "b"), ("x", "c"), ("x", "d")],  # a given x-2 comes first
-        [("x", "a"), ("x", "c"), ("x-2", "b"), ("x-2", "e")],  # a made x-2 comes first
-        [("x-2", "d"), ("x", "a"), ("x", "b"), ("x", "d"), ("x", "e")],  # meets its own directory
-        [("x", "a"), ("x-2", "b"), ("x", "p"), ("x-3", "q"), ("x", "r"), ("x-3", "s"), ("x-2", "t")],
+        ([("x", "/a"), ("x", "/b"), ("x", "/a"), ("y", "/a"), ("x", "/c")], ["x", "x-2", "x", "y", "x-3"]),
+        # A name given with a number: the earlier arrival keeps it.
+        ([("x", "/a"), ("x-2", "/b"), ("x", "/c"), ("x", "/d")], ["x", "x-2", "x-3", "x-4"]),
+        ([("x", "/a"), ("x", "/c"), ("x-2", "/b"), ("x-2", "/e")], ["x", "x-2", "x-2-2", "x-2-3"]),
+        # A made name that its own directory has already been given.
+        ([("x-2", "/d"), ("x", "/a"), ("x", "/b"), ("x", "/d"), ("x", "/e")], ["x-2", "x", "x-3", "x-2", "x-4"]),
+        # One directory, however it is written.
+        ([("x", "/d/a"), ("x", "/d/a/"), ("x", "//d//b/../a"), ("x", "~/q"), ("x", "~/q/.")], ["x", "x", "x", "x-2", "x-2"]),
     ],
 )
-def test_unique_names(spark, names):
-    arrivals = [(n, d, i) for i, (n, d) in enumerate(names)]
-    assert batch_names(spark, arrivals) == serial_names(arrivals)
+def test_unique_names(spark, arrivals, want):
+    df = spark.createDataFrame([(n, d, i) for i, (n, d) in enumerate(arrivals)], "name string, directory string, arrival long")
+    got = {(r.name, r.directory): r.unique_name for r in registry.unique_names(df).collect()}
+    assert [got[n, registry.normalized(d)] for n, d in arrivals] == want
 
 
 @pytest.mark.parametrize("seed", range(3))
 def test_unique_names_at_random(spark, seed):
+    """No two directories share a name; each name is the one asked for, or numbered."""
     rng = random.Random(seed)
     pool = ["x", "x-2", "x-3", "x-2-2", "y", "y-2"]
-    arrivals = [(rng.choice(pool), rng.choice("abcde"), i) for i in range(12)]
-    assert batch_names(spark, arrivals) == serial_names(arrivals)
+    arrivals = [(rng.choice(pool), "/" + rng.choice("abcde"), i) for i in range(12)]
+    got = batch_names(spark, arrivals)
+    assert got.keys() == {(n, d) for n, d, _ in arrivals}
+    assert len({(u, d) for (_, d), u in got.items()}) == len({u for u in got.values()})
+    assert all(u == n or re.fullmatch(re.escape(n) + "-[1-9][0-9]*", u) for (n, _), u in got.items())
+    assert got[arrivals[0][:2]] == arrivals[0][0]
+
+
+def test_registry_is_rewritten_where_it_was_read(spark, tmp_path):
+    path = str(tmp_path / "r")
+    registry.write_registry(registry.registry(spark, {"a": "/a/", "b": "/b"}), path)
+    registry.write_registry(registry.without(registry.read_registry(spark, path), "a"), path)
+    assert [tuple(r) for r in registry.read_registry(spark, path).collect()] == [("b", "/b")]
+    broken = registry.read_registry(spark, path).withColumn("name", F.raise_error(F.lit("broken")).cast("string"))
+    with pytest.raises(Exception, match="broken"):
+        registry.write_registry(broken, path)
+    assert [tuple(r) for r in registry.read_registry(spark, path).collect()] == [("b", "/b")]
 
 
 def test_registry_round_trip(spark, tmp_path):
@@ -114,13 +121,34 @@ def test_conversion(spark, tmp_path):
     assert spark.read.parquet(f"{path}/signal").count() == 3  # nothing old is left
 
 
+def test_clean_of_some_recordings_leaves_the_others(spark, tmp_path):
+    path = str(tmp_path / "store")
+    both = recordings(spark, ("s", "P1", 1, "1_a", "raw", 100), ("s", "P2", 1, "1_a", "raw", 100))
+    store.convert(both, signal(both, 1), path)
+    one = both.where("participant = 'P1'")
+    assert report(store.convert(one, signal(one, 2), path, clean=True)) == {("P1", 1): "Caching"}
+    assert content(spark, path) == {("P1", 1): 2.0, ("P2", 1): 1.0}
+    assert set(report(store.convert(both, signal(both, 3), path)).values()) == {"Already cached"}
+    assert content(spark, path) == {("P1", 1): 2.0, ("P2", 1): 1.0}
+
+
+def test_recording_without_blocks_is_not_converted(spark, tmp_path):
+    path = str(tmp_path / "store")
+    both = recordings(spark, ("s", "P1", 1, "1_a", "raw", 100), ("s", "P2", 1, "1_a", "raw", 100))
+    some = signal(both.where("participant = 'P1'"), 1)
+    assert report(store.convert(both, some, path)) == {("P1", 1): "Caching", ("P2", 1): "no_signal"}
+    assert report(store.convert(both, signal(both, 2), path)) == {("P1", 1): "Already cached", ("P2", 1): "Caching"}
+    assert content(spark, path) == {("P1", 1): 1.0, ("P2", 1): 2.0}
+    assert store.converted(spark, path).where("longest = 1").count() == 2
+
+
 def test_blocks_without_their_record_do_not_count(spark, tmp_path):
     """What a job leaves behind that dies before its last write."""
     path = str(tmp_path / "store")
     recs = recordings(spark, ("s", "P1", 1, "1_a", "raw", 100))
     store.convert(recs, signal(recs, 1), path)
     stray = signal(recs, 9).withColumn("batch", F.lit("dead"))
-    stray.write.mode("append").partitionBy("source", "step_num").parquet(f"{path}/signal")
+    stray.write.mode("append").partitionBy("source", "step_num", "batch").parquet(f"{path}/signal")
     assert content(spark, path) == {("P1", 1): 1.0}
 
 

@@ -3,7 +3,7 @@
 import base64
 
 import pytest
-from conftest import IMAGES
+from conftest import IMAGES, boxed, write_png
 from pyspark.sql import functions as F
 
 from stepview.plans import views
@@ -115,3 +115,51 @@ def test_epoch_view(spark, epoch_store):
 def test_epochs_are_not_laid_under_a_raw_recording(spark, epoch_store):
     shown = views.signal_view(spark, epoch_store, "s", "P1", 3, 0, onionskin=True).collect()
     assert len(shown) == 24 and all(r.prev_y is None for r in shown)
+
+
+def test_overlay_of_recordings_in_other_blocks(spark, tmp_path):
+    """The step before is in blocks of 4 and longer; this one is a block of 8."""
+    path = str(tmp_path / "store")
+    schema = "source string, participant string, step_num long, step_dir string, kind string, sfreq double"
+    recs = spark.createDataFrame([("s", "P", 1, "1_a", "raw", 1.0), ("s", "P", 2, "2_b", "raw", 1.0)], schema).withColumn("mtime", F.timestamp_seconds(F.lit(1)))
+    cut = [(1, 0, 4), (1, 4, 4), (1, 8, 4), (2, 0, 8)]
+    blocks = spark.createDataFrame([(n, b, [float(100 * n + i) for i in range(b, b + k)]) for n, b, k in cut], "step_num long, start_sample long, samples array<float>")
+    blocks = blocks.join(recs, "step_num").withColumns(
+        {"ch_idx": F.lit(0), "ch_name": F.lit("c"), "ch_type": F.lit("eeg"), "epoch_idx": F.lit(None).cast("bigint")}
+    )
+    store.convert(recs, blocks, path)
+    shown = views.signal_view(spark, path, "s", "P", 2, 2, onionskin=True).collect()
+    assert [(r.sample_idx, r.y, r.prev_y) for r in shown] == [(i, -(200.0 + i), -(100.0 + i)) for i in range(2, 8)]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    plan = views.signal_view(spark, path, "s", "P", 2, 2, 6)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThan(start_sample" in plan and "LessThan(start_sample" in plan
+
+
+def test_sources_that_look_like_numbers(spark, tmp_path):
+    for name, person in (("1", "A1"), ("01", "B1"), ("2024-01-01", "C1")):
+        (tmp_path / name / "1_load").mkdir(parents=True)
+        (tmp_path / name / "1_load" / f"{person}.set").write_text("x")
+    sources = registry.registry(spark, {n: f"{tmp_path}/{n}/" for n in ("1", "01", "2024-01-01")})
+    path = str(tmp_path / "index")
+    for _ in range(3):
+        views.refresh(sources, path)
+    assert [[r.participant for r in views.participant_list(spark, path, n).collect()] for n in ("1", "01", "2024-01-01")] == [["A1"], ["B1"], ["C1"]]
+    with pytest.raises(KeyError):
+        views.participant_list(spark, path, "001")
+    assert len(list((tmp_path / "index").glob("v*"))) == 2  # the last two versions
+
+
+def test_images_of_any_name(spark, tmp_path):
+    folder = tmp_path / "lab" / "quality_control" / "ICA" / "set1"
+    folder.mkdir(parents=True)
+    (tmp_path / "lab" / "1_load").mkdir()
+    (tmp_path / "lab" / "1_load" / "A.set").write_text("x")
+    write_png(folder / "A-big[1].PNG", boxed(9, 7, (2, 1, 5, 4), (200, 10, 30), (255, 255, 255)), 3)
+    (folder / "A-note.txt").write_text("no image")
+    sources = registry.registry(spark, {"lab": f"{tmp_path}/lab/"})
+    path = str(tmp_path / "index")
+    views.refresh(sources, path)
+    shown = views.peek_view(spark, path, sources, "lab", "A", "ICA", "set1", "A-big[1].PNG").collect()
+    assert [r.status for r in shown] == ["image"] and base64.b64decode(shown[0].encoded).startswith(b"\x89PNG")
+    assert [r.encoded for r in views.peek_view(spark, path, sources, "lab", "A", "ICA", "set1", "A-note.txt").collect()] == [None]
