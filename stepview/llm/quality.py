@@ -67,15 +67,18 @@ def features(docs: DataFrame, key: list[str], text: str, lang: str, repeats: boo
         counts.append(F.length(rest) - F.length(f"rest{i}"))
         rest = F.col(f"rest{i}")
     d = d.select(*kept, F.transform(F.array(*counts, F.length(rest)), lambda x: x.cast("bigint")).alias("chars"))
-    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), r"[^\p{L}]+", "  "), F.lit(" "))
-    d = d.withColumn("spaced", spaced)
-    common = functools.reduce(
-        lambda e, x: e.when(F.col("lang") == x, F.array(*[_occurs(w) for w in COMMON[x]])),
-        list(COMMON)[1:],
-        F.when(F.col("lang") == list(COMMON)[0], F.array(*[_occurs(w) for w in COMMON[list(COMMON)[0]]])),
-    )
-    letters = F.regexp_count(F.col("spaced"), F.lit(r"\p{L}+")).cast("bigint")
-    d = d.select(*kept, "chars", common.alias("hits"), letters.alias("letters"))
+    d = d.withColumn("spaced", F.regexp_replace(F.lower("text"), r"[^\p{L}]+", "  "))
+    gaps = (F.octet_length("spaced") - F.octet_length(F.replace(F.col("spaced"), F.lit("  "), F.lit("")))) / 2
+    at_ends = F.startswith(F.col("spaced"), F.lit("  ")).cast("int") + F.endswith(F.col("spaced"), F.lit("  ")).cast("int")
+    letters = F.when(F.col("spaced") == "", 0).otherwise(gaps + 1 - at_ends).cast("bigint")
+    # Only words as short as the common ones are searched.
+    longest = max(len(w) for words in COMMON.values() for w in words)
+    short = F.concat(F.lit(" "), F.regexp_replace("spaced", rf"\p{{L}}{{{longest + 1},}}", ""), F.lit(" "))
+    d = d.select(*kept, "chars", letters.alias("letters"), short.alias("spaced"))
+    first, *others = COMMON
+    counted = lambda x: F.array(*[_occurs(w) for w in COMMON[x]])
+    common = functools.reduce(lambda e, x: e.when(F.col("lang") == x, counted(x)), others, F.when(F.col("lang") == first, counted(first)))
+    d = d.select(*kept, "chars", common.alias("hits"), "letters")
     rest_of = F.col("letters") - F.aggregate("hits", F.lit(0).cast("bigint"), lambda a, x: a + x)
     d = d.select(*kept, "chars", F.concat("hits", F.array(rest_of)).alias("common"), "letters")
     if not repeats:
@@ -173,3 +176,52 @@ def filtered(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
     # times; it stays above one that numbers the rows.
     d = judged(docs, docs.columns, text, lang).select("row", "kept", F.monotonically_increasing_id().alias("number"))
     return d.where(F.col("kept") & (F.col("number") >= 0)).select("row.*")
+
+
+def _sql() -> str:
+    """The same in DuckDB's SQL."""
+    not_space = SPACE.replace("[", "[^")
+    chain, last = "SELECT doc_id, t, l FROM d", "t"
+    for i, pattern in enumerate(CLASSES.values()):
+        quoted = pattern.replace("'", "''")
+        chain = f"SELECT *, regexp_replace({last}, '{quoted}', '', 'g') AS r{i} FROM ({chain})"
+        last = f"r{i}"
+    steps = ["t", *(f"r{i}" for i in range(len(CLASSES)))]
+    chars = ", ".join([f"length({a}) - length({b})" for a, b in zip(steps, steps[1:])] + [f"length({last})"])
+    hits = " ".join(
+        f"WHEN '{name}' THEN [{', '.join(f'''(length(spaced) - length(replace(spaced, ' {w} ', ''))) // {len(w) + 2}''' for w in words)}]"
+        for name, words in COMMON.items()
+    )
+    n_words = max(map(len, COMMON.values())) + 1
+    sums = lambda name, n: "[" + ", ".join(f"sum({name}[{i}])" for i in range(1, n + 1)) + "]"
+
+    def distance_of(c: str, q: str) -> str:
+        a, b = f"({c}[i] / list_sum({c}))", f"({q}[i] / list_sum({q}))"
+        term = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({a} + {b}) / 2)) ELSE 0 END"
+        return f"sqrt(greatest(0, list_sum(list_transform(range(1, len({c}) + 1), lambda i: ({term(a)} + {term(b)}) / 2))))"
+
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({', '.join(f"'{x}'" for x in COMMON)}) THEN lang ELSE '' END AS l FROM documents),
+spaced AS (SELECT *, ' ' || regexp_replace(lower(t), '[^\\p{{L}}]+', '  ', 'g') || ' ' AS spaced, [{chars}] AS chars,
+  regexp_extract_all(t, '{not_space}+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{not_space}')) AS ls FROM ({chain})),
+hit AS (SELECT *, CASE l {hits} END AS hits, len(regexp_extract_all(spaced, '\\p{{L}}+')) AS letters FROM spaced),
+f AS (SELECT *, list_append(hits, letters - list_sum(hits)) AS common FROM hit),
+q AS (SELECT l, {sums('chars', len(CLASSES) + 1)} AS qc, {sums('common', n_words)} AS qw FROM f GROUP BY l),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM f)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, w) AS n FROM windows) WHERE n > 1),
+repeats AS (SELECT doc_id, sum(least({WINDOW}, coalesce(after - i, {WINDOW}))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM twice) GROUP BY doc_id),
+g AS (SELECT f.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(t, '{SYMBOLS}')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(repeats.n, 0) AS BIGINT) AS n_repeat_words, letters,
+  CASE WHEN length(t) >= {GUARD_CHARS} THEN {distance_of('chars', 'qc')} END AS dc,
+  CASE WHEN letters >= {GUARD_WORDS} AND common IS NOT NULL THEN {distance_of('common', 'qw')} END AS dw
+  FROM f JOIN q ON f.l = q.l LEFT JOIN repeats ON f.doc_id = repeats.doc_id),
+b AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM g)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(dc > {MOST_CHARS}, false) AND NOT coalesce(dw > greatest({MOST_WORDS}, {SLACK} / sqrt(letters)), false) AS kept,
+  round(dc, 4) AS char_distance, round(dw, 4) AS word_distance
+FROM b
+"""
+
+
+SQL = _sql()
