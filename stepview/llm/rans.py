@@ -24,7 +24,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,7 +36,7 @@ from stepview.llm.shared import col, drop, new_path, saved
 #: Interleaved coders; steps between checkpoints; ids in a block, about.
 LANES, EVERY, BLOCK = 1024, 64, 1 << 18
 #: Bits of the frequency table's total; the least state; bits of a word of the stream.
-BITS, LOW, WORD = 22, np.uint64(1 << 31), np.uint64(32)
+BITS, LOW, WORD = 20, np.uint64(1 << 31), np.uint64(32)
 #: Text bytes in a part, and the most parts there are (beyond, parts grow).
 PART, MOST = 32 << 20, 1 << 14
 
@@ -212,16 +211,17 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
         return pa.RecordBatch.from_pylist([dict(zip(BLOCKS.names, row, strict=True))], schema=_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.library_words.cache_clear()  # no more words in this stage, but their table is in the worker
         part, number, rows, held = None, 0, [], 0
-        for batch in batches:
-            for p, k, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if rows and (p != part or held + len(ids) > BLOCK * np.dtype(kind).itemsize):
-                    yield block(part, number, rows)
-                    number, rows, held = number + 1, [], 0
-                if p != part:
-                    part, number = p, 0
-                rows.append((k, ids))
-                held += len(ids)
+        for p, k, ids in (r for batch in batches for r in zip(*batch.columns, strict=True)):
+            p, k, ids = p.as_py(), k.as_py(), ids.as_py()
+            if rows and (p != part or held + len(ids) > BLOCK * np.dtype(kind).itemsize):
+                yield block(part, number, rows)
+                number, rows, held = number + 1, [], 0
+            if p != part:
+                part, number = p, 0
+            rows.append((k, ids))
+            held += len(ids)
         if rows:
             yield block(part, number, rows)
 
@@ -274,14 +274,17 @@ def starts(spark: SparkSession, folder: str) -> DataFrame:
 def digests(spark: SparkSession, folder: str) -> DataFrame:
     """Per document of the files: where it starts, its number of ids and their CRC-32."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sizes = pdf["ids"].map(len).to_numpy(np.int64)
-            # A batch may hold several blocks: count from each block's first document.
-            crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in pdf["ids"]]
-            yield pd.DataFrame({"part": pdf["part"], "block": pdf["block"], "at": pdf["at"], "doc_id": pdf["doc_id"].astype("Int64"), "n_tokens": sizes, "ids_crc32": crc})
-
-    each = read(spark, folder).mapInPandas(run, "part int, block int, at int, doc_id bigint, n_tokens bigint, ids_crc32 bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            crc, sizes = [], []
+            for ids in batch.column(4):
+                values = ids.values.to_numpy()
+                sizes.append(len(values))
+                crc.append(zlib.crc32(values.astype("<u4").tobytes()))
+            columns = [*batch.columns[:4], pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "at", "doc_id", "n_tokens", "ids_crc32"])
+
+    each = read(spark, folder).mapInArrow(run, "part int, block int, at int, doc_id bigint, n_tokens bigint, ids_crc32 bigint")
     before = Window.partitionBy("part", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     inside = each.withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     return inside.join(starts(spark, folder), ["part", "block"]).select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

@@ -246,7 +246,7 @@ def test_copies_of_a_page_are_no_template(spark):
 def test_broken_pages():
     for source, want in [
         ("plain <b>text</b> 1 < 2 &amp; 3", "plain text 1 < 2 & 3"),
-        ('<p title="x>y">a<p title="open>b</p>c', "a\n\nc"),
+        ('<p title="x>y">a<p title="open>b</p>c', "a\n\nb\n\nc"),
         ("<!-- never closed <p>x", ""),
         ("<article><p>a</article><p>b", "a"),
         ("<ul><li>a<li>b</ul>c</div></p>d", "a\n\nb\n\nc\n\nd"),
