@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stepview.llm.shared import beside, col, map_batches, saved
+from stepview.llm.shared import beside, col, map_batches, saved, scope
 
 #: Hashed terms, rank, extra columns of the random matrix, leading directions left out, words of a passage.
 TERMS, RANK, EXTRA, COMMON, PASSAGE = 1 << 14, 128, 16, 8, 32
@@ -293,7 +293,8 @@ def _matched(words: DataFrame, items: Items, space: Space) -> DataFrame:
 def filtered(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, as they are."""
     texts = docs.select(F.lit(None).alias("key"), col(text).alias("text"))
-    space = fit(saved(worded(texts, "key", "text").unionByName(worded(benchmark, item, item_text)), "words"))
+    with scope(docs.sparkSession):
+        space = fit(saved(worded(texts, "key", "text").unionByName(worded(benchmark, item, item_text)), "words"))
     for block in benchmark_blocks(benchmark, item, item_text):
         docs = _clean(docs, Items.of(block, space), space, text)
     return docs

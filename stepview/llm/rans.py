@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from stepview.llm import words
 from stepview.llm.bpe import TOKENIZER
-from stepview.llm.shared import col, drop, new_path, saved
+from stepview.llm.shared import col, new_path, saved, scope
 
 #: Interleaved coders; steps between checkpoints; ids in a block, about.
 LANES, EVERY, BLOCK = 1024, 64, 1 << 18
@@ -196,10 +196,15 @@ def read_table(spark: SparkSession, folder: str) -> Table:
 
 def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", end: int | None = 1, path: str = TOKENIZER) -> None:
     """Encode ``docs`` with the tokenizers library, close each with ``end``, and write the files."""
-    spark = docs.sparkSession
-    kind = width(path)
     begins = parts(docs, key, text)
-    tokens = saved(tokenized(docs, key, text, end, path, begins), "tokens")
+    with scope(docs.sparkSession):
+        tokens = saved(tokenized(docs, key, text, end, path, begins), "tokens")
+        _write(tokens, folder, width(path), len(begins) + 1)
+
+
+def _write(tokens: DataFrame, folder: str, kind: str, parts: int) -> None:
+    """Table of frequencies, then blocks."""
+    spark = tokens.sparkSession
     frequencies(tokens, kind).write.parquet(f"{folder}/frequencies")
     table = read_table(spark, folder)
 
@@ -225,7 +230,7 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
         if rows:
             yield block(part, number, rows)
 
-    dealt = tokens.repartitionById(len(begins) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
+    dealt = tokens.repartitionById(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
     dealt.mapInArrow(run, BLOCKS).write.partitionBy("part").parquet(f"{folder}/blocks")
 
 
@@ -298,4 +303,4 @@ def round_trip(docs: DataFrame) -> DataFrame:
     return digests(spark, folder)
 
 
-__all__ = ["Table", "decode_block", "decode_steps", "digests", "drop", "encode_block", "read", "round_trip", "write"]
+__all__ = ["Table", "decode_block", "decode_steps", "digests", "encode_block", "read", "round_trip", "write"]

@@ -8,7 +8,7 @@ import pathlib
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,19 +38,20 @@ def _hadoop(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A path in the shared folder that goes away with the session, or with the enclosing ``scope``."""
+def new_path(spark: SparkSession, tag: str, outer: bool = False) -> str:
+    """A path in the shared folder that goes away with the session, or with the enclosing ``scope`` (``outer``: the one around that)."""
     path = f"{folder(spark).rstrip('/')}/llm-{tag}-{uuid.uuid4().hex}"
     where, system = _hadoop(spark, path)
     system.deleteOnExit(where)
-    if _open:
-        _open[-1].append(path)
+    scopes = _open[:-1] if outer else _open
+    if scopes:
+        scopes[-1].append(path)
     return path
 
 
 @contextlib.contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
-    """Tables saved inside are deleted at the end; what is returned must not read them."""
+    """Tables saved inside are deleted at the end, but for those saved as ``outer``; what is used later must not read them."""
     _open.append([])
     try:
         yield
@@ -64,10 +65,10 @@ def drop(spark: SparkSession, path: str) -> None:
     system.delete(where, True)
 
 
-def saved(df: DataFrame, tag: str, partition_by: Iterable[str] = ()) -> DataFrame:
+def saved(df: DataFrame, tag: str, outer: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends here, lost executors lose nothing."""
-    path = new_path(df.sparkSession, tag)
-    df.write.partitionBy(*partition_by).parquet(path)
+    path = new_path(df.sparkSession, tag, outer)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

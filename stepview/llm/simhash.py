@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stepview.llm.shared import beside, col, map_batches, saved, unused
+from stepview.llm.shared import beside, col, map_batches, saved, scope, unused
 
 WORDS, REACH, SEED = 4, 4, 42
 #: Fingerprints at one anchor that one task compares, and the size of a block beyond that.
@@ -274,12 +274,13 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Da
     """Documents (``key``, ``fp``) and fingerprints (``fp``, ``root``, ``first``: least key of the component)."""
     plain = docs.select(col(key).alias("key"), col(text).alias("text"))
     prints = saved(fingerprints(plain, "text", "fp", ["key"]), "prints")
-    distinct = saved(prints.groupBy("fp").agg(F.min("key").alias("first")), "distinct")
-    roots = components(links(distinct.select("fp")))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left")
-    rooted = saved(rooted.select("fp", F.coalesce("root", "fp").alias("root"), "first"), "rooted")
-    least = saved(rooted.groupBy("root").agg(F.min("first").alias("first")), "least")
-    return prints, saved(rooted.drop("first").join(least, "root"), "groups")
+    with scope(docs.sparkSession):
+        distinct = saved(prints.groupBy("fp").agg(F.min("key").alias("first")), "distinct")
+        roots = components(links(distinct.select("fp")))
+        rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left")
+        rooted = saved(rooted.select("fp", F.coalesce("root", "fp").alias("root"), "first"), "rooted")
+        least = saved(rooted.groupBy("root").agg(F.min("first").alias("first")), "least")
+        return prints, saved(rooted.drop("first").join(least, "root"), "groups", outer=True)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
