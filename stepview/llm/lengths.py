@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from stepview.llm import words
 from stepview.llm.bpe import TOKENIZER
-from stepview.llm.shared import col
+from stepview.llm.shared import col, saved
 
 #: Lengths in a run.
 RUN = 512
@@ -52,6 +52,7 @@ def histogram(lengths: DataFrame, length: str = "length") -> DataFrame:
     (this length is the p-quantile for every p up to it, and above the row before).
     """
     counts = lengths.groupBy(col(length).cast("bigint").alias("length")).agg(F.count(F.lit(1)).alias("n_docs"))
+    counts = saved(counts, "lengths")  # used twice below, and dear to count
     counts = counts.withColumn("tokens", F.col("length") * F.col("n_docs"))
     counts = counts.withColumn("run", F.floor(F.col("length") / RUN))
     before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
