@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import functools
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -293,9 +293,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
 
 
-def kept(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def kept(docs: DataFrame, key: str = "doc_id", text: str = "text", grouped_by: Callable = groups, printed_by: Callable = fingerprints) -> DataFrame:
     """``docs`` with one row of each component: a row with the least key, of equal keys any one."""
-    prints, grouped = groups(docs, key, text)
+    prints, grouped = grouped_by(docs, key, text)
     with_root = prints.join(grouped, "fp").where(F.col("key").eqNullSafe(F.col("first")))
     chosen = saved(with_root.groupBy("root").agg(F.first("key").alias("key"), F.min("fp").alias("fp")), "chosen")
     often = saved(prints.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
@@ -312,5 +312,5 @@ def kept(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     if many.isEmpty():
         return once
     # Several rows have this key: the fingerprint tells which are meant, and of equal ones any may stay.
-    printed = fingerprints(found(many), text, mark, [*docs.columns, by])
+    printed = printed_by(found(many), text, mark, [*docs.columns, by])
     return once.unionByName(printed.where(F.col(mark) == F.col(by)).dropDuplicates([by]).select(*mine))
