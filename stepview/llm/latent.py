@@ -8,8 +8,11 @@ pass, singular vectors and values follow by the Nystrom formula. The first ``COM
 directions, which tell little more than the language, are left out.
 
 In the latent space, scaled by the singular values, half-overlapping windows of every text are
-compared with every benchmark item by cosine. Wherever it reaches ``COSINE``, the words
-around the window are checked: the longest common subsequence with the item must
+compared with every benchmark item by cosine. Foreign words in a window can hide an item from that, so
+there is a second, exact path: an item of n words with up to n // 4 of them replaced, left out or added shares at least
+``n - q + 1 - q * (n // 4)`` runs of q words with a text that holds it, and half of
+that within twice its length is enough. Wherever a cosine reaches ``COSINE`` or so many runs
+are shared, the words around are checked: the longest common subsequence with the item must
 cover enough of it, and of its answer (its last words) too, unless it covers almost
 all. The benchmark is the query set, taken in blocks; documents are never compared with each other.
 
@@ -41,6 +44,8 @@ COSINE = 0.45
 SHARE, ANSWER, ALL = 0.75, 0.5, 0.9
 #: The last part of an item that counts as its answer.
 TAIL = 0.25
+#: Words of an item from which shared runs are of three words, not two; bits of the first look at runs.
+LONG, BITS = 12, 22
 #: Items compared at a time; slices of sums.
 ITEMS, SLICES = 4096, 64
 
@@ -185,6 +190,54 @@ def windows(terms: np.ndarray, space: Space) -> np.ndarray:
     return unit(halves[:-1] + halves[1:]) if len(halves) > 1 else unit(halves)
 
 
+def grams(words: np.ndarray, q: int) -> np.ndarray:
+    """A hash for each run of ``q`` words."""
+    out = np.zeros(max(0, len(words) - q + 1), np.uint64)
+    for k in range(q):
+        out = (out ^ words[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out * np.uint64(0xBF58476D1CE4E5B9)
+
+
+@dataclass
+class Grams:
+    """Runs of ``q`` words of the items that are looked up by them."""
+
+    q: int
+    seen: np.ndarray
+    keys: np.ndarray
+    starts: np.ndarray
+    owners: np.ndarray
+
+    @staticmethod
+    def of(words: list[np.ndarray], q: int) -> Grams:
+        mine = [(j, np.unique(grams(w, q))) for j, w in enumerate(words) if q == run_length(len(w))]
+        every = np.concatenate([np.zeros(0, np.uint64), *(g for _, g in mine)])
+        owners = np.repeat(np.array([j for j, _ in mine], np.int64), [len(g) for _, g in mine])
+        order = np.argsort(every, kind="stable")
+        keys, starts = np.unique(every[order], return_index=True)
+        seen = np.zeros(1 << BITS, bool)
+        seen[keys >> np.uint64(64 - BITS)] = True
+        return Grams(q, seen, keys, np.append(starts, len(every)), owners[order])
+
+    def met(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items and places of all runs of a text that they share."""
+        found = grams(words, self.q)
+        at = np.flatnonzero(self.seen[found >> np.uint64(64 - BITS)])
+        k = np.searchsorted(self.keys, found[at])
+        same = k < len(self.keys)
+        same[same] = self.keys[k[same]] == found[at[same]]
+        at, k = at[same], k[same]
+        counts = self.starts[k + 1] - self.starts[k]
+        inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        return self.owners[np.repeat(self.starts[k], counts) + inside], np.repeat(at, counts)
+
+
+def run_length(n: int) -> int:
+    """Words of the runs by which an item of ``n`` words is looked up."""
+    return 3 if n >= LONG else min(n, 2)
+
+
 @dataclass
 class Items:
     """Benchmark items ready for comparison."""
@@ -192,6 +245,22 @@ class Items:
     ids: list[int | None]
     words: list[np.ndarray]
     directions: np.ndarray
+    #: Made in the worker, by ``spans``.
+    runs: list[Grams] | None = None
+
+    def spans(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Item, begin and end of the words of a text that share enough runs with it."""
+        if self.runs is None:
+            self.runs = [Grams.of(self.words, q) for q in {run_length(len(w)) for w in self.words}]
+        for some in self.runs:
+            item, at = some.met(words)
+            order = np.lexsort((at, item))
+            item, at = item[order], at[order]
+            n = np.array([len(w) for w in self.words], np.int64)[item]
+            last = np.arange(len(item)) + np.maximum(1, (n - some.q + 1 - some.q * (n // 4)) // 2) - 1
+            ends = np.minimum(last, len(item) - 1)
+            good = np.flatnonzero((last == ends) & (item[ends] == item) & (at[ends] - at <= 2 * n))
+            yield from zip(item[good].tolist(), (at - n)[good].tolist(), (at[ends] + some.q + n)[good].tolist(), strict=True)
 
     @staticmethod
     def of(rows: list[tuple[int | None, str | None]], space: Space) -> Items:
@@ -222,13 +291,18 @@ def leaks(words: np.ndarray, space: Space, items: Items) -> list[tuple[int, int,
     at, item = np.nonzero(cosine >= COSINE)
     best: dict[int, tuple[int, float]] = {}
     half = PASSAGE // 2
+    places: dict[int, list[tuple[int, int]]] = {}
     for j, group in _runs(at, item):
+        n = len(items.words[j])
+        places[j] = [(first * half - n, last * half + PASSAGE + n) for first, last in group]
+    for j, begin, end in items.spans(words):
+        places.setdefault(j, []).append((begin, end))
+    for j, group in places.items():
         wanted = items.words[j].tolist()
         n = len(wanted)
         have = set(wanted)
-        for first, last in group:
-            begin = max(0, first * half - n)
-            region = words[begin : last * half + PASSAGE + n].tolist()
+        for begin, end in _merged(group):
+            region = words[max(0, begin) : end].tolist()
             if n - len(have.difference(region)) < SHARE * n:  # no subsequence can have what the region lacks
                 continue
             for k in range(0, max(1, len(region) - n // 2), max(1, n // 2)):
@@ -255,6 +329,18 @@ def _runs(at: np.ndarray, item: np.ndarray) -> Iterator[tuple[int, list[tuple[in
     yield from found.items()
 
 
+def _merged(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Spans that overlap are one."""
+    spans = sorted(spans)
+    begin, end = spans[0]
+    for a, b in spans[1:]:
+        if a > end:
+            yield begin, end
+            begin, end = a, b
+        end = max(end, b)
+    yield begin, end
+
+
 def benchmark_blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[int | None, str | None]]]:
     """The query set, at most ``ITEMS`` at a time."""
     block = []
