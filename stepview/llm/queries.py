@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepview.llm import bpe, latent, lengths, perspectives, quality, rans, reshard, secrets, simhash, wrapper
+from stepview.llm import bpe, crosstokens, latent, lengths, periods, perspectives, quality, rans, reshard, secrets, simhash, wrapper
 from stepview.llm.shared import ship, table
 
 
@@ -54,6 +54,14 @@ def op10_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstokens.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digests(table(spark, sf_dir, "documents"), plant=True)
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -75,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_latent_leaks,
         op9_bpe_boundaries,
         op10_wrapper_text,
+        op11_token_alignment,
+        op12_periodic_runs,
     )
 }
 
