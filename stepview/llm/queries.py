@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepview.llm import bpe, crosstokens, latent, lengths, periods, perspectives, quality, rans, reshard, secrets, simhash, wrapper
+from stepview.llm import bpe, collisions, crosstokens, latent, lengths, periods, perspectives, quality, rans, reshard, secrets, simhash, wrapper
 from stepview.llm.shared import ship, table
 
 
@@ -62,6 +62,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digests(table(spark, sf_dir, "documents"), plant=True)
 
 
+def op13_coordinate_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_wrapper_text,
         op11_token_alignment,
         op12_periodic_runs,
+        op13_coordinate_collisions,
     )
 }
 
