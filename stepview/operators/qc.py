@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepview.functions import paths
+from stepview.functions import nested, paths
 from stepview.functions.natural import natural_key
 from stepview.operators.prefix import prefix_join
 from stepview.operators.ranking import materialize, rank
@@ -208,3 +208,40 @@ def with_encoded(items: DataFrame, encoded: DataFrame) -> DataFrame:
     ``encoded`` is ``source, rel_path, encoded``; other columns stay as they are.
     """
     return items.join(encoded.select("source", "rel_path", "encoded"), ["source", "rel_path"], "left")
+
+
+def nested_sets(tree: DataFrame) -> DataFrame:
+    """The drill-down of each set as one nested value: ``SET``, ``groups`` and ``rest``.
+
+    Takes ``qc_tree`` rows. ``groups`` maps a stem to its ``scalp`` image (``name, rel_path``; NULL without one) and its ranges
+    ``chs`` (``ch_start, ch_end, name, rel_path``) in order, ``rest`` a file name to its path. One set of one participant is
+    brought together in one row: for what is shown at once, not for a whole source's images.
+    """
+    name = paths.base_name(F.col("rel_path"))
+    shown = tree.withColumn("name", name)
+    scalp = F.max(F.when(F.col("item_kind") == "scalp", F.struct("name", "rel_path")))
+    ranges = F.collect_list(F.when(F.col("item_kind") == "chs", F.struct("pos", "ch_start", "ch_end", "name", "rel_path")))
+    chs = F.transform(F.array_sort(ranges), lambda r: r.dropFields("pos"))
+    bits = shown.groupBy(*SET, "is_rest", "bit").agg(scalp.alias("scalp"), chs.alias("chs"), F.max("rel_path").alias("rel_path"))
+    group = F.when(~F.col("is_rest"), F.struct("bit", F.struct("scalp", "chs")))
+    other = F.when(F.col("is_rest"), F.struct("bit", "rel_path"))
+    sets = bits.groupBy(*SET).agg(F.collect_list(group).alias("groups"), F.collect_list(other).alias("rest"))
+    return sets.select(*SET, F.map_from_entries("groups").alias("groups"), F.map_from_entries("rest").alias("rest"))
+
+
+def encode_nested(rows: DataFrame, columns: list[str], encoded: DataFrame, keys: list[str], names: tuple[str, ...] = ("rel_path", "rest")) -> DataFrame:
+    """``rows`` with each path nested anywhere in ``columns`` replaced by its content.
+
+    ``encoded`` is ``keys, rel_path, encoded``. Paths are the texts in or below fields of the given ``names``, at any
+    depth; other values stay. One without content becomes NULL. The paths of all columns are looked up in one join.
+    """
+    # Written first: the number of a row must not change between its two uses.
+    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "nested")
+    whole = F.struct(*[F.col(c) for c in columns])
+    kind = rows.select(*columns).schema
+    wanted = rows.select("_row", *keys, F.explode(F.array_distinct(nested.texts(whole, kind, names))).alias("rel_path"))
+    known = wanted.join(encoded.select(*keys, "rel_path", "encoded"), [*keys, "rel_path"])
+    known = known.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("rel_path", "encoded"))).alias("_known"))
+    by = F.coalesce("_known", F.create_map().cast("map<string,string>"))
+    out = {c: nested.replaced(F.col(c), rows.schema[c].dataType, names, by, c in names) for c in columns}
+    return rows.join(known, "_row", "left").withColumns(out).drop("_row", "_known")

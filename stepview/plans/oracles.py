@@ -108,6 +108,23 @@ FROM (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding) AS v FROM embeddi
 SELECT image, coalesce(min(x) FILTER (WHERE v = 1), 0) AS x0, coalesce(min(y) FILTER (WHERE v = 1), 0) AS y0,
        coalesce(max(x) FILTER (WHERE v = 1), 7) + 1 AS x1, coalesce(max(y) FILTER (WHERE v = 1), 7) + 1 AS y1
 FROM pixels GROUP BY image""",
+    "file_pixels": """
+SELECT vec_id AS image, c, w, CAST(i // c % w AS INT) AS x, CAST(i // c // w AS INT) AS y, i % c AS ch,
+       CASE WHEN i % c = c - 1 THEN CASE WHEN v > 0.25 THEN 255 ELSE 0 END
+            ELSE CAST(floor(abs(CAST(v AS DOUBLE)) * 1000) AS INT) % 256 END AS byte
+FROM (SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 4 END AS c, CASE WHEN vec_id % 2 = 0 THEN 8 ELSE 4 END AS w,
+             unnest(range(64)) AS i, unnest(embedding) AS v FROM embeddings)""",
+    "file_marks": """
+SELECT image, x, y, max(byte) FILTER (WHERE ch = c - 1) > 0 AS seen,
+       bool_or(byte <> corner) FILTER (WHERE ch < c - 1) AS differs
+FROM (SELECT *, first_value(byte) OVER (PARTITION BY image, ch ORDER BY y, x) AS corner FROM file_pixels)
+GROUP BY image, x, y""",
+    "file_boxes": """
+SELECT image, w, coalesce(min(x) FILTER (WHERE seen), min(x) FILTER (WHERE differs), 0) AS x0,
+       coalesce(min(y) FILTER (WHERE seen), min(y) FILTER (WHERE differs), 0) AS y0,
+       coalesce(max(x) FILTER (WHERE seen), max(x) FILTER (WHERE differs), w - 1) + 1 AS x1,
+       coalesce(max(y) FILTER (WHERE seen), max(y) FILTER (WHERE differs), 3) + 1 AS y1
+FROM file_marks JOIN (SELECT DISTINCT image, w FROM file_pixels) USING (image) GROUP BY image, w""",
     "named": """
 SELECT name, directory, CASE WHEN n = 1 THEN name ELSE name || '-' || n END AS unique_name
 FROM (SELECT c_mktsegment AS name, '/data/' || c_nationkey AS directory,
@@ -390,6 +407,25 @@ FROM epochs_shown GROUP BY participant, step_num, ch_idx""",
         ),
         "image_bbox": _sql("SELECT * FROM boxes", "boxes"),
         "image_trim": _sql("SELECT *, x1 - x0 AS width, y1 - y0 AS height FROM boxes", "boxes"),
+        "image_decode": _sql(
+            """
+SELECT image, 'ok' AS status, CAST(x0 AS INT) AS x0, CAST(y0 AS INT) AS y0, CAST(x1 AS INT) AS x1, CAST(y1 AS INT) AS y1,
+       CAST(x1 - x0 AS INT) AS width, CAST(y1 - y0 AS INT) AS height, CAST(c AS INT) AS n_channels,
+       string_agg(printf('%02x', byte), '' ORDER BY y, x, CASE WHEN c = 4 AND ch < 3 THEN 2 - ch ELSE ch END) AS pixels
+FROM file_pixels JOIN file_boxes b USING (image) WHERE x >= x0 AND x < x1 AND y >= y0 AND y < y1
+GROUP BY image, x0, y0, x1, y1, c""",
+            "file_pixels", "file_marks", "file_boxes",
+        ),
+        "qc_nested": _sql(
+            """
+SELECT source, participant, root, set_name, is_rest, bit,
+  arg_max(name, nat_rank) FILTER (WHERE item_kind <> 'chs') AS name,
+  to_base64(encode(arg_max(rel_path, nat_rank) FILTER (WHERE item_kind <> 'chs'))) AS shown,
+  coalesce(string_agg(ch_start || ':' || ch_end || ':' || to_base64(encode(rel_path)), ' ' ORDER BY ch_start, ch_end, name, rel_path)
+    FILTER (WHERE item_kind = 'chs'), '') AS ranges
+FROM qc_bits GROUP BY source, participant, root, set_name, is_rest, bit""",
+            "qc_raw", "qc_people", "qc_classified", "qc_all", "qc_bits",
+        ),
         "unique_names": _sql("SELECT name, directory, unique_name FROM named", "named"),
         "registry_lookup": _sql(
             """

@@ -425,6 +425,31 @@ def image_trim(spark, sf):
     return cropped.select(F.col("key").alias("image"), "x0", "y0", "x1", "y1", width.alias("width"), height.alias("height"))
 
 
+@query
+def image_decode(spark, sf):
+    """PNG files decoded, trimmed by alpha, encoded, and the pixels of what is left decoded again."""
+    cropped = images.encoded_files(b.png_files(spark, sf), "content")
+    again = images.decoded(cropped.withColumnRenamed("status", "file_status"), "png")
+    pixels = F.lower(F.hex("data")).alias("pixels")
+    return again.select("image", F.col("file_status").alias("status"), "x0", "y0", "x1", "y1", "width", "height", "n_channels", pixels)
+
+
+@query
+def qc_nested(spark, sf):
+    """The drill-down as nested values, with every path in them replaced by content, and taken apart again."""
+    items = qc.classified(b.qc_files(spark, sf), b.qc_participants(spark, sf))
+    content = b.qc_files(spark, sf).withColumn("encoded", labels.base64_text(F.encode("rel_path", "UTF-8")))
+    sets = qc.encode_nested(qc.nested_sets(qc.qc_tree(items)), ["groups", "rest"], content, ["source"])
+    ranges = F.array_join(F.transform("value.chs", lambda c: F.concat_ws(":", c["ch_start"], c["ch_end"], c["rel_path"])), " ")
+    groups = sets.select(*qc.SET, F.explode("groups")).select(
+        *qc.SET, F.lit(False).alias("is_rest"), F.col("key").alias("bit"), F.col("value.scalp.name").alias("name"), F.col("value.scalp.rel_path").alias("shown"), ranges.alias("ranges")
+    )
+    rest = sets.select(*qc.SET, F.explode("rest")).select(
+        *qc.SET, F.lit(True).alias("is_rest"), F.col("key").alias("bit"), F.col("key").alias("name"), F.col("value").alias("shown"), F.lit("").alias("ranges")
+    )
+    return groups.unionByName(rest)
+
+
 @query
 def unique_names(spark, sf):
     return registry.unique_names(b.arrivals(spark, sf))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stepview.functions.labels import base64_text
 from stepview.functions.natural import natural_key
 from stepview.operators import catalog, epochs, freshness, images, logs, qc, signals
 from stepview.operators.prefix import prefix_join
@@ -100,6 +101,24 @@ def log_view(spark: SparkSession, path: str, source: str, participant: str, rel_
     return logs.read_logs(listed).select("rel_path", "content")
 
 
+def _contents(wanted: DataFrame, sources: DataFrame, source: str) -> DataFrame:
+    """``source, rel_path, encoded, file_status`` of listed images (``rel_path``) of a source: trimmed, as base64 of PNG files."""
+    spark = wanted.sparkSession
+    folder = f"{registry.normalized(registry.directory_of(sources, source))}/quality_control"
+    files = wanted.select(F.lit(source).alias("source"), "rel_path", F.concat(F.lit(f"{folder}/"), "rel_path").alias("path"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = files.withColumn("file", F.col("path")).repartition(tasks, "path")
+    shown = materialize(images.encoded_files(spread).withColumn("encoded", base64_text(F.col("png"))), "shown")
+    # Kinds besides PNG are for Spark's own reader.
+    rest = shown.where("status = 'other'").select("source", "rel_path", F.col("file").alias("path"))
+    paths = [r["path"] for r in rest.select("path").toLocalIterator()]
+    encoded = shown.where("status <> 'other'").select("source", "rel_path", "encoded", F.col("status").alias("file_status"))
+    if not paths:
+        return encoded
+    read = images.located(images.encoded_images(images.read_images(spark, paths)), rest).withColumn("file_status", F.lit("ok"))
+    return encoded.unionByName(rest.select("source", "rel_path").join(read, ["source", "rel_path"], "left"))
+
+
 def peek_view(
     spark: SparkSession,
     path: str,
@@ -112,7 +131,8 @@ def peek_view(
 ) -> DataFrame:
     """The images of one bit, trimmed and encoded: ``status, rel_path, encoded``.
 
-    Only the chosen files are opened.
+    Only the chosen files are opened. A listed image that can't be shown has ``missing``, ``unreadable`` or ``broken``
+    for its status and no content.
     """
     request = [(0, source, participant, root, set_name, bit)]
     names = "request long, source string, participant string, root string, set_name string, bit string"
@@ -121,12 +141,19 @@ def peek_view(
     wanted = found.where("rel_path is not null")
     if wanted.isEmpty():
         return found.withColumn("encoded", F.lit(None).cast("string"))
-    folder = f"{registry.normalized(registry.directory_of(sources, source))}/quality_control"
-    files = wanted.select(F.lit(source).alias("source"), "rel_path", F.concat(F.lit(f"{folder}/"), "rel_path").alias("path"))
-    chosen = images.read_images(spark, [r["path"] for r in files.select("path").toLocalIterator()])
-    return qc.with_encoded(found.withColumn("source", F.lit(source)), images.located(images.encoded_images(chosen), files)).select(
-        "status", "rel_path", "encoded"
-    )
+    encoded = _contents(wanted.select("rel_path").distinct(), sources, source)
+    status = F.when(F.col("file_status") == "ok", F.col("status")).otherwise(F.coalesce("file_status", F.lit("broken")))
+    named = wanted.withColumn("source", F.lit(source)).join(encoded, ["source", "rel_path"], "left").withColumn("status", status)
+    unnamed = found.where("rel_path is null").withColumn("encoded", F.lit(None).cast("string"))
+    return named.select("status", "rel_path", "encoded").unionByName(unnamed)
+
+
+def peek_tree(spark: SparkSession, path: str, sources: DataFrame, source: str, participant: str, root: str) -> DataFrame:
+    """The whole drill-down of one root, a row for each set as ``qc.nested_sets`` has it, with content in place of the paths."""
+    own = materialize(_own(spark, path, "qc_images", source, participant).where(F.col("root") == root), "own")
+    tree = materialize(qc.qc_tree(own), "drill")
+    encoded = _contents(tree.select("rel_path").distinct(), sources, source)
+    return qc.encode_nested(qc.nested_sets(tree), ["groups", "rest"], encoded, ["source"])
 
 
 def _recordings(

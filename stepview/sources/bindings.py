@@ -6,9 +6,14 @@ are read; column pruning and filters reach the scans.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stepview.operators import png
 from stepview.operators.ranking import rank
 
 # The channels in index order, those that hold data, and the
@@ -237,6 +242,24 @@ def images(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def png_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Each vector as a PNG file: gray with alpha for even ids, colours with alpha for others, every line filtered its own way."""
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("image"), F.col("embedding").cast("array<double>").alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files = []
+            for image, row in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                v = row.values.to_numpy()
+                shape = (4, 8, 2) if image % 2 == 0 else (4, 4, 4)
+                pixels = (np.floor(np.abs(v) * 1000) % 256).astype(np.uint8).reshape(shape)
+                pixels[:, :, -1] = np.where(v.reshape(shape)[:, :, -1] > 0.25, 255, 0)
+                files.append(png.encode(pixels, (np.arange(4) + image) % 5))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], names=["image", "content"])
+
+    return vectors.mapInArrow(run, "image bigint, content binary")
+
+
 def arrivals(spark: SparkSession, sf: str) -> DataFrame:
     """Directories to be registered, in order of arrival."""
     return table(spark, sf, "customer").groupBy("c_mktsegment", "c_nationkey").agg(
