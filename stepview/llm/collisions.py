@@ -152,10 +152,11 @@ def sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 found = [_set(x.as_py()) for x in batch.column(0).slice(at, 256).cast(pa.binary())]
-                columns = [pa.array(map(_node, found), pa.int64()), pa.array([f.astype("<u8").tobytes() for f in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["fp", "set"])
+                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(map(_node, found), pa.int64()), lists], names=["fp", "set"])
 
-    found = near.select("text").mapInArrow(run, "fp bigint, set binary")
+    found = near.select("text").mapInArrow(run, "fp bigint, set array<bigint>")
     return found.join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
 
 
@@ -166,19 +167,15 @@ def _alike(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
 
 def verified(pairs: DataFrame, nodes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (``a``, ``b``) with enough matches whose sets are alike."""
-    matches = least_matches(percent)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            alike = [_alike(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(alike, pa.bool_())).columns[:2], names=["a", "b"])
-
     one, two = (nodes.select(F.col("fp").alias(k), F.col("n").alias(f"n_{k}"), F.col("coordinates").alias(f"of_{k}")) for k in "ab")
     sized = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    close = pairs.join(two, "b").join(one, "a").where(sized & (F.size(F.array_intersect("of_a", "of_b")) >= matches)).select("a", "b")
+    matched = F.size(F.array_intersect("of_a", "of_b")) >= least_matches(percent)
+    close = pairs.join(two, "b").join(one, "a").where(sized & matched).select("a", "b", "n_a", "n_b")
     left, right = (found.select(F.col("fp").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
     # The hub's set comes last, so that it is not sent along with each of its members.
-    return saved(close, "close").join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    joined = saved(close, "close").join(right, "b").join(left, "a").select("a", "b", "n_a", "n_b", both.alias("both"))
+    return joined.where(f"100 * both >= {percent} * (n_a + n_b - both)").select("a", "b")
 
 
 def labelled(placed: DataFrame, roots: DataFrame) -> DataFrame:
@@ -206,7 +203,7 @@ def _compare(percent: int) -> Callable[[pa.Table], pa.Table]:
         padded = np.full((len(fp), max(map(len, lists))), here)
         for row, some in zip(padded, lists):
             row[: len(some)] = some
-        whole = [np.frombuffer(x.as_buffer(), "<u8") for x in group["set"].combine_chunks()]
+        whole = [x.values.to_numpy().view(np.uint64) for x in group["set"]]
         a, b = [], []
         for x in range(len(fp) - 1):
             y = np.arange(x + 1, len(fp))
