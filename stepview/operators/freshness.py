@@ -34,9 +34,22 @@ def freshness_status(base: Column, raw: Column, epochs: Column, readable: Column
 
 
 def freshness(caches: DataFrame) -> DataFrame:
-    """``status`` for each row of ``caches(…, base_mtime, raw_mtime, epo_mtime)``."""
-    status = freshness_status(F.col("base_mtime"), F.col("raw_mtime"), F.col("epo_mtime"))
-    return caches.withColumn("status", status).drop("base_mtime", "raw_mtime", "epo_mtime")
+    """``status`` for each row of ``caches(…, base_mtime, raw_mtime, epo_mtime)``.
+
+    ``raw_readable`` and ``epo_readable`` (BOOLEAN) may be among the columns; a NULL there counts as readable.
+    """
+    known = [c for c in ("raw_readable", "epo_readable") if c in caches.columns]
+    readable = F.struct(*[(F.col(c) if c in known else F.lit(None).cast("boolean")).alias(n) for c, n in (("raw_readable", "raw"), ("epo_readable", "epochs"))])
+    status = freshness_status(F.col("base_mtime"), F.col("raw_mtime"), F.col("epo_mtime"), readable if known else None)
+    return caches.withColumn("status", status).drop("base_mtime", "raw_mtime", "epo_mtime", *known)
+
+
+def digest(blocks: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``keys``, number of rows and ``digest`` of all their values, whatever the order of the rows; partial results merge."""
+    row = F.xxhash64(*columns)
+    # The second sum tells rows that occur twice, which the exclusive or would take out.
+    halves = F.sum(F.shiftrightunsigned(F.xxhash64(row), 32)) + F.sum(F.shiftright(F.xxhash64(F.lit(1), row), 32))
+    return blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.concat_ws("-", F.hex(F.bit_xor(row)), F.hex(halves)).alias("digest"))
 
 
 def caches(manifest: DataFrame) -> DataFrame:

@@ -242,6 +242,69 @@ def overlay_blocks(blocks: DataFrame, recording: Sequence[str], channel: str = "
     )
 
 
+def overlay_overlapping(blocks: DataFrame, recording: Sequence[str], cell: int, channel: str = "ch_idx") -> DataFrame:
+    """``overlay`` of blocks of any lengths: pieces of them with ``prev_samples``, the samples of the step before under them.
+
+    Blocks of both steps are cut at multiples of ``cell`` samples, as arrays, and what lies in one cell meets in one
+    group, so nothing is unpacked and a group is no larger than its cell. ``prev_samples`` is as long as
+    ``samples``, NULL where the step before has none, and NULL as a whole if it has none of this kind at all under the
+    piece. Columns besides ``start_sample`` and ``samples`` stay. An epoched signal also meets by ``epoch_idx``.
+    """
+    first, size = F.col("start_sample"), F.size("samples")
+    cells = F.sequence(F.floor(first / cell), F.floor((first + size - 1) / cell))
+    begin = F.greatest(first, F.col("_cell") * cell)
+    end = F.least(first + size, (F.col("_cell") + 1) * cell)
+    rest = [c for c in blocks.columns if c not in (*recording, "step_num", channel, "epoch_idx", "start_sample", "samples")]
+    pieces = (
+        blocks.where(size > 0)
+        .withColumn("_cell", F.explode(cells))
+        .withColumn("samples", F.slice("samples", (begin - first + 1).cast("int"), (end - begin).cast("int")))
+        .withColumn("start_sample", begin)
+    )
+    piece = F.struct("start_sample", "samples", *rest)
+    sides = F.array(F.struct(F.col("step_num").alias("step_num"), F.lit(True).alias("own")), F.struct((F.col("step_num") + 1).alias("step_num"), F.lit(False).alias("own")))
+    keys = [*recording, "step_num", channel, "epoch_idx", "_cell"]
+    met = (
+        pieces.select(*recording, channel, "epoch_idx", "_cell", piece.alias("_piece"), F.explode(sides).alias("_side"))
+        .select(*recording, channel, "epoch_idx", "_cell", "_piece", "_side.*")
+        .groupBy(*keys)
+        .agg(
+            F.collect_list(F.when(F.col("own"), F.col("_piece"))).alias("_own"),
+            F.array_sort(F.collect_list(F.when(~F.col("own"), F.col("_piece")))).alias("_prev"),
+        )
+        .where(F.size("_own") > 0)
+    )
+    nothing = F.lit(None).cast(blocks.schema["samples"].dataType.elementType)
+
+    def under(own: Column) -> Column:
+        """The earlier pieces of the same kind laid end to end, gaps filled, and cut to what is under ``own``."""
+        start, length = own["start_sample"], F.size(own["samples"])
+        stop = start + length
+
+        def fits(p: Column) -> Column:
+            over = (p["start_sample"] < stop) & (p["start_sample"] + F.size(p["samples"]) > start)
+            return over & (p["kind"] == own["kind"]) if "kind" in rest else over
+
+        fit = F.filter("_prev", fits)
+        cut = F.transform(
+            fit,
+            lambda p: F.struct(
+                F.greatest(p["start_sample"], start).alias("at"),
+                F.slice(p["samples"], (F.greatest(start - p["start_sample"], F.lit(0)) + 1).cast("int"), F.size(p["samples"])).alias("samples"),
+            ),
+        )
+
+        def filled(made: Column, to: Column) -> Column:
+            return F.concat(made, F.array_repeat(nothing, F.greatest(to - start - F.size(made), F.lit(0)).cast("int")))
+
+        none = F.array().cast(blocks.schema["samples"].dataType)
+        laid = F.aggregate(cut, none, lambda made, p: F.concat(filled(made, p["at"]), p["samples"]), lambda made: F.slice(filled(made, stop), F.lit(1), length))
+        return F.when(F.size(fit) > 0, laid)
+
+    joined = F.transform("_own", lambda o: F.struct(*[o[c].alias(c) for c in ("start_sample", "samples", *rest)], under(o).alias("prev_samples")))
+    return met.select(*recording, "step_num", channel, "epoch_idx", F.inline(joined)).select(*blocks.columns, "prev_samples")
+
+
 def decimate_blocks(blocks: DataFrame, start: int, factor: Column) -> DataFrame:
     """``decimate`` on blocks: rows ``(…, times ARRAY<BIGINT>, samples)`` of kept samples."""
     first = F.col("start_sample")

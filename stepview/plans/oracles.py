@@ -108,6 +108,19 @@ FROM (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding) AS v FROM embeddi
 SELECT image, coalesce(min(x) FILTER (WHERE v = 1), 0) AS x0, coalesce(min(y) FILTER (WHERE v = 1), 0) AS y0,
        coalesce(max(x) FILTER (WHERE v = 1), 7) + 1 AS x1, coalesce(max(y) FILTER (WHERE v = 1), 7) + 1 AS y1
 FROM pixels GROUP BY image""",
+    "listing": """
+SELECT 'site' || (o_custkey % 4) AS source, (o_orderkey % 7) || '_s/P' || o_custkey || '-' || o_orderkey || '.set' AS rel_path,
+       o_orderkey AS key FROM orders
+UNION SELECT 'site' || (l_suppkey % 4),
+  CASE WHEN (l_orderkey * 8 + l_linenumber) % 2 = 0 THEN 'logs/' ELSE 'quality_control/R/set1/' END
+  || 'P' || l_suppkey || '-' || l_orderkey || '.' || l_linenumber, l_orderkey * 8 + l_linenumber FROM lineitem""",
+    "listing_diff": """
+SELECT source, rel_path, CASE WHEN key % 103 = 0 THEN 'added' WHEN key % 101 = 0 THEN 'removed' ELSE 'modified' END AS change
+FROM listing WHERE (key % 103 = 0 AND key % 101 <> 0) OR (key % 103 <> 0 AND (key % 101 = 0 OR key % 97 = 0))""",
+    "listing_touched": """
+SELECT source, split_part(split_part(rel_path, '/', 2), '.set', 1) AS participant FROM listing_diff WHERE rel_path LIKE '%.set'
+UNION SELECT d.source, p.participant FROM listing_diff d JOIN qc_people p
+  ON d.source = p.source AND starts_with(string_split(rel_path, '/')[-1], p.participant) WHERE rel_path NOT LIKE '%.set'""",
     "file_pixels": """
 SELECT vec_id AS image, c, w, CAST(i // c % w AS INT) AS x, CAST(i // c // w AS INT) AS y, i % c AS ch,
        CASE WHEN i % c = c - 1 THEN CASE WHEN v > 0.25 THEN 255 ELSE 0 END
@@ -327,6 +340,14 @@ FROM chosen c LEFT JOIN images i USING (source, participant, root, set_name, bit
             "qc_root_defaults",
         ).replace("\n, asked", ",\nasked"),
         "freshness": _sql("SELECT rec, status FROM statuses", "statuses"),
+        "freshness_readable": _sql(
+            """
+, known AS (SELECT *, coalesce(raw_mtime >= base_mtime, FALSE) AS raw, coalesce(epo_mtime >= base_mtime, FALSE) AS epo,
+  rec % 4 = 0 OR rec % 3 > 0 AS raw_good, rec % 5 > 0 AS epo_good FROM caches)
+SELECT rec, CASE WHEN raw AND raw_good THEN 'fresh_raw' WHEN epo AND epo_good THEN 'fresh_epochs' WHEN raw OR epo THEN 'unreadable'
+                 WHEN raw_mtime IS NOT NULL OR epo_mtime IS NOT NULL THEN 'stale' ELSE 'missing' END AS status FROM known""",
+            "caches",
+        ).replace("\n, known", ",\nknown"),
         "freshness_of_files": _sql(
             """
 SELECT 'site' || (rec % 4) AS source, '1_load' AS step_dir, 'P' || rec AS participant, status FROM statuses""",
@@ -376,6 +397,25 @@ FROM blocks c LEFT JOIN blocks p ON c.participant = p.participant AND c.step_num
   AND c.ch_name = p.ch_name AND c.start_sample = p.start_sample""",
             "signal_long",
         ).replace("\n, blocks", ",\nblocks"),
+        "overlay_overlapping": _sql(
+            """
+SELECT c.participant, c.step_num, c.ch_name, c.sample_idx, c.value, p.value AS prev_value
+FROM signal_long c LEFT JOIN signal_long p ON c.participant = p.participant AND c.step_num = p.step_num + 1
+  AND c.ch_name = p.ch_name AND c.sample_idx = p.sample_idx""",
+            "signal_long",
+        ),
+        "stored_view": _sql(
+            """
+, own AS (SELECT step_num, ch_idx, ch_name, ch_type, sample_idx, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value
+  FROM signal_long WHERE participant = 7),
+own_scales AS (SELECT ch_type, CASE WHEN quantile_cont(value, 0.75) > quantile_cont(value, 0.25)
+  THEN 1 / (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) ELSE 1.0 END AS scale FROM own WHERE step_num = 2 GROUP BY ch_type)
+SELECT c.ch_idx, c.ch_name, c.sample_idx, c.sample_idx / 1.0 AS t, c.ch_idx - c.value * scale AS y, c.ch_idx - p.value * scale AS prev_y
+FROM own c JOIN own_scales USING (ch_type)
+LEFT JOIN own p ON p.step_num = 1 AND c.ch_name = p.ch_name AND c.sample_idx = p.sample_idx
+WHERE c.step_num = 2 AND c.sample_idx >= 5 AND c.sample_idx < 40 AND (c.sample_idx - 5) % CASE WHEN c.ch_type = 'data' THEN 3 ELSE 1 END = 0""",
+            "signal_long",
+        ).replace("\n, own", ",\nown"),
         "overlay_trace": _sql(
             f"""
 SELECT c.participant, c.step_num, c.ch_name, c.sample_idx, p.value IS NULL AS missing,
@@ -407,6 +447,13 @@ FROM epochs_shown GROUP BY participant, step_num, ch_idx""",
         ),
         "image_bbox": _sql("SELECT * FROM boxes", "boxes"),
         "image_trim": _sql("SELECT *, x1 - x0 AS width, y1 - y0 AS height FROM boxes", "boxes"),
+        "listing_changes": _sql(
+            """
+SELECT source, split_part(rel_path, '/', 1) AS top, change, count(*) AS n, any_value(n_touched) AS n_touched
+FROM listing_diff LEFT JOIN (SELECT source, count(*) AS n_touched FROM listing_touched GROUP BY source) USING (source)
+GROUP BY source, top, change""",
+            "qc_people", "listing", "listing_diff", "listing_touched",
+        ),
         "image_decode": _sql(
             """
 SELECT image, 'ok' AS status, CAST(x0 AS INT) AS x0, CAST(y0 AS INT) AS y0, CAST(x1 AS INT) AS x1, CAST(y1 AS INT) AS y1,

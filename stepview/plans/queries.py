@@ -5,6 +5,7 @@ Each entry of ``QUERIES`` takes the session and a directory of tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +13,12 @@ from pyspark.sql import functions as F
 
 from stepview.functions import labels, paths
 from stepview.functions.natural import natural_key
-from stepview.operators import catalog, epochs, freshness, images, logs, qc, signals
+from stepview.operators import catalog, changes, epochs, freshness, images, logs, qc, signals
 from stepview.operators.prefix import prefix_join
-from stepview.operators.ranking import rank
+from stepview.operators.ranking import delete_at_end, materialize, rank, shared_dir
+from stepview.plans import views
 from stepview.sources import bindings as b
-from stepview.sources import registry
+from stepview.sources import registry, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -210,6 +212,14 @@ def freshness_(spark, sf):
     return freshness.freshness(b.caches(spark, sf))
 
 
+@query
+def freshness_readable(spark, sf):
+    """The same where some copies can't be read."""
+    key = F.col("rec")
+    known = b.caches(spark, sf).withColumns({"raw_readable": F.when(key % 4 > 0, key % 3 > 0), "epo_readable": key % 5 > 0})
+    return freshness.freshness(known)
+
+
 @query
 def freshness_of_files(spark, sf):
     """The same from file names: copies are recognised beside their recordings."""
@@ -350,6 +360,37 @@ def overlay_blocks(spark, sf):
     )
 
 
+@query
+def overlay_overlapping(spark, sf):
+    """Blocks of 4, 8 and 7 samples, by step, with the samples of the step before under them, and unpacked."""
+    keys = ["participant", "step_num", "ch_name"]
+    long = materialize(b.signal_long(spark, sf).select(*keys, "sample_idx", "value"), "long")
+    cut = [signals.to_blocks(long.where(F.col("step_num") == n), keys, size) for n, size in ((1, 4), (2, 8), (3, 7))]
+    blocks = cut[0].unionByName(cut[1]).unionByName(cut[2]).withColumn("epoch_idx", F.lit(None).cast("bigint"))
+    laid = signals.overlay_overlapping(blocks, b.RECORDING, 8, "ch_name")
+    none = F.array_repeat(F.lit(None).cast("double"), F.size("samples"))
+    pairs = F.arrays_zip(F.col("samples").alias("value"), F.coalesce("prev_samples", none).alias("prev_value"))
+    unpacked = laid.select(*keys, "start_sample", F.posexplode(pairs).alias("_pos", "_pair"))
+    return unpacked.select(*keys, (F.col("start_sample") + F.col("_pos")).alias("sample_idx"), "_pair.value", "_pair.prev_value")
+
+
+@query
+def stored_view(spark, sf):
+    """All recordings converted to a store; from it the scaled and overlaid window of one of them, by its stored scale."""
+    keys = ["participant", "step_num", "ch_idx", "ch_name", "ch_type"]
+    long = b.signal_long(spark, sf).select(*keys, "sample_idx", F.col("value").cast("float").alias("value"))
+    named = {"source": F.lit("lab"), "participant": b.person("participant"), "step_dir": F.concat(b.text("step_num"), F.lit("_s")), "kind": F.lit("raw")}
+    blocks = signals.to_blocks(long, keys, 8).withColumns(named).withColumn("epoch_idx", F.lit(None).cast("bigint"))
+    blocks = materialize(blocks, "blocks")
+    recordings = blocks.select(*store.RECORDING, "kind").distinct().withColumns({"mtime": F.timestamp_seconds(F.lit(1)), "sfreq": F.lit(1.0), "first_time": F.lit(0.0)})
+    path = f"{shared_dir(spark)}/stepview-store-{uuid.uuid4().hex}"
+    delete_at_end(spark, path)
+    store.convert(recordings, blocks, path)
+    return views.signal_view(spark, path, "lab", "P7", 2, START, STOP, "normalize", True, DECIM, data_types=("data",)).select(
+        "ch_idx", "ch_name", "sample_idx", "t", "y", "prev_y"
+    )
+
+
 @query
 def overlay_trace(spark, sf):
     """Overlay traces as drawn: placeholder for what is missing, clip band, decimated."""
@@ -425,6 +466,18 @@ def image_trim(spark, sf):
     return cropped.select(F.col("key").alias("image"), "x0", "y0", "x1", "y1", width.alias("width"), height.alias("height"))
 
 
+@query
+def listing_changes(spark, sf):
+    """What two listings differ in, by kind of change and top folder, with how many participants that touches."""
+    old, new = b.listing(spark, sf), b.listing(spark, sf, later=True)
+    changed = materialize(changes.changes(old, new), "changed")
+    people = b.table(spark, sf, "supplier").select(b.site("s_suppkey").alias("source"), b.person("s_suppkey").alias("participant"))
+    touched = changes.touched(changed, people).groupBy("source").agg(F.count(F.lit(1)).alias("n_touched"))
+    top = F.substring_index("rel_path", "/", 1)
+    counts = changed.groupBy("source", top.alias("top"), "change").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(touched, "source", "left")
+
+
 @query
 def image_decode(spark, sf):
     """PNG files decoded, trimmed by alpha, encoded, and the pixels of what is left decoded again."""

@@ -6,13 +6,15 @@ on them. Values that come from a request are ordinary arguments.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stepview.functions.labels import base64_text
 from stepview.functions.natural import natural_key
-from stepview.operators import catalog, epochs, freshness, images, logs, qc, signals
+from stepview.operators import catalog, changes, epochs, freshness, images, logs, qc, signals
 from stepview.operators.prefix import prefix_join
 from stepview.operators.ranking import materialize
 from stepview.sources import registry, store, versions
@@ -21,16 +23,23 @@ from stepview.sources.tree import manifest
 TABLES = ("sources", "manifest", "step_files", "steps", "participants", "logs", "qc_images", "caches")
 
 
-def refresh(sources: DataFrame, path: str) -> None:
-    """Walk all ``sources(name, directory)`` once and write the tables below ``path``.
+#: Keys by which rows of an earlier version are replaced; tables without are written anew each time.
+KEYS = {"manifest": ["source", "rel_path"]} | {n: catalog.PARTICIPANT for n in ("step_files", "participants", "logs", "qc_images", "caches")}
+SCHEMAS = "_schemas"
+STATE = ["path", "is_dir", "mtime", "size"]
+#: Share of the participants from which on a refresh writes all of them.
+REWRITE = 0.25
 
-    They count together, once all of them are written.
-    """
-    listed = materialize(manifest(sources), "manifest")
-    files = materialize(catalog.step_files(listed), "files")
+
+def _tables(sources: DataFrame, listed: DataFrame, hit: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All tables; of those by participant the rows of ``hit`` only, if that is given."""
+    files, caches = catalog.step_files(listed), freshness.caches(listed)
+    if hit is not None:
+        files, caches = (t.join(hit, catalog.PARTICIPANT, "left_semi") for t in (files, caches))
+    files = materialize(files, "files")
     people = materialize(files.select(*catalog.PARTICIPANT).distinct(), "people")
     log = prefix_join(logs.log_files(listed), people, by=["source"])
-    tables = {
+    return {
         "sources": sources.select(F.col("name").alias("source"), "directory"),
         "manifest": listed,
         "step_files": files,
@@ -38,17 +47,83 @@ def refresh(sources: DataFrame, path: str) -> None:
         "participants": catalog.participants(files),
         "logs": log.select(*catalog.PARTICIPANT, "rel_path", "path"),
         "qc_images": qc.classified(qc.qc_files(listed), people),
-        "caches": freshness.freshness(freshness.caches(listed)),
+        "caches": freshness.freshness(caches),
     }
+
+
+def _write(table: DataFrame, name: str, folder: str) -> None:
+    if "participant" in table.columns and name != "participants":
+        # Ranges keep a participant's rows together; the digest of the row lets
+        # them cut a big one.
+        order = [F.col("source"), F.col("participant"), F.xxhash64(*table.columns)]
+        table = table.repartitionByRange(*order).sortWithinPartitions("source", "participant")
+    table.write.partitionBy("source").parquet(f"{folder}/{name}")
+    # A table without rows has no file to tell its columns.
+    where, files = versions.hadoop(table.sparkSession, f"{folder}/{SCHEMAS}/{name}")
+    stream = files.create(where)
+    stream.write(table.schema.json().encode())
+    stream.close()
+
+
+def refresh(sources: DataFrame, path: str) -> None:
+    """Walk all ``sources(name, directory)`` once and write the tables below ``path``.
+
+    They count together, once all of them are written.
+    """
+    tables = _tables(sources, materialize(manifest(sources), "manifest"))
     with versions.new_version(sources.sparkSession, path) as folder:
         for name in TABLES:
-            table = tables[name]
-            if "participant" in table.columns and name != "participants":
-                # Ranges keep a participant's rows together; the digest of the row lets
-                # them cut a big one.
-                order = [F.col("source"), F.col("participant"), F.xxhash64(*table.columns)]
-                table = table.repartitionByRange(*order).sortWithinPartitions("source", "participant")
-            table.write.partitionBy("source").parquet(f"{folder}/{name}")
+            _write(tables[name], name, folder)
+
+
+def refresh_changed(sources: DataFrame, path: str) -> DataFrame:
+    """Walk all ``sources`` and bring the tables below ``path`` up to date; what has changed: ``source, rel_path, change``.
+
+    The result is that of ``refresh``. Only rows of changed entries, and of participants that they touch, are worked out and
+    written, beside the version they add to; readers take them together. Once more than ``REWRITE`` of the participants have been
+    touched since, all tables are written whole.
+    """
+    spark = sources.sparkSession
+    last = versions.complete(spark, path)
+    if not last:
+        refresh(sources, path)
+        return table(spark, path, "manifest").select("source", "rel_path", F.lit("added").alias("change"))
+    base = versions.base_of(last[-1]) or int(last[-1][1:11])
+    listed = materialize(manifest(sources), "manifest")
+    changed = materialize(changes.changes(table(spark, path, "manifest"), listed, KEYS["manifest"], STATE), "changed")
+    before = table(spark, path, "participants").select(*catalog.PARTICIPANT)
+    people = before.unionByName(catalog.step_files(listed).select(*catalog.PARTICIPANT)).distinct()
+    hit = materialize(changes.touched(changed, people), "hit")
+    tables = _tables(sources, listed, hit)
+    own = {name: changed.select(keys) if name == "manifest" else hit for name, keys in KEYS.items()}
+    tables["manifest"] = listed.join(changed, KEYS["manifest"], "left_semi")
+    replaced = {name: _replaced(spark, path, name).unionByName(keys).distinct() for name, keys in own.items()}
+    whole = replaced["participants"].count() > REWRITE * before.count()
+    with versions.new_version(spark, path, None if whole else base) as folder:
+        for name in TABLES:
+            if name not in KEYS:
+                _write(tables[name], name, folder)
+                continue
+            kept = table(spark, path, name) if whole else _added(spark, path, name, tables[name].schema)
+            _write(kept.join(own[name], KEYS[name], "left_anti").unionByName(tables[name]), name, folder)
+            if not whole:
+                replaced[name].write.parquet(f"{folder}/_keys/{name}")
+    return changed
+
+
+def _replaced(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """Keys of the rows that the current version replaces in the one it adds to."""
+    folder = versions.current(spark, path)
+    schema = ", ".join(f"{k} string" for k in KEYS[name])
+    if versions.base_of(folder) is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{folder}/_keys/{name}")
+
+
+def _added(spark: SparkSession, path: str, name: str, schema: T.StructType) -> DataFrame:
+    """Rows that the current version has beside the one it adds to."""
+    folder = versions.current(spark, path)
+    return spark.createDataFrame([], schema) if versions.base_of(folder) is None else _as_written(spark, f"{folder}/{name}")
 
 
 def table(spark: SparkSession, path: str, name: str, source: str | None = None) -> DataFrame:
@@ -56,7 +131,12 @@ def table(spark: SparkSession, path: str, name: str, source: str | None = None)
     folder = versions.current(spark, path)
     if folder is None:
         raise ValueError(f"{path}: no tables, call refresh first")
-    df = _as_written(spark, f"{folder}/{name}")
+    base = versions.base_of(folder)
+    if base is None or name not in KEYS:
+        df = _as_written(spark, f"{folder}/{name}")
+    else:
+        old = _as_written(spark, f"{versions.numbered(spark, path, base)}/{name}")
+        df = old.join(_replaced(spark, path, name), KEYS[name], "left_anti").unionByName(_as_written(spark, f"{folder}/{name}"))
     if source is None:
         return df
     if _as_written(spark, f"{folder}/sources").where(F.col("source") == source).isEmpty():
@@ -66,9 +146,9 @@ def table(spark: SparkSession, path: str, name: str, source: str | None = None)
 
 def _as_written(spark: SparkSession, path: str) -> DataFrame:
     """A partitioned table whose sources stay text, whatever they look like."""
-    found = spark.read.parquet(path).schema
-    kinds = [T.StructField(f.name, T.StringType() if f.name == "source" else f.dataType) for f in found.fields]
-    return spark.read.schema(T.StructType(kinds)).parquet(path)
+    folder, name = path.rsplit("/", 1)
+    schema = T.StructType.fromJson(json.loads(spark.read.text(f"{folder}/{SCHEMAS}/{name}", wholetext=True).head()[0]))
+    return spark.read.schema(schema).parquet(path)
 
 
 def participant_list(spark: SparkSession, path: str, source: str) -> DataFrame:
@@ -176,21 +256,20 @@ def _lengths(spark: SparkSession, store_path: str, source: str, participant: str
     return store.converted(spark, store_path).where(asked).agg(F.max("longest")).first()[0]
 
 
-def _with_scale(long: DataFrame, recording: DataFrame, yaxis: str) -> DataFrame:
-    """Add ``scale``: that of the whole recording and the channel's type, or 1."""
+def _with_scale(spark: SparkSession, store_path: str, long: DataFrame, yaxis: str) -> DataFrame:
+    """Add ``scale``: that of the whole recording and the channel's type as it was stored at conversion, or 1."""
     if yaxis != "normalize":
         return long.withColumn("scale", F.lit(1.0))
-    whole = recording.select("ch_type", F.explode("samples").alias("value"))
-    scales = materialize(signals.auto_scales(whole, ["ch_type"]), "scales")
-    return long.join(scales, "ch_type", "left").withColumn("scale", F.coalesce("scale", F.lit(1.0)))
+    scales = store.scales(spark, store_path).select(*store.RECORDING, "ch_type", "scale")
+    return long.join(scales, [*store.RECORDING, "ch_type"], "left").withColumn("scale", F.coalesce("scale", F.lit(1.0)))
 
 
-def _traces(long: DataFrame, yaxis: str, y_limits: tuple[float, float] | None) -> DataFrame:
+def _traces(long: DataFrame, yaxis: str, y_limits: tuple[float, float] | None, butterfly: bool) -> DataFrame:
     """Add ``y`` and ``prev_y`` to samples with ``value``, ``prev_value``, ``scale`` and ``kind``."""
     offset = F.col("ch_idx").cast("double")
     y, prev = (signals.trace(F.col(c).cast("double"), offset, F.col("scale")) for c in ("value", "prev_value"))
     if y_limits is not None:
-        lo, hi = signals.clip_band(offset, *y_limits)
+        lo, hi = signals.clip_band(offset, *y_limits, butterfly)
         # The overlay is clipped in every mode, the trace itself if asked for.
         prev = F.when(prev.isNotNull(), signals.clamp(prev, lo, hi))
         if yaxis in ("clamp", "clip"):
@@ -198,6 +277,21 @@ def _traces(long: DataFrame, yaxis: str, y_limits: tuple[float, float] | None) -
     return long.withColumn("y", y).withColumn("prev_y", prev)
 
 
+def _unpacked(laid: DataFrame, place: Column, factor: Column) -> DataFrame:
+    """A row for each sample that is shown, ``sample_idx, value, prev_value``: every ``factor``-th, counted by ``place`` of a block's first."""
+    kept = F.filter(F.sequence(F.lit(0), F.size("samples") - 1), lambda i: (place + i) % factor == 0)
+    samples = F.transform(
+        kept,
+        lambda i: F.struct(
+            (F.col("start_sample") + i).alias("sample_idx"),
+            F.get("samples", i).alias("value"),
+            F.get(F.coalesce("prev_samples", F.array().cast("array<float>")), i).alias("prev_value"),
+        ),
+    )
+    rest = [c for c in laid.columns if c not in ("samples", "prev_samples", "start_sample")]
+    return laid.where(F.size("samples") > 0).select(*rest, F.inline(samples))
+
+
 SHOWN = ["ch_idx", "ch_name", "epoch_idx", "sample_idx", "t", "y", "prev_y"]
 
 
@@ -215,31 +309,26 @@ def signal_view(
     picks: list[str] | None = None,
     data_types: tuple[str, ...] = ("eeg",),
     y_limits: tuple[float, float] | None = None,
+    butterfly: bool = False,
 ) -> DataFrame:
     """Traces of one step over a window, with those of the step before if asked for.
 
     Rows ``ch_idx, ch_name, epoch_idx, sample_idx, t, y, prev_y``. Both steps come
-    from one scan, cut down to the window before any sample is unpacked.
+    from one scan, cut down to the window; they are overlaid and decimated as arrays before any sample is unpacked.
     """
     own = _recordings(spark, store_path, source, participant, step, onionskin)
     # The longest block of these recordings: with it, both bounds of the window reach the reader.
     size = _lengths(spark, store_path, source, participant, step, onionskin)
     window = signals.window_blocks(own, start, stop, picks, size)
     if onionskin and size:
-        # Two recordings may be cut into different blocks; only the window is cut anew.
-        window = signals.reblock(window, [c for c in window.columns if c not in ("start_sample", "samples")], size)
-    laid = signals.overlay_blocks(window, ["source", "participant"]).where(F.col("step_num") == step)
-    # The step before may be longer; what lies beyond the end of this one isn't shown.
-    prev = F.slice(F.coalesce("prev_samples", F.array().cast("array<float>")), F.lit(1), F.size("samples"))
-    pairs = F.arrays_zip(F.col("samples").alias("value"), prev.alias("prev_value"))
-    kept = ["ch_idx", "ch_name", "ch_type", "kind", "epoch_idx", "sfreq", "first_time", "start_sample"]
-    long = laid.select(*kept, F.posexplode(pairs).alias("_pos", "_pair")).select(
-        *kept, (F.col("start_sample") + F.col("_pos")).alias("sample_idx"), "_pair.*"
-    )
-    long = signals.decimate(long, start, signals.decimation(decim, F.col("ch_type").isin(*data_types)))
+        # Two recordings may be cut into different blocks.
+        laid = signals.overlay_overlapping(window, ["source", "participant"], size).where(F.col("step_num") == step)
+    else:
+        laid = window.where(F.col("step_num") == step).withColumn("prev_samples", F.lit(None).cast("array<float>"))
+    long = _unpacked(laid, F.col("start_sample") - start, signals.decimation(decim, F.col("ch_type").isin(*data_types)))
     time = signals.sample_time(F.col("sample_idx"), F.col("sfreq"), F.col("first_time"))
-    scaled = _with_scale(long.withColumn("t", time), own.where(F.col("step_num") == step), yaxis)
-    return _traces(scaled, yaxis, y_limits).select(*SHOWN).orderBy("ch_idx", "epoch_idx", "sample_idx")
+    scaled = _with_scale(spark, store_path, long.withColumn("t", time), yaxis)
+    return _traces(scaled, yaxis, y_limits, butterfly).select(*SHOWN).orderBy("ch_idx", "epoch_idx", "sample_idx")
 
 
 def epoch_view(
@@ -252,19 +341,26 @@ def epoch_view(
     n_epochs: int,
     yaxis: str = "overdraw",
     onionskin: bool = False,
+    decim: int = 1,
+    picks: list[str] | None = None,
+    data_types: tuple[str, ...] = ("eeg",),
     y_limits: tuple[float, float] | None = None,
+    butterfly: bool = False,
 ) -> DataFrame:
     """``signal_view`` of an epoched recording: ``n_epochs`` epochs from time ``t_start``.
 
-    ``t`` counts along the epochs laid end to end.
+    ``t`` counts along the epochs laid end to end, and so does decimation, from the beginning of the window.
     """
     own = _recordings(spark, store_path, source, participant, step, onionskin).where("kind = 'epochs'")
+    if picks is not None:
+        own = own.where(F.col("ch_name").isin(*picks))
     length = F.size("samples") / F.col("sfreq")
     first = epochs.first_epoch(t_start, 1 / F.col("sfreq"), length)
     window = epochs.epoch_window(own, first, n_epochs)
     laid = epochs.overlay_epochs(window, ["source", "participant"]).where(F.col("step_num") == step)
-    kept = ["ch_idx", "ch_name", "ch_type", "kind", "epoch_idx", "sfreq", "samples", "prev_samples"]
-    long = epochs.explode_epochs(laid.select(*kept).withColumn("_length", length))
+    laid = laid.withColumn("_length", length).withColumn("start_sample", F.lit(0).cast("bigint"))
+    place = (F.col("epoch_idx") - first) * F.size("samples")
+    long = _unpacked(laid, place, signals.decimation(decim, F.col("ch_type").isin(*data_types)))
     time = F.col("epoch_idx") * F.col("_length") + F.col("sample_idx") / F.col("sfreq")
-    scaled = _with_scale(long.withColumn("t", time), own.where(F.col("step_num") == step), yaxis)
-    return _traces(scaled, yaxis, y_limits).select(*SHOWN).orderBy("ch_idx", "epoch_idx", "sample_idx")
+    scaled = _with_scale(spark, store_path, long.withColumn("t", time), yaxis)
+    return _traces(scaled, yaxis, y_limits, butterfly).select(*SHOWN).orderBy("ch_idx", "epoch_idx", "sample_idx")

@@ -242,6 +242,24 @@ def images(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def listing(spark: SparkSession, sf: str, later: bool = False) -> DataFrame:
+    """Recordings (orders), logs and images (line items) as a listing; later, some have gone, come or changed."""
+    key = F.col("o_orderkey")
+    recordings = table(spark, sf, "orders").select(
+        site("o_custkey").alias("source"),
+        F.concat(text(key % 7), F.lit("_s/"), person("o_custkey"), F.lit("-"), text(key), F.lit(".set")).alias("rel_path"),
+        key.alias("key"),
+    )
+    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    name = F.concat(person("l_suppkey"), F.lit("-"), text("l_orderkey"), F.lit("."), text("l_linenumber"))
+    folder = F.when(line % 2 == 0, F.lit("logs/")).otherwise(F.lit("quality_control/R/set1/"))
+    files = table(spark, sf, "lineitem").select(site("l_suppkey").alias("source"), F.concat(folder, name).alias("rel_path"), line.alias("key"))
+    every = recordings.unionByName(files.distinct())
+    state = F.when(F.col("key") % 97 == 0, F.lit(1)).otherwise(0) if later else F.lit(0)
+    kept = every.where(F.col("key") % 101 != 0) if later else every.where(F.col("key") % 103 != 0)
+    return kept.select("source", "rel_path", F.lit(False).alias("is_dir"), F.timestamp_seconds(state).alias("mtime"), F.col("key").alias("size"))
+
+
 def png_files(spark: SparkSession, sf: str) -> DataFrame:
     """Each vector as a PNG file: gray with alpha for even ids, colours with alpha for others, every line filtered its own way."""
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("image"), F.col("embedding").cast("array<double>").alias("v"))

@@ -1,6 +1,8 @@
 """Signals and epochs: long and block form agree, and both agree with numpy."""
 
+import itertools
 import math
+import random
 
 import numpy as np
 import pytest
@@ -185,3 +187,31 @@ def test_overlay_epochs(epoched):
         assert r.prev_value == (r.value - 1000 if r.step_num == 2 else None)
     # The step before has one epoch more; the overlay follows the current step.
     assert {r.epoch_idx for r in got if r.step_num == 2} == set(range(4))
+
+
+def test_overlay_of_blocks_with_gaps(spark):
+    """Blocks of any lengths and with gaps, of both kinds, against sample by sample."""
+    rng = random.Random(7)
+    rows, samples = [], {}
+    for step, ch, kind in itertools.product((1, 2, 3), (0, 1), ("raw", "epochs")):
+        at = rng.randrange(5)
+        while at < 60:
+            size = rng.randrange(0, 12)
+            if kind == "raw" or step < 3:
+                rows.append(("P", step, ch, None if kind == "raw" else 4, kind, at, [float(1000 * step + 100 * ch + at + i) for i in range(size)]))
+                samples |= {(step, ch, kind, at + i): 1000.0 * step + 100 * ch + at + i for i in range(size)}
+            at += size + rng.choice([0, 0, 3])
+    schema = "participant string, step_num long, ch_idx int, epoch_idx long, kind string, start_sample long, samples array<float>"
+    for cell in (5, 64):
+        laid = signals.overlay_overlapping(spark.createDataFrame(rows, schema), ["participant"], cell)
+        assert laid.columns == [*schema.replace(",", "").split()[::2], "prev_samples"]
+        got = {}
+        for r in laid.collect():
+            prev = r.prev_samples or [None] * len(r.samples)
+            assert len(prev) == len(r.samples) and (r.prev_samples is None or set(prev) != {None})
+            for i, pair in enumerate(zip(r.samples, prev)):
+                assert got.setdefault((r.step_num, r.ch_idx, r.kind, r.start_sample + i), pair) == pair
+        assert got == {(s, c, k, i): (v, samples.get((s - 1, c, k, i))) for (s, c, k, i), v in samples.items()}
+    # A recording of the other kind is not laid under.
+    mixed = spark.createDataFrame([("P", 1, 0, None, "epochs", 0, [1.0]), ("P", 2, 0, None, "raw", 0, [2.0])], schema)
+    assert {r.prev_samples for r in signals.overlay_overlapping(mixed, ["participant"], 4).collect()} == {None}

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from stepview.operators import signals
 from stepview.operators.prefix import prefix_join
 from stepview.sources import registry, store
 
@@ -165,6 +166,54 @@ def test_window_of_one_participant_prunes(spark, tmp_path):
     assert "step_num" in scan.split("PartitionFilters:")[1].split("PushedFilters")[0]
 
 
+def damage(path, how):
+    """Change every file of the store's signal."""
+    for file in path.glob("signal/source=s/step_num=1/*/*.parquet"):
+        how(file)
+        (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+
+
+@pytest.mark.parametrize("how", [lambda f: f.write_bytes(b"nothing"), lambda f: f.write_bytes(f.read_bytes()[:40] + b"x" * 60 + f.read_bytes()[100:])])
+def test_damaged_copies_are_made_again(spark, tmp_path, how):
+    path = str(tmp_path / "store")
+    recs = recordings(spark, *[("s", f"P{i}", n, "1_a", "raw" if n == 1 else "epochs", 100) for i in range(3) for n in (1, 2)])
+    store.convert(recs, signal(recs, 1), path)
+    assert {r.readable for r in store.readable(spark, path).collect()} == {True}
+    assert {r.status for r in store.statuses(recs, path, check=True).collect()} == {"fresh_raw", "fresh_epochs"}
+    assert store.read_fresh(recs, path, check=True).count() == store.read_signal(spark, path).count()
+    damage(tmp_path / "store", how)
+    states = {(r.participant, r.step_num): r.status for r in store.statuses(recs, path, check=True).collect()}
+    assert states == {(f"P{i}", n): "unreadable" if n == 1 else "fresh_epochs" for i in range(3) for n in (1, 2)}
+    assert {r.status for r in store.statuses(recs, path).collect()} == {"fresh_raw", "fresh_epochs"}  # by their times alone
+    with pytest.raises(Exception, match="no fresh copy"):
+        store.read_fresh(recs, path, check=True).count()
+    got = report(store.convert(recs, signal(recs, 2), path, check=True))
+    assert got == {(f"P{i}", n): "Caching" if n == 1 else "Already cached" for i in range(3) for n in (1, 2)}
+    assert content(spark, path) == {(f"P{i}", n): 2.0 if n == 1 else 1.0 for i in range(3) for n in (1, 2)}
+    assert store.read_fresh(recs, path, check=True).count() == 6
+
+
+def test_forced_mode_wants_every_copy_fresh(spark, tmp_path):
+    path = str(tmp_path / "store")
+    recs = recordings(spark, ("s", "P1", 1, "1_a", "raw", 100))
+    for given, state in ((recs, "missing"), (recordings(spark, ("s", "P1", 1, "1_a", "raw", 200)), "stale")):
+        with pytest.raises(Exception, match=f"no fresh copy: {state}"):
+            store.read_fresh(given, path).count()
+        store.convert(recs, signal(recs, 1), path)
+    assert store.read_fresh(recs, path).count() == 1
+
+
+def test_stored_scales_are_those_of_all_samples(spark, tmp_path):
+    path = str(tmp_path / "store")
+    recs = recordings(spark, ("s", "P1", 1, "1_a", "raw", 100), ("s", "P2", 1, "1_a", "raw", 100))
+    for value in (1, 2):
+        blocks = signal(recs, value).withColumn("samples", F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: (i * value).cast("float")))
+        store.convert(recs, blocks, path, clean=True)
+        want = {tuple(r) for r in signals.auto_scales(signals.explode_blocks(store.read_signal(spark, path)), ["participant", "ch_type"]).collect()}
+        assert {(r.participant, r.ch_type, r.scale) for r in store.scales(spark, path).collect()} == want
+        assert {s for *_, s in want} == {1 / (4 * value)}
+
+
 # ------------------------------------------------------------------- prefixes
 
 

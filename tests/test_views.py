@@ -112,6 +112,33 @@ def test_epoch_view(spark, epoch_store):
     assert all(r.y == -(200 + r.epoch_idx * 10 + r.sample_idx) and r.prev_y == r.y + 100 for r in shown)
 
 
+def test_epoch_view_of_some_channels_decimated(spark, epoch_store):
+    shown = views.epoch_view(spark, epoch_store, "s", "P1", 2, t_start=4.0, n_epochs=2, onionskin=True, decim=3, picks=["c0"]).collect()
+    # Every third sample of the two epochs end to end.
+    assert [(r.epoch_idx, r.sample_idx) for r in shown] == [(2 + i // 4, i % 4) for i in range(0, 8, 3)]
+    assert all(r.prev_y == r.y + 100 for r in shown)
+    assert len(views.epoch_view(spark, epoch_store, "s", "P1", 2, 4.0, 2, decim=3, data_types=("meg",)).collect()) == 8
+    assert views.epoch_view(spark, epoch_store, "s", "P1", 2, 4.0, 2, picks=["none"]).count() == 0
+
+
+def test_butterfly_has_a_narrower_band(spark, epoch_store, signal_store):
+    for butterfly, edge in ((False, 0.5), (True, 0.2)):
+        shown = views.signal_view(spark, signal_store, "s", "P1", 2, 5, 9, onionskin=True, y_limits=(9.0, -9.0), butterfly=butterfly).collect()
+        assert {r.prev_y - r.ch_idx for r in shown} == {pytest.approx(-edge)}
+        shown = views.epoch_view(spark, epoch_store, "s", "P1", 2, 4.0, 1, onionskin=True, y_limits=(9.0, -9.0), butterfly=butterfly).collect()
+        assert {r.prev_y for r in shown} == {-edge}
+
+
+def test_views_unpack_only_what_is_shown(spark, signal_store, monkeypatch):
+    """Scales come from the store, and overlay and decimation work on arrays."""
+    monkeypatch.setattr(views.signals, "auto_scales", None)
+    monkeypatch.setattr(views.signals, "explode_blocks", None)
+    shown = views.signal_view(spark, signal_store, "s", "P1", 2, 5, 25, "normalize", True, decim=4)
+    assert shown.count() == 5 + 20
+    plan = shown._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate inline") == 2 and "posexplode" not in plan  # pieces of blocks, then what is shown
+
+
 def test_epochs_are_not_laid_under_a_raw_recording(spark, epoch_store):
     shown = views.signal_view(spark, epoch_store, "s", "P1", 3, 0, onionskin=True).collect()
     assert len(shown) == 24 and all(r.prev_y is None for r in shown)
