@@ -9,9 +9,11 @@ from compare import difference, duck
 from conftest import SF
 
 import corpus_pipeline
-from stepview.llm import bpe, latent, quality, queries, secrets, simhash, words
+from stepview.llm import bpe, latent, quality, queries, secrets, words
 from stepview.llm.shared import table
 
+from .test_collisions import survivors
+
 SMALL = "/root/testdata/sf0.001"
 
 
@@ -20,8 +22,8 @@ def test_query(spark, name):
     assert difference(spark, duck(SF), SF, queries.QUERIES[name], queries.oracle_sql()[name]) is None
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+def test_all_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark):
@@ -29,17 +31,7 @@ def test_pipeline(spark):
     docs = table(spark, SMALL, "documents").toPandas().set_index("doc_id")["text"].to_dict()
     verdict = quality.verdicts(table(spark, SMALL, "documents")).collect()
     kept = sorted(r["doc_id"] for r in verdict if r["kept"])
-    prints = {d: simhash.fingerprint(docs[d].encode()) for d in kept}
-    root = {d: d for d in kept}
-    for _ in range(len(kept)):
-        before = dict(root)
-        for a in kept:
-            for b in kept:
-                if (prints[a] ^ prints[b]).bit_count() <= 4:
-                    root[b] = min(root[b], root[a])
-        if before == root:
-            break
-    kept = [d for d in kept if root[d] == d]
+    kept = sorted(survivors([(d, docs[d]) for d in kept], 80))
     items = [latent.words_of(r["text"]).tobytes() for r in table(spark, SMALL, "benchmark").collect()]
     kept = [d for d in kept if not any(x in latent.words_of(docs[d]).tobytes() for x in items)]
     assert sorted(got) == kept

@@ -8,6 +8,7 @@ import html
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -267,6 +268,53 @@ def test_alignment():
     assert wrapper.align(a, leaf("x")) == (0, [])
 
 
+@pytest.mark.parametrize(
+    "body",
+    [
+        '<body class="no-sidebar"><article>{}</article></body>', '<body class="has-sidebar single"><main>{}</main></body>',
+        '<body class="page-with-comments"><article>{}</article></body>', '<html class="search-results"><body id="social"><article>{}</article></body>',
+        '<div class="site-content-menu"><article class="post tag-social">{}</article></div>', '<article id="social">{}</article>',
+        '<div class="share-price">{}</div>', '<body class="popup"><div class="ad-free page-nav-less">{}</div></body>',
+        '<nav>Menu</nav><div class="site-footer"><main id="comments">{}</main>Below</div><section class="comments"><article class="comment">Nice</article></section>',
+        '<article>{}<div class="comment-list">Nice</div><article class="comment">Well</article></article><div class="related-posts">More</div>',
+    ],
+)
+def test_marks_never_empty_the_article(body):
+    assert wrapper.Page(body.format("<p>One</p><p>Two</p>")).content(set()) == "One\n\nTwo"
+
+
+def pages_of(spark, made):
+    rows = [(i, f"http://a.org/{i}", made(i)) for i in range(60)]
+    return {r["page_id"]: r["text"] for r in wrapper.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+
+
+def test_headings_of_the_article_stay(spark):
+    made = "<h1>Soup {0}</h1><article><h2>Ingredients</h2><p>Water {0}</p><div><h2>Method</h2><p>Stir {0}</p></div><div class=x><h3>Join us</h3><p>Every day</p></div></article>"
+    got = pages_of(spark, lambda i: made.format(i))
+    assert got == {i: f"Ingredients\n\nWater {i}\n\nMethod\n\nStir {i}" for i in range(60)}
+
+
+def test_template_of_each_layout(spark):
+    """A line that is unmarked, on three layouts with a third of the pages each, and in each of them elsewhere."""
+    layouts = ["<div class=a><p>{0} text</p></div><p>Read all our offers</p>", "<section><p>Read all our offers</p><p>{0} text</p></section>", "<table><tr><td>{0} text<td><b>Read all our offers</b></table>"]
+    got = pages_of(spark, lambda i: f"<body>{layouts[i % 3].format(i)}</body>")
+    assert got == {i: f"{i} text" for i in range(60)}
+
+
+def test_long_lists_of_blocks_align_in_time():
+    rng = random.Random(1)
+    def node(k):
+        return ["p.x" if k % 3 else f"p.y{k % 7}", [k], []]
+
+    one = [node(k) for k in range(30_000)]
+    two = [node(k if rng.random() < 0.9 else k + 10**6) for k in range(30_000) if rng.random() < 0.95]
+    begun = time.perf_counter()
+    _, pairs = wrapper.align(["r", [], one], ["r", [], two])
+    assert time.perf_counter() - begun < 20
+    same = {x[1][0] for x, y in pairs if x[1] and x[1] == y[1]}
+    assert len(same) == sum(y[1][0] < 10**6 for y in two)
+
+
 def test_pages_of_the_table(spark):
     got = {r["page_id"]: r["text"] for r in wrapper.main_text(table(spark, SF, "pages")).collect()}
     for r in table(spark, SF, "pages").collect():
