@@ -23,7 +23,7 @@ def op3_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The old shards are those of the sources, so they are of very uneven size."""
     docs = table(spark, sf_dir, "documents")
     by_source = F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(reshard.SHARDS))
-    return reshard.assigned(docs, by_source, reshard.SHARDS)
+    return reshard.resharded(docs, by_source, reshard.SHARDS)
 
 
 def op4_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,12 +11,16 @@ plan is made from those sums alone:
    lacks most, so the new sizes differ by little more than the smallest blocks.
 
 Every row finds its new shard by joining with that plan, which is bounded by the parameters
-and so may be broadcast. Only shards that gain or lose a block are written again. The law
-kept is ``bytes``: sizes near equal.
+and so may be broadcast. The law kept is ``bytes``: sizes near equal.
+
+A shard is a folder ``shard=N`` of Parquet files whose rows have a ``slot``: blocks one after the other, and rows in order
+within a block. ``lay_out`` writes documents as old shards, with the one shuffle that there is. ``rewrite`` reads the shards that
+take part in a transfer and writes those that gain or lose a block again; a row's slot moves by what its block moves, so this
+needs no shuffle. All other shards stay as they are. ``read`` reads the new shards from where they now lie.
 
 Cases: a null text counts its fixed overhead only; a null key is a key; repeated rows share a
-block and each have a slot; an empty table gives no rows (and no transfers); other
-columns are not read, and ``rewrite`` passes them through. Ties within a block are ordered by
+block and each have a slot, and a block is numbered by one task; an empty table gives no rows (and no transfers); other
+columns pass through, but for those named ``shard`` or ``slot``, whose names are lengthened. Ties within a block are ordered by
 key, then by the text's checksum.
 """
 
@@ -26,12 +30,14 @@ import heapq
 from collections import defaultdict
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stepview.llm.shared import col, unused
+from stepview.llm.shared import col, new_path, unused
 
 SHARDS, BLOCKS, OVERHEAD = 24, 512, 8
+#: Bytes of text that one task lays out, if they are of more than one block.
+FILE = 64 << 20
 
 
 @dataclass
@@ -145,54 +151,97 @@ def size_of(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("bigint")
 
 
-def planned(docs: DataFrame, old_shard: Column, old: int, key: str, text: str, shards: int = SHARDS) -> Plan:
-    """Plan for ``docs``; the driver gets one row for each block, at most ``old * BLOCKS``."""
+def block_sums(docs: DataFrame, old_shard: Column, key: str, text: str) -> list[tuple[int, int, int, int]]:
+    """Old shard, block, bytes and rows of each block: at most ``BLOCKS`` for each old shard."""
     each = docs.select(old_shard.cast("int").alias("old"), block_of(col(key), col(text)).alias("block"), size_of(col(text)).alias("size"))
-    sums = each.groupBy("old", "block").agg(F.sum("size"), F.count(F.lit(1))).collect()
-    return plan([tuple(r) for r in sums], old, shards)
-
-
-def transfers(docs: DataFrame, made: Plan) -> DataFrame:
-    """The plan as rows: ``old``, ``block``, ``shard``, and ``offset``, the rows of the shard in front of the block."""
-    spark, at, rows = docs.sparkSession, defaultdict(int), []
-    for (old, block), shard in sorted(made.target.items()):
-        rows.append((old, block, shard, at[shard]))
-        at[shard] += made.rows[old, block]
-    return spark.createDataFrame(rows, "old int, block int, shard int, offset bigint")
-
-
-def assigned(docs: DataFrame, old_shard: Column, old: int, key: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
-    """Per row: size, checksum, new shard and slot."""
-    made = planned(docs, old_shard, old, key, text, shards)
-    each = docs.select(
-        col(key).alias("doc_id"),
-        size_of(col(text)).alias("size"),
-        F.crc32(F.coalesce(col(text), F.lit("")).cast("binary")).alias("text_crc32"),
-        old_shard.cast("int").alias("old"),
-        block_of(col(key), col(text)).alias("block"),
-    )
+    return sorted(tuple(r) for r in each.groupBy("old", "block").agg(F.sum("size"), F.count(F.lit(1))).collect())
+
+
+def offsets(sums: list[tuple[int, int, int, int]], target: dict[tuple[int, int], int] | None = None) -> dict[tuple[int, int], int]:
+    """Slot of the first row of each block, in the old shards or in those of ``target``."""
+    at, out = defaultdict(int), {}
+    for old, block, _, rows in sums:
+        shard = old if target is None else target[old, block]
+        out[old, block] = at[shard]
+        at[shard] += rows
+    return out
+
+
+def lay_out(docs: DataFrame, old_shard: Column, folder: str, key: str = "doc_id", text: str = "text") -> list[tuple[int, int, int, int]]:
+    """Write ``docs`` below ``folder`` as old shards; their block sums."""
+    sums = block_sums(docs, old_shard, key, text)
+    first, rows, part, held = offsets(sums), [], 0, 0
+    for old, block, size, _ in sums:
+        if held and held + size > FILE:
+            part, held = part + 1, 0
+        held += size
+        rows.append((old, block, part, first[old, block]))
+    o, b, p, f, c, n = unused(docs, "_old", "_block", "_part", "_first", "_crc", "_slot")
     # At most old * BLOCKS rows of four numbers, whatever the data.
-    placed = each.join(F.broadcast(transfers(docs, made)), ["old", "block"])
-    order = Window.partitionBy("old", "block").orderBy("doc_id", "text_crc32")
-    return placed.select(
+    where = F.broadcast(docs.sparkSession.createDataFrame(rows, "old int, block int, part int, first bigint").toDF(o, b, p, f))
+    marked = docs.withColumns({o: old_shard.cast("int"), b: block_of(col(key), col(text)), c: _checksum(text)})
+    # Ranges of blocks, as many bytes in each: a task writes few shards.
+    dealt = marked.join(where, [o, b]).repartition(part + 1, p)
+    order = Window.partitionBy(p, o, b).orderBy(col(key), c)
+    slots = dealt.withColumn(n, (F.col(f) + F.row_number().over(order) - 1).cast("bigint"))
+    out = slots.select(*_carried(docs), F.col(b).alias("block"), F.col(n).alias("slot"), F.col(o).alias("shard"))
+    out.write.option("compression", "zstd").partitionBy("shard").parquet(folder)
+    return sums
+
+
+def _carried(docs: DataFrame) -> list[Column]:
+    """All columns; those with a name that shards need themselves get another."""
+    taken = ("shard", "slot", "block")
+    return [col(c).alias(unused(docs, c)[0] if c.lower() in taken else c) for c in docs.columns]
+
+
+def _checksum(text: str) -> Column:
+    return F.crc32(F.coalesce(col(text), F.lit("")).cast("binary"))
+
+
+def rewrite(spark: SparkSession, folder: str, sums: list[tuple[int, int, int, int]], old: int, into: str, shards: int = SHARDS) -> Plan:
+    """Write the new shards that gain or lose a block, from the old ones in ``folder``, below ``into``."""
+    made = plan(sums, old, shards)
+    before, after = offsets(sums), offsets(sums, made.target)
+    affected = made.affected()
+    moves = [(*at, s, after[at] - before[at]) for at, s in sorted(made.target.items()) if s in affected]
+    where = spark.createDataFrame(moves, "shard int, block int, new int, shift bigint")
+    stored = spark.read.parquet(folder).where(F.col("shard").isin(sorted({m[0] for m in moves}) or [-1])) if sums else None
+    if stored is None or not moves:
+        return made
+    moved = stored.join(F.broadcast(where), ["shard", "block"])
+    columns = [c for c in stored.columns if c not in ("slot", "block", "shard")]
+    out = moved.select(*map(col, columns), "block", (F.col("slot") + F.col("shift")).alias("slot"), F.col("shard").alias("old_shard"), F.col("new").alias("shard"))
+    out.write.option("compression", "zstd").partitionBy("shard").parquet(into)
+    return made
+
+
+def read(spark: SparkSession, folder: str, made: Plan, into: str) -> DataFrame:
+    """All rows of the new shards: written again below ``into``, or untouched in ``folder``; with their ``old_shard``."""
+    affected = sorted(made.affected())
+    kept = spark.read.parquet(folder).withColumn("old_shard", F.col("shard"))
+    if not affected:
+        return kept
+    return kept.where(~F.col("shard").isin(affected)).unionByName(spark.read.parquet(into))
+
+
+def resharded(docs: DataFrame, old_shard: Column, old: int, key: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
+    """Documents laid out as old shards, resharded, and read back from the files: size, checksum, shard and slot of each row."""
+    spark = docs.sparkSession
+    folder, into = new_path(spark, "old-shards"), new_path(spark, "new-shards")
+    sums = lay_out(docs.select(col(key).alias("doc_id"), col(text).alias("text"), old_shard.cast("int").alias("origin")), F.col("origin"), folder)
+    if not sums:
+        rows = spark.createDataFrame([], docs.select(col(key).alias("doc_id"), col(text).alias("text")).schema)
+        rows = rows.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("bigint"), "old_shard": F.lit(0)})
+    else:
+        rows = read(spark, folder, rewrite(spark, folder, sums, old, into, shards), into)
+    return rows.select(
         "doc_id",
-        "size",
-        "text_crc32",
+        size_of(F.col("text")).alias("size"),
+        _checksum("text").alias("text_crc32"),
         F.lit("bytes").alias("law"),
         "shard",
-        (F.col("offset") + F.row_number().over(order) - 1).alias("slot"),
+        "slot",
         F.lit(None).cast("int").alias("grown_shard"),
-        F.col("old").alias("old_shard"),
+        "old_shard",
     )
-
-
-def rewrite(docs: DataFrame, old_shard: Column, old: int, folder: str, key: str = "doc_id", text: str = "text", shards: int = SHARDS) -> Plan:
-    """Write the files of all affected new shards below ``folder``, ``shard=N``; all others stay where they are."""
-    made = planned(docs, old_shard, old, key, text, shards)
-    o, b, s, f = unused(docs, "_old", "_block", "shard", "_offset")
-    where = transfers(docs, made).toDF(o, b, s, f)
-    marked = docs.withColumns({o: old_shard.cast("int"), b: block_of(col(key), col(text))})
-    moved = marked.join(F.broadcast(where), [o, b]).where(F.col(s).isin(sorted(made.affected()) or [-1]))
-    dealt = moved.repartition(s, b).sortWithinPartitions(s, b, col(key))
-    dealt.drop(o, b, f).write.partitionBy(s).parquet(folder)
-    return made

@@ -16,7 +16,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from stepview.llm import latent, perspectives, quality, reshard, secrets, wrapper
+from stepview.llm import latent, perspectives, quality, queries, reshard, secrets, wrapper
 from stepview.llm.shared import table
 
 from .conftest import ROWS, texts
@@ -140,27 +140,66 @@ def test_flow_with_costs():
 
 def test_shards(spark, odd, none, tmp_path):
     old = F.lit(3)
-    rows = reshard.assigned(odd, old, 24).collect()
+    rows = reshard.resharded(odd, old, 24).collect()
     want = [(d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t, _ in ROWS]
     assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in rows), key=repr) == sorted(want, key=repr)
     slots = collections.defaultdict(list)
     for r in rows:
         slots[r["shard"]].append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(0 <= s < 24 for s in slots)
-    assert reshard.assigned(none, old, 24).count() == 0
-    made = reshard.rewrite(odd, old, 24, str(tmp_path / "out"))
-    back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == len(ROWS) and {r[0] for r in back.select("shard").distinct().collect()} <= made.affected()
+    assert reshard.resharded(none, old, 24).count() == 0
+    # Columns with the names that shards need are carried along under others.
+    clash = odd.withColumns({"shard": F.lit("mine"), "slot": F.lit("own"), "block": F.lit("b")})
+    folder, into = str(tmp_path / "old"), str(tmp_path / "new")
+    made = reshard.rewrite(spark, folder, reshard.lay_out(clash, old, folder), 24, into)
+    back = reshard.read(spark, folder, made, into)
+    assert back.count() == len(ROWS) and {r["shard"] for r in back.collect()} <= made.affected() | {3}
+    assert [tuple(r) for r in back.select("shard_", "slot_", "block_").distinct().collect()] == [("mine", "own", "b")]
+    assert set(odd.columns) <= set(back.columns)
+
+
+def test_only_affected_shards_are_written_again(spark, tmp_path):
+    """Shards 0 and 1 differ, 2 and 3 are as they should be."""
+    docs = [(i, "x" * 92, shard) for i, shard in enumerate([0] * 300 + [1] * 100 + [2] * 200 + [3] * 200)]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string, old int")
+    folder, into = tmp_path / "old", tmp_path / "new"
+    sums = reshard.lay_out(docs, F.col("old"), str(folder))
+    made = reshard.rewrite(spark, str(folder), sums, 4, str(into), 4)
+    assert made.affected() == {0, 1} and made.moved == 100 * 100
+    assert sorted(p.name for p in into.iterdir() if p.is_dir()) == ["shard=0", "shard=1"]
+    rows = reshard.read(spark, str(folder), made, str(into)).withColumn("file", F.input_file_name()).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(800))
+    for r in rows:
+        assert f"/{'new' if r['shard'] < 2 else 'old'}/shard={r['shard']}/" in r["file"]
+        assert r["shard"] == r["old_shard"] or (r["old_shard"], r["shard"]) == (0, 1)
+    for shard in range(4):
+        assert sorted(r["slot"] for r in rows if r["shard"] == shard) == list(range(200))
 
 
-def test_shards_of_the_table(spark):
+def test_shards_of_the_table(spark, monkeypatch):
+    """The result is what lies in the files of all new shards."""
+    monkeypatch.setattr(reshard, "FILE", 100_000)
     docs = table(spark, SF, "documents")
-    rows = reshard.assigned(docs, F.pmod(F.xxhash64("source"), F.lit(24)), 24).toPandas()
+    out = queries.QUERIES["op3_flow_reshard"](spark, SF)
+    files = out.inputFiles()
+    rows = out.toPandas()
     sizes = rows.groupby("shard")["size"].sum()
     assert len(sizes) == 24 and sizes.max() - sizes.min() < 0.02 * sizes.mean()
     old = rows.groupby("old_shard")["size"].sum()
     least = (old - rows["size"].sum() / 24).clip(lower=0).sum()
     assert rows[rows["shard"] != rows["old_shard"]]["size"].sum() < 1.02 * least
+    for _, slots in rows.groupby("shard")["slot"]:
+        assert sorted(slots) == list(range(len(slots)))
+    want = {r["doc_id"]: (r["text"], r["source"]) for r in docs.select("doc_id", "text", "source").collect()}
+    got = {}
+    for path in {f.rsplit("/shard=", 1)[0] for f in files}:
+        for r in spark.read.parquet(path).select("doc_id", "text", "shard", "slot").collect():
+            got.setdefault((r["doc_id"], r["shard"], r["slot"]), r["text"])
+    for r in rows.itertuples():
+        text = want[r.doc_id][0]
+        assert got[r.doc_id, r.shard, r.slot] == text
+        assert (r.size, r.text_crc32) == (len((text or "").encode()) + 8, zlib.crc32((text or "").encode()))
+    assert len(rows) == len(want)
 
 
 def test_common_subsequence():
