@@ -46,8 +46,8 @@ SHARE, ANSWER, ALL = 0.75, 0.5, 0.9
 TAIL = 0.25
 #: Words of an item from which shared runs are of three words, not two; bits of the first look at runs.
 LONG, BITS = 12, 22
-#: Items compared at a time; slices of sums.
-ITEMS, SLICES = 4096, 64
+#: Items compared at a time; slices of sums; words searched and windows compared at a time.
+ITEMS, SLICES, SEARCHED, WINDOWS = 4096, 64, 1 << 18, 4096
 
 #: Letters, digits, ``_`` and whatever isn't ASCII stay; all else divides words.
 _LETTERS = bytes(c if c >= 128 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
@@ -127,14 +127,16 @@ def gram_times(terms: DataFrame, weight: np.ndarray, thin: np.ndarray) -> np.nda
     weighted = np.vstack([thin * weight[:, None], np.zeros(width)]).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width, TERMS + 1))
+        total = np.zeros((TERMS + 1, width))
         for batch in batches:
             for rows in passages(batch):
                 projected = np.concatenate([weighted[rows[k : k + 256]].sum(axis=1) for k in range(0, len(rows), 256)])
-                flat = rows.ravel()
-                for c, column in enumerate(np.ascontiguousarray(projected.T, np.float64)):
-                    total[c] += np.bincount(flat, np.repeat(column, PASSAGE), TERMS + 1)
-        parts = np.split(total.T[:TERMS].astype(np.float32), SLICES)
+                # The rows of each term next to each other, then one sum for each term.
+                order = np.argsort(rows, axis=None, kind="stable")
+                flat = rows.ravel()[order]
+                starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+                total[flat[starts]] += np.add.reduceat(projected[order // PASSAGE], starts, axis=0)
+        parts = np.split(total[:TERMS].astype(np.float32), SLICES)
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["slice", "part"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,10 +186,25 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
 
-def windows(terms: np.ndarray, space: Space) -> np.ndarray:
-    """Directions of the half-overlapping windows of one text; window ``i`` begins at word ``i * PASSAGE // 2``."""
-    halves = space.place[padded(terms, PASSAGE // 2)].sum(axis=1)
-    return unit(halves[:-1] + halves[1:]) if len(halves) > 1 else unit(halves)
+def near(texts: list[np.ndarray], space: Space, directions: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Text, number and item of all half-overlapping windows that are near an item; window ``i`` begins at word ``i * PASSAGE // 2``.
+
+    A text of up to half a window has one; windows of all texts are compared together, ``WINDOWS`` at a time."""
+    half = PASSAGE // 2
+    rows = np.concatenate([np.zeros((0, half), np.int32), *(padded(w % TERMS, half) for w in texts)])
+    counts = np.array([-(-len(w) // half) for w in texts], np.int64)
+    first = np.cumsum(counts) - counts
+    many = np.maximum(counts - 1, np.minimum(counts, 1))
+    text = np.repeat(np.arange(len(texts)), many)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    begin, pair = first[text] + number, counts[text] > 1
+    for k in range(0, len(text), WINDOWS):
+        some, two = begin[k : k + WINDOWS], pair[k : k + WINDOWS]
+        low, high = int(some[0]), int(some[-1]) + 2
+        halves = np.concatenate([space.place[rows[i : min(i + 256, high)]].sum(axis=1) for i in range(low, min(high, len(rows)), 256)])
+        there = np.where(two, np.minimum(some - low + 1, len(halves) - 1), 0)
+        at, item = np.nonzero(unit(halves[some - low] + halves[there] * two[:, None]) @ directions.T >= COSINE)
+        yield text[k + at], number[k + at], item
 
 
 def grams(words: np.ndarray, q: int) -> np.ndarray:
@@ -220,17 +237,20 @@ class Grams:
         seen[keys >> np.uint64(64 - BITS)] = True
         return Grams(q, seen, keys, np.append(starts, len(every)), owners[order])
 
-    def met(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Items and places of all runs of a text that they share."""
+    def met(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Texts, items and places (among all ``words``) of all runs that they share; ``ends``: of the texts in ``words``."""
         found = grams(words, self.q)
         at = np.flatnonzero(self.seen[found >> np.uint64(64 - BITS)])
         k = np.searchsorted(self.keys, found[at])
         same = k < len(self.keys)
         same[same] = self.keys[k[same]] == found[at[same]]
         at, k = at[same], k[same]
+        text = np.searchsorted(ends, at, side="right")
+        within = at + self.q <= ends[text] if len(at) else np.zeros(0, bool)
+        at, k, text = at[within], k[within], text[within]
         counts = self.starts[k + 1] - self.starts[k]
         inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        return self.owners[np.repeat(self.starts[k], counts) + inside], np.repeat(at, counts)
+        return np.repeat(text, counts), self.owners[np.repeat(self.starts[k], counts) + inside], np.repeat(at, counts)
 
 
 def run_length(n: int) -> int:
@@ -247,20 +267,22 @@ class Items:
     directions: np.ndarray
     #: Made in the worker, by ``spans``.
     runs: list[Grams] | None = None
+    lengths: np.ndarray | None = None
 
-    def spans(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Item, begin and end of the words of a text that share enough runs with it."""
+    def spans(self, words: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Text, item, begin and end (among all ``words``) of the words of a text that share enough runs with an item."""
         if self.runs is None:
             self.runs = [Grams.of(self.words, q) for q in {run_length(len(w)) for w in self.words}]
+            self.lengths = np.array([len(w) for w in self.words], np.int64)
         for some in self.runs:
-            item, at = some.met(words)
-            order = np.lexsort((at, item))
-            item, at = item[order], at[order]
-            n = np.array([len(w) for w in self.words], np.int64)[item]
+            text, item, at = some.met(words, ends)
+            order = np.lexsort((at, item, text))
+            text, item, at = text[order], item[order], at[order]
+            n = self.lengths[item]
             last = np.arange(len(item)) + np.maximum(1, (n - some.q + 1 - some.q * (n // 4)) // 2) - 1
-            ends = np.minimum(last, len(item) - 1)
-            good = np.flatnonzero((last == ends) & (item[ends] == item) & (at[ends] - at <= 2 * n))
-            yield from zip(item[good].tolist(), (at - n)[good].tolist(), (at[ends] + some.q + n)[good].tolist(), strict=True)
+            stop = np.minimum(last, len(item) - 1)
+            good = np.flatnonzero((last == stop) & (item[stop] == item) & (text[stop] == text) & (at[stop] - at <= 2 * n))
+            yield from zip(text[good].tolist(), item[good].tolist(), (at - n)[good].tolist(), (at[stop] + some.q + n)[good].tolist(), strict=True)
 
     @staticmethod
     def of(rows: list[tuple[int | None, str | None]], space: Space) -> Items:
@@ -283,20 +305,24 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
-def leaks(words: np.ndarray, space: Space, items: Items) -> list[tuple[int, int, float]]:
-    """Number of each item that a text holds, words of the item found in order, and their share."""
-    if not len(words) or not items.ids:
-        return []
-    cosine = windows(words % TERMS, space) @ items.directions.T
-    at, item = np.nonzero(cosine >= COSINE)
-    best: dict[int, tuple[int, float]] = {}
+def candidates(texts: list[np.ndarray], space: Space, items: Items) -> dict[int, dict[int, list[tuple[int, int]]]]:
+    """By text and item, the stretches of words that may hold the item."""
+    out: dict[int, dict[int, list[tuple[int, int]]]] = {}
     half = PASSAGE // 2
-    places: dict[int, list[tuple[int, int]]] = {}
-    for j, group in _runs(at, item):
-        n = len(items.words[j])
-        places[j] = [(first * half - n, last * half + PASSAGE + n) for first, last in group]
-    for j, begin, end in items.spans(words):
-        places.setdefault(j, []).append((begin, end))
+    for text, number, item in near(texts, space, items.directions):
+        for t, j, first, last in _runs(text, number, item):
+            n = len(items.words[j])
+            out.setdefault(t, {}).setdefault(j, []).append((first * half - n, last * half + PASSAGE + n))
+    ends = np.cumsum([len(w) for w in texts])
+    begins = (ends - [len(w) for w in texts]).tolist()
+    for t, j, begin, end in items.spans(np.concatenate(texts), ends):
+        out.setdefault(t, {}).setdefault(j, []).append((begin - begins[t], end - begins[t]))
+    return out
+
+
+def confirmed(words: np.ndarray, places: dict[int, list[tuple[int, int]]], items: Items) -> list[tuple[int, int, float]]:
+    """Number of each item that a text holds at one of its places, words of the item found in order, and their share."""
+    best: dict[int, tuple[int, float]] = {}
     for j, group in places.items():
         wanted = items.words[j].tolist()
         n = len(wanted)
@@ -317,16 +343,30 @@ def leaks(words: np.ndarray, space: Space, items: Items) -> list[tuple[int, int,
     return [(j, *found) for j, found in sorted(best.items())]
 
 
-def _runs(at: np.ndarray, item: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """Per item the first and last of each run of neighbouring windows."""
-    order = np.lexsort((at, item))
-    at, item = at[order], item[order]
-    cuts = np.flatnonzero((np.diff(item) != 0) | (np.diff(at) > 1)) + 1
-    found: dict[int, list[tuple[int, int]]] = {}
-    for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True):
-        if begin < end:
-            found.setdefault(int(item[begin]), []).append((int(at[begin]), int(at[end - 1])))
-    yield from found.items()
+def leaks(texts: list[np.ndarray], space: Space, items: Items) -> list[list[tuple[int, int, float]]]:
+    """``confirmed`` for each text. Texts are searched together, up to ``SEARCHED`` words or one text with more at a time."""
+    out: list[list[tuple[int, int, float]]] = [[] for _ in texts]
+    begin, held = 0, 0
+    for i in range(len(texts) + 1):
+        if i == len(texts) or (i > begin and held + len(texts[i]) > SEARCHED):
+            if held and items.ids:
+                for t, places in candidates(texts[begin:i], space, items).items():
+                    out[begin + t] = confirmed(texts[begin + t], places, items)
+            begin, held = i, 0
+        if i < len(texts):
+            held += len(texts[i])
+    return out
+
+
+def _runs(text: np.ndarray, number: np.ndarray, item: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Text and item with the first and last of each run of neighbouring windows."""
+    order = np.lexsort((number, item, text))
+    text, number, item = text[order], number[order], item[order]
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (np.diff(number) > 1)
+    starts = np.flatnonzero(new)
+    lasts = np.append(starts[1:], len(text)) - 1 if len(starts) else starts
+    yield from zip(text[starts].tolist(), item[starts].tolist(), number[starts].tolist(), number[lasts].tolist(), strict=True)
 
 
 def _merged(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
@@ -367,7 +407,8 @@ def matched(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
 def _matched(words: DataFrame, items: Items, space: Space) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, *x) for k, w in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for x in leaks(np.frombuffer(w.as_buffer(), "<u4"), space, items)]
+            texts = [np.frombuffer(w.as_buffer(), "<u4") for w in batch.column(1)]
+            rows = [(k, *x) for k, found in zip(batch.column(0).to_pylist(), leaks(texts, space, items), strict=True) for x in found]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([items.ids[r[1]] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.float64())],
                 names=["doc_id", "item_id", "lcs", "share"],
@@ -392,7 +433,9 @@ def _clean(docs: DataFrame, items: Items, space: Space, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            clean = [not leaks(words_of(t.as_py()), space, items) for t in batch.column(place)]
-            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(clean, pa.bool_())).columns, names=schema.names)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                clean = [not found for found in leaks([words_of(t.as_py()) for t in part.column(place)], space, items)]
+                yield pa.RecordBatch.from_arrays(part.filter(pa.array(clean, pa.bool_())).columns[:n], names=schema.names)
 
     return map_batches(both, run, schema)
