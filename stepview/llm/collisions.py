@@ -190,55 +190,88 @@ def _hubs(open_lists: DataFrame) -> DataFrame:
     return saved(top.select("list", F.col("top.weight").alias("hub_weight"), F.col("top.fp").alias("hub"), F.col("top.root").alias("hub_root")), "hubs")
 
 
+class _Block:
+    """Members of a list, or of two blocks of it, in order of their nodes."""
+
+    def __init__(self, group: pa.Table, percent: int):
+        self.group = group.combine_chunks().sort_by("fp")
+        self.percent, self.matches = percent, least_matches(percent)
+        self.crossed = self.group["i"][0].as_py() != self.group["j"][0].as_py()
+        self.fp, root, self.n, self.block = (self.group[c].to_numpy() for c in ("fp", "root", "n", "block"))
+        self.root = root.copy()
+        self.sketch = np.stack([x.values.to_numpy() for x in self.group["sketch"]])
+
+    def candidates(self, x: int) -> np.ndarray:
+        """Members behind ``x`` in other components whose sizes and sketches allow a link, likely ones first."""
+        y = np.arange(x + 1, len(self.fp))
+        n, least = self.n, self.percent
+        y = y[(self.root[y] != self.root[x]) & (100 * np.minimum(n[y], n[x]) >= least * np.maximum(n[y], n[x]))]
+        if self.crossed:
+            y = y[self.block[y] != self.block[x]]
+        same = (self.sketch[y] == self.sketch[x]).sum(axis=1)
+        return y[np.argsort(-same, kind="stable")][: int((same >= self.matches).sum())]
+
+
+def _screen(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """The members of a group that have a candidate in it."""
+
+    def run(group: pa.Table) -> pa.Table:
+        block = _Block(group, percent)
+        wanted = np.zeros(len(block.fp), bool)
+        for x in range(len(block.fp) - 1):
+            y = block.candidates(x)
+            wanted[y] = True
+            wanted[x] |= len(y) > 0
+        return block.group.select(["list", "i", "j", "fp"]).filter(pa.array(wanted))
+
+    return run
+
+
 def _compare(percent: int) -> Callable[[pa.Table], pa.Table]:
-    matches = least_matches(percent)
+    """Links that hold together what is alike in a group, by comparing whole sets."""
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks().sort_by("fp")
-        here, crossed = group["list"][0].as_py(), group["i"][0].as_py() != group["j"][0].as_py()
-        fp, root, n, block = (group[c].to_numpy() for c in ("fp", "root", "n", "block"))
-        root = root.copy()
-        coordinates = np.stack([x.values.to_numpy() for x in group["coordinates"]])
+        block = _Block(group, percent)
+        group, root, here = block.group, block.root, block.group["list"][0].as_py()
         lists = [x.values.to_numpy() for x in group["lists"]]
-        padded = np.full((len(fp), max(map(len, lists))), here)
+        padded = np.full((len(lists), max(map(len, lists))), here)
         for row, some in zip(padded, lists):
             row[: len(some)] = some
         whole = [x.values.to_numpy().view(np.uint64) for x in group["set"]]
         a, b = [], []
-        for x in range(len(fp) - 1):
-            y = np.arange(x + 1, len(fp))
-            y = y[(root[y] != root[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
-            if crossed:
-                y = y[block[y] != block[x]]
-            same = (coordinates[y] == coordinates[x]).sum(axis=1)
-            y, same = y[same >= matches], same[same >= matches]
-            before = lists[x][lists[x] < here]
-            y = y[np.argsort(-same, kind="stable")]
-            y = y[~np.isin(padded[y], before).any(axis=1)]
+        for x in range(len(lists) - 1):
+            y = block.candidates(x)
+            y = y[~np.isin(padded[y], lists[x][lists[x] < here]).any(axis=1)]
             for other in y.tolist():
                 if root[other] != root[x] and _alike(whole[x], whole[other], percent):
                     root[root == root[other]] = root[x]
-                    a.append(fp[x])
-                    b.append(fp[other])
+                    a.append(block.fp[x])
+                    b.append(block.fp[other])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
 def compared(open_lists: DataFrame, nodes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Links that connect what is alike within each of the lists, from comparisons of all their members in different components."""
+    """Links that connect what is alike within each of the lists, from comparisons of all their members in different components.
+
+    Sketches, a few bits of each coordinate, are compared first; sets go only to where a sketch leaves something to decide."""
     own = open_lists.groupBy("fp").agg(F.sort_array(F.collect_set("list")).alias("lists"))
-    full = saved(own.join(nodes.select("fp", "n", "coordinates"), "fp"), "full")
-    sized = saved(open_lists.join(full.select("fp", "n"), "fp"), "sized")
+    few = F.transform("coordinates", lambda c: F.shiftright(c, 6).bitwiseAND(127).cast("tinyint"))
+    full = saved(own.join(nodes.select("fp", "n", few.alias("sketch")), "fp"), "full")
+    sized = saved(open_lists.join(full.select("fp", "n", "sketch"), "fp"), "sized")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
     counts = saved(sized.groupBy("list").agg(blocks.alias("blocks")), "blocks")
-    placed = sized.join(counts, "list").select("list", "fp", "root", "blocks", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block"))
+    rest = ["fp", "root", "n", "sketch"]
+    placed = sized.join(counts, "list").select("list", *rest, "blocks", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block"))
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")),
     )
-    dealt = placed.select("list", "fp", "root", "block", F.inline(pairs))
-    carried = dealt.join(full, "fp").join(found, "fp")
+    dealt = placed.select("list", *rest, "block", F.inline(pairs))
+    at = ["list", "i", "j", "fp"]
+    wanted = saved(dealt.groupBy("list", "i", "j").applyInArrow(_screen(percent), "list bigint, i int, j int, fp bigint"), "wanted")
+    carried = dealt.join(wanted, at, "left_semi").join(full.select("fp", "lists"), "fp").join(found, "fp")
     return carried.groupBy("list", "i", "j").applyInArrow(_compare(percent), "a bigint, b bigint")
 
 
