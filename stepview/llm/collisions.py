@@ -40,8 +40,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stepview.llm import minhash, simhash
+from stepview.llm import simhash
 from stepview.llm.shared import beside, col, drop, map_batches, new_path, saved, scope
+from stepview.llm.shingles import plain, shingles
 
 WORDS, PERCENT, SEED = 5, 85, 42
 COORDINATES, POSTED = 64, 40
@@ -77,7 +78,7 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 
 def _set(text: bytes | None) -> np.ndarray:
-    return minhash.shingles(minhash.plain(text), WORDS)
+    return shingles(plain(text), WORDS)
 
 
 def _node(found: np.ndarray) -> int:
