@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,10 +34,16 @@ def write_registry(sources: DataFrame, path: str) -> None:
 
 
 def normalized(directory: str, home: str | None = None) -> str:
-    """A directory's plain form: ``~`` filled in, no double or trailing slash, no ``.`` or ``..``."""
+    """A directory's plain form: ``~`` filled in, no double or trailing slash, no ``.``.
+
+    ``..`` stays: behind a link it does not lead back to where the link is.
+    """
     if directory == "~" or directory.startswith("~/"):
         directory = (home or os.path.expanduser("~")) + directory[1:]
-    return re.sub("^/+", "/", os.path.normpath(directory)) if directory else directory
+    if not directory:
+        return directory
+    plain = "/".join(p for p in directory.split("/") if p not in ("", "."))
+    return f"/{plain}" if directory.startswith("/") else plain or "."
 
 
 def _normalized(rows: DataFrame) -> DataFrame:
@@ -88,23 +95,42 @@ def default_name(name, directory):
     return F.trim(F.coalesce(given, F.when(last != "", last), directory))
 
 
-def _placed(rows: DataFrame, blocks: DataFrame | None) -> DataFrame:
-    """Give each row the slot number ``k`` of its name, skipping the blocked ones."""
-    if blocks is None:
-        return rank(rows, ["name"], ["arrival"], "k")
-    match = (
-        (rows["name"] == blocks["name"])
-        & (rows["directory"] == blocks["holder"])
-        & (rows["arrival"] > blocks["since"])
-    )
-    fixed = rows.join(blocks, match).groupBy(*[rows[c] for c in rows.columns]).agg(F.min("k").alias("k"))
-    free = rank(rows.join(fixed, ["name", "directory"], "left_anti"), ["name"], ["arrival"], "_r")
-    # One block is added per round of the loop below, so the arrays stay short.
-    taken = blocks.groupBy("name").agg(F.sort_array(F.collect_set("k")).alias("_taken"))
-    shifted = F.transform(F.coalesce("_taken", F.array()), lambda k, i: k - i)
-    skipped = F.size(F.filter(shifted, lambda k: k <= F.col("_r")))
-    numbered = free.join(taken, "name", "left").select(*rows.columns, (F.col("_r") + skipped).alias("k"))
-    return numbered.unionByName(fixed)
+def _taken_in_turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Unique names of rows that come by family and arrival: each gets the first name that is free or its own directory's.
+
+    For every name that has been numbered, the numbers in use point to the next one that may be free.
+    """
+    family: object = None
+    taken: dict[str, str] = {}
+    after: dict[str, dict[int, int]] = {}
+    held: dict[tuple[str, str], int] = {}
+
+    def free(base: str) -> int:
+        used, k, passed = after.setdefault(base, {}), 2, []
+        while k in used:
+            passed.append(k)
+            k = used[k]
+        for p in passed:
+            used[p] = k
+        return k
+
+    for batch in batches:
+        given = []
+        for row in batch.itertuples(index=False):
+            if row.family != family:
+                family, taken, after, held = row.family, {}, {}, {}
+            name = row.name
+            if taken.get(name, row.directory) != row.directory:
+                name = f"{name}-{min(free(name), held.get((name, row.directory), sys.maxsize))}"
+            given.append(name)
+            if name in taken:
+                continue
+            taken[name] = row.directory
+            if made := re.fullmatch("(.*)-([2-9]|[1-9][0-9]+)", name, re.DOTALL):
+                base, k = made[1], int(made[2])
+                after.setdefault(base, {})[k] = k + 1
+                held[base, row.directory] = min(k, held.get((base, row.directory), k))
+        yield batch[["name", "directory"]].assign(unique_name=given)
 
 
 def unique_names(arrivals: DataFrame) -> DataFrame:
@@ -112,31 +138,18 @@ def unique_names(arrivals: DataFrame) -> DataFrame:
 
     Directories are compared in their plain form. A name taken by another directory becomes ``name-2``, ``name-3``, …; the same
     name and directory again make no new entry. ``arrival`` is a number
-    unique to a row. Numbering is by rank within a name. A numbered name
-    may also have been given as such (``x-2``): then the earlier arrival keeps it,
-    and the later one's name skips that number. These cases are settled one per
-    round and family of names, in order of arrival, until none is left.
+    unique to a row. A numbered name may also have been given as such (``x-2``): then the earlier arrival keeps it,
+    and the later one's name skips that number. Where that can't happen, as all names of a family (but for numbers at
+    the end) are the same, names are numbered by rank, in many tasks. The other families depend on the order of
+    their arrivals from one to the next, so each of them goes through one task, row by row.
     """
     rows = _normalized(arrivals.select("name", "directory", "arrival")).groupBy("name", "directory").agg(F.min("arrival").alias("arrival"))
-    rows = materialize(rows, "arrivals")
-    blocks = None
-    while True:
-        slot = F.when(F.col("k") == 1, F.col("name")).otherwise(F.concat_ws("-", "name", "k"))
-        placed = materialize(_placed(rows, blocks).withColumn("unique_name", slot), "names")
-        entry = F.struct("arrival", "name", "k", "directory")
-        clashes = (
-            placed.groupBy("unique_name")
-            .agg(F.min(entry).alias("first"), F.max(entry).alias("last"))
-            .where("first.directory <> last.directory")
-            .select(
-                F.regexp_replace("unique_name", r"(-[1-9][0-9]*)+$", "").alias("family"),
-                F.struct("last.arrival", "last.name", "last.k", F.col("first.directory").alias("holder")).alias("clash"),
-            )
-            .groupBy("family")
-            .agg(F.min("clash").alias("clash"))
-            .select("clash.name", "clash.k", "clash.holder", F.col("clash.arrival").alias("since"))
-        )
-        clashes = materialize(clashes, "clashes")
-        if clashes.isEmpty():
-            return placed.select("name", "directory", "unique_name")
-        blocks = clashes if blocks is None else blocks.unionByName(clashes)
+    family = F.regexp_replace("name", r"(-[1-9][0-9]*)+$", "")
+    rows = materialize(rows.withColumn("family", family), "arrivals")
+    mixed = rows.groupBy("family").agg(F.min("name").alias("low"), F.max("name").alias("high")).where("low <> high")
+    mixed = mixed.select("family")
+    ranked = rank(rows.join(mixed, "family", "left_anti"), ["name"], ["arrival"], "k")
+    slot = F.when(F.col("k") == 1, F.col("name")).otherwise(F.concat_ws("-", "name", "k"))
+    turns = rows.join(mixed, "family", "left_semi").repartition("family").sortWithinPartitions("family", "arrival")
+    settled = turns.mapInPandas(_taken_in_turn, "name string, directory string, unique_name string")
+    return ranked.select("name", "directory", slot.alias("unique_name")).unionByName(settled)

@@ -10,16 +10,19 @@ recording has a later conversion.
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stepview.operators import freshness, signals
 from stepview.operators.ranking import materialize
 
+#: Bytes of a row group of the signal.
+ROW_GROUP = 16 << 20
 RECORDING = ["source", "participant", "step_num", "step_dir"]
 RECORDINGS = (
     "source string, participant string, step_num bigint, step_dir string, kind string, "
@@ -33,6 +36,15 @@ SIGNAL = (
 )
 
 
+def interleaved(*columns: Column, bits: int = 20) -> Column:
+    """The lowest ``bits`` bits of whole numbers by turns, as BIGINT: near in all of them is near in this."""
+    most = (1 << bits) - 1
+    capped = [F.greatest(F.least(c.cast("bigint"), F.lit(most)), F.lit(0)) for c in columns]
+    n = len(columns)
+    placed = [F.shiftleft(F.shiftright(c, b).bitwiseAND(1), b * n + i) for b in range(bits) for i, c in enumerate(capped)]
+    return functools.reduce(Column.bitwiseOR, placed)
+
+
 def _read(spark: SparkSession, path: str, schema: str, damaged: bool = False) -> DataFrame:
     """The rows at ``path``, none if there is nothing; ``damaged``: what can be read of damaged files, instead of an error."""
     try:
@@ -126,16 +138,18 @@ def convert(recordings: DataFrame, blocks: DataFrame, path: str, clean: bool = F
     todo = materialize(todo.select(*RECORDING, "kind", "sfreq", "first_time", "mtime"), "todo")
     done = todo.select(*RECORDING).limit(0)
     if not todo.isEmpty():
-        # Ranges cut a source of any size into files of equal size, sorted so
-        # that a window of one participant touches few row groups.
-        order = ["source", "step_num", "participant", "step_dir", "start_sample", "ch_idx"]
+        # Ranges cut a source of any size into files of equal size. Within a recording blocks lie so that those near in time
+        # and channel are near in the file: a window and a pick both leave row groups out.
+        place = F.coalesce("epoch_idx", F.floor(F.col("start_sample") / F.greatest(F.size("samples"), F.lit(1))))
+        order = ["source", "step_num", "participant", "step_dir", "_place", "start_sample", "ch_idx"]
         (
             blocks.join(todo, RECORDING, "left_semi")
-            .withColumn("batch", F.lit(batch))
-            .select(*T.StructType.fromDDL(SIGNAL).names)
+            .withColumns({"batch": F.lit(batch), "_place": interleaved(place, F.col("ch_idx"))})
             .repartitionByRange(*order)
             .sortWithinPartitions(*order)
+            .select(*T.StructType.fromDDL(SIGNAL).names)
             .write.mode("append")
+            .option("parquet.block.size", ROW_GROUP)
             .partitionBy("source", "step_num", "batch")
             .parquet(f"{path}/signal")
         )

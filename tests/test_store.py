@@ -3,12 +3,14 @@
 import random
 import re
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from stepview.operators import signals
 from stepview.operators.prefix import prefix_join
 from stepview.sources import registry, store
+from stepview.sources import tree as trees
 
 
 def batch_names(spark, arrivals):
@@ -25,8 +27,8 @@ def batch_names(spark, arrivals):
         ([("x", "/a"), ("x", "/c"), ("x-2", "/b"), ("x-2", "/e")], ["x", "x-2", "x-2-2", "x-2-3"]),
         # A made name that its own directory has already been given.
         ([("x-2", "/d"), ("x", "/a"), ("x", "/b"), ("x", "/d"), ("x", "/e")], ["x-2", "x", "x-3", "x-2", "x-4"]),
-        # One directory, however it is written.
-        ([("x", "/d/a"), ("x", "/d/a/"), ("x", "//d//b/../a"), ("x", "~/q"), ("x", "~/q/.")], ["x", "x", "x", "x-2", "x-2"]),
+        # One directory, however it is written; behind ``..`` there may be another.
+        ([("x", "/d/a"), ("x", "/d/a/"), ("x", "//d/./a"), ("x", "~/q"), ("x", "~/q/."), ("x", "/d/b/../a")], ["x", "x", "x", "x-2", "x-2", "x-3"]),
     ],
 )
 def test_unique_names(spark, arrivals, want):
@@ -48,6 +50,53 @@ def test_unique_names_at_random(spark, seed):
     assert got[arrivals[0][:2]] == arrivals[0][0]
 
 
+def one_by_one(arrivals):
+    """Registration as it is done by hand, one directory after the other."""
+    sources, given = {}, {}
+    for name, directory, _ in sorted(arrivals, key=lambda a: a[2]):
+        candidate, n = name, 1
+        while sources.get(candidate, directory) != directory:
+            n += 1
+            candidate = f"{name}-{n}"
+        sources[candidate] = directory
+        given.setdefault((name, directory), candidate)
+    return given
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_many_unique_names_as_one_by_one(spark, seed):
+    rng = random.Random(seed)
+    pool = ["x", "x-2", "x-3", "x-2-2", "x-10", "y", "y-2", "z", "w-1", "w", "v-02", "v", "-2", ""]
+    arrivals = [(rng.choice(pool), f"/{rng.randrange(40)}", i) for i in rng.sample(range(10_000), 700)]
+    assert batch_names(spark, arrivals) == one_by_one(arrivals)
+
+
+def test_jobs_of_unique_names_do_not_grow(spark):
+    tracker = spark.sparkContext.statusTracker()
+    counts = []
+    for clashes in (1, 60):
+        arrivals = [("x", "/a", 0)] + [(f"x-{k}" if k % 2 else "x", f"/{k}", k) for k in range(2, clashes + 2)]
+        group = f"names-{clashes}"
+        spark.sparkContext.setJobGroup(group, group)
+        batch_names(spark, arrivals)
+        counts.append(len(tracker.getJobIdsForGroup(group)))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Adaptive execution may split off a job for a table that is small enough.
+    assert abs(counts[0] - counts[1]) <= 1 and max(counts) <= 15, counts
+
+
+def test_directory_behind_a_link(spark, tmp_path):
+    """``link/..`` is the parent of what the link leads to."""
+    (tmp_path / "far" / "deep").mkdir(parents=True)
+    (tmp_path / "far" / "a" / "1_load").mkdir(parents=True)
+    (tmp_path / "far" / "a" / "1_load" / "S1.set").write_text("x")
+    (tmp_path / "link").symlink_to(tmp_path / "far" / "deep")
+    given = spark.createDataFrame([(f"{tmp_path}/link/../a", 1), (f"{tmp_path}/a", 2)], "directory string, n long")
+    assert {r.n: r.is_dir for r in registry.checked(given).collect()} == {1: True, 2: False}
+    sources = registry.registry(spark, {"lab": f"{tmp_path}/link/../a/"})
+    assert trees.manifest(sources).where("name = 'S1.set'").count() == 1
+
+
 def test_registry_is_rewritten_where_it_was_read(spark, tmp_path):
     path = str(tmp_path / "r")
     registry.write_registry(registry.registry(spark, {"a": "/a/", "b": "/b"}), path)
@@ -166,6 +215,34 @@ def test_window_of_one_participant_prunes(spark, tmp_path):
     assert "step_num" in scan.split("PartitionFilters:")[1].split("PushedFilters")[0]
 
 
+def test_window_and_picks_leave_row_groups_out(spark, tmp_path, monkeypatch):
+    """One channel at the end of a recording of 64 channels and 256 blocks: under a tenth of the row groups."""
+    monkeypatch.setattr(store, "ROW_GROUP", 32 << 10)
+    path = tmp_path / "store"
+    recs = recordings(spark, ("s", "P1", 1, "1_a", "raw", 100))
+    blocks = signal(recs, 1).drop("ch_idx", "start_sample", "samples", "ch_name").withColumns(
+        {"ch_idx": F.explode(F.sequence(F.lit(0), F.lit(63))), "start_sample": F.explode(F.sequence(F.lit(0), F.lit(255))).cast("bigint") * 50}
+    )
+    blocks = blocks.withColumn("samples", F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: F.rand(3).cast("float") + i))
+    blocks = blocks.withColumn("ch_name", F.format_string("c%02d", "ch_idx"))
+    store.convert(recs, blocks, str(path))
+    groups = hit = 0
+    for file in path.glob("signal/source=s/*/*/*.parquet"):
+        meta = pq.read_metadata(file)
+        names = {meta.schema.column(k).name: k for k in range(len(meta.schema))}
+        for g in range(meta.num_row_groups):
+            stats = [meta.row_group(g).column(names[c]).statistics for c in ("start_sample", "ch_name")]
+            groups += 1
+            hit += stats[0].max >= 250 * 50 and stats[1].min <= "c07" <= stats[1].max
+    assert groups >= 40 and 0 < hit < groups / 10
+    assert store.read_signal(spark, str(path)).where("ch_name = 'c07' and start_sample >= 12500").count() == 6
+
+
+def test_interleaved(spark):
+    (r,) = spark.range(1).select(store.interleaved(F.lit(5), F.lit(3)).alias("x"), store.interleaved(F.lit(-4), F.lit(1 << 40), bits=3).alias("y")).collect()
+    assert (r.x, r.y) == (0b011011, 0b101010)
+
+
 def damage(path, how):
     """Change every file of the store's signal."""
     for file in path.glob("signal/source=s/step_num=1/*/*.parquet"):
