@@ -152,4 +152,4 @@ def unique_names(arrivals: DataFrame) -> DataFrame:
     slot = F.when(F.col("k") == 1, F.col("name")).otherwise(F.concat_ws("-", "name", "k"))
     turns = rows.join(mixed, "family", "left_semi").repartition("family").sortWithinPartitions("family", "arrival")
     settled = turns.mapInPandas(_taken_in_turn, "name string, directory string, unique_name string")
-    return ranked.select("name", "directory", slot.alias("unique_name")).unionByName(settled)
+    return ranked.select("name", "directory", slot.alias("unique_name")).unionByName(materialize(settled, "names"))
