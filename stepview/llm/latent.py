@@ -127,16 +127,14 @@ def gram_times(terms: DataFrame, weight: np.ndarray, thin: np.ndarray) -> np.nda
     weighted = np.vstack([thin * weight[:, None], np.zeros(width)]).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((TERMS + 1, width))
+        total = np.zeros((width, TERMS + 1))
         for batch in batches:
             for rows in passages(batch):
                 projected = np.concatenate([weighted[rows[k : k + 256]].sum(axis=1) for k in range(0, len(rows), 256)])
-                # The rows of each term next to each other, then one sum for each term.
-                order = np.argsort(rows, axis=None, kind="stable")
-                flat = rows.ravel()[order]
-                starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-                total[flat[starts]] += np.add.reduceat(projected[order // PASSAGE], starts, axis=0)
-        parts = np.split(total[:TERMS].astype(np.float32), SLICES)
+                flat = rows.ravel()
+                for c, column in enumerate(np.ascontiguousarray(projected.T, np.float64)):
+                    total[c] += np.bincount(flat, np.repeat(column, PASSAGE), TERMS + 1)
+        parts = np.split(total.T[:TERMS].astype(np.float32), SLICES)
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["slice", "part"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

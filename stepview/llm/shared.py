@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import functools
 import pathlib
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -14,8 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_open: list[list[str]] = []
+#: Tables of the open scopes, innermost last; each thread (and each context) has its own.
+_open: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
 _shipped: set[str] = set()
+_shipping = threading.Lock()
 
 
 @functools.cache
@@ -43,7 +47,7 @@ def new_path(spark: SparkSession, tag: str, outer: bool = False) -> str:
     path = f"{folder(spark).rstrip('/')}/llm-{tag}-{uuid.uuid4().hex}"
     where, system = _hadoop(spark, path)
     system.deleteOnExit(where)
-    scopes = _open[:-1] if outer else _open
+    scopes = _open.get()[:-1] if outer else _open.get()
     if scopes:
         scopes[-1].append(path)
     return path
@@ -52,11 +56,13 @@ def new_path(spark: SparkSession, tag: str, outer: bool = False) -> str:
 @contextlib.contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Tables saved inside are deleted at the end, but for those saved as ``outer``; what is used later must not read them."""
-    _open.append([])
+    mine: list[str] = []
+    before = _open.set((*_open.get(), mine))
     try:
         yield
     finally:
-        for path in _open.pop():
+        _open.reset(before)
+        for path in mine:
             drop(spark, path)
 
 
@@ -74,15 +80,16 @@ def saved(df: DataFrame, tag: str, outer: bool = False) -> DataFrame:
 
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package wherever they start; once for each Spark application."""
-    if spark.sparkContext.applicationId in _shipped:
-        return
-    package = pathlib.Path(__file__).resolve().parents[1]
-    path = pathlib.Path(tempfile.mkdtemp(prefix="spark-llm-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(path, "w") as file:
-        for module in sorted(package.rglob("*.py")):
-            file.write(module, module.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(path))
-    _shipped.add(spark.sparkContext.applicationId)
+    with _shipping:
+        if spark.sparkContext.applicationId in _shipped:
+            return
+        package = pathlib.Path(__file__).resolve().parents[1]
+        path = pathlib.Path(tempfile.mkdtemp(prefix="spark-llm-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(path, "w") as file:
+            for module in sorted(package.rglob("*.py")):
+                file.write(module, module.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(path))
+        _shipped.add(spark.sparkContext.applicationId)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
