@@ -19,8 +19,10 @@ Only trees of hashes are exchanged between tasks, never pages: references are
 constants of a host are at most the texts of its references. Pages that are equal in
 all texts vote once, so copies of a page don't make it a template.
 
-Long lists of children are first cut at those that are the same on both sides and stand there once; of what lies
-between, up to ``PAIRS`` pairs are matched in full, longer stretches in order.
+Lists of children of any length are matched in one way: first those that are the same on both sides and stand there once, then
+what lies between by the largest matching. Its size depends on labels alone, so it is worked out once for each pair of different
+shapes, and children of the same shapes in front are matched as they are. For the rest the time grows with the product of the
+lengths, the memory with one length times the root of the other.
 
 Cases: a null or empty page, and one without an article's text, has an empty text; a null url is a
 host of its own; hosts and layouts with fewer than ``LEAST`` different pages have no constants; repeated rows
@@ -34,8 +36,9 @@ import bisect
 import functools
 import html
 import json
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +50,8 @@ from stepview.llm.shared import col, saved, scope
 
 #: Reference pages of a host; different pages from which on it has a template; share of them that a constant is on.
 REFERENCES, LEAST, SHARE = 4, 8, 0.5
-#: Levels below which elements count as part of the one above, in trees only; levels that make a layout; pairs of children.
-DEEPEST, LAYOUT, PAIRS = 40, 4, 40_000
+#: Levels below which elements count as part of the one above, in trees only; levels that make a layout; sizes that are kept in memory.
+DEEPEST, LAYOUT, KNOWN = 40, 4, 1 << 18
 
 #: Fixed values of HTML: elements that break a text into blocks, those without content, and those whose content isn't markup.
 BLOCKS = frozenset(
@@ -259,63 +262,126 @@ def _anchors(one: list[int], two: list[int]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
-def _stretch(a: list[list], b: list[list]) -> tuple[int, list[tuple[list, list]]]:
-    """Simple tree matching of two lists of nodes."""
-    m, n = len(a), len(b)
-    if m * n > PAIRS:
-        size, pairs = 0, []
-        for x, y in zip(a, b):
-            some, found = align(x, y)
-            size, pairs = size + some, pairs + found
-        return size, pairs
-    found = {}
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(m):
-        row, above = best[i + 1], best[i]
-        for j in range(n):
-            size = max(row[j], above[j + 1])
-            if a[i][0] == b[j][0]:
-                found[i, j] = align(a[i], b[j])
-                size = max(size, above[j] + found[i, j][0])
-            row[j + 1] = size
-    pairs, i, j = [], m, n
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs += found[i, j][1]
-    return best[m][n], pairs
-
-
-def align(a: list, b: list) -> tuple[int, list[tuple[list, list]]]:
-    """Simple tree matching: size of the largest matching that keeps order and levels, and its pairs of nodes.
-
-    Of lists with more than ``PAIRS`` pairs of children, those that are the same and stand once are matched first."""
+class Shapes:
+    """Trees without their texts as numbers, equal ones with equal numbers; sizes of matchings depend on these alone."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[tuple, int] = {}
+        self.wholes: dict[tuple, int] = {}
+        #: Of each number: label, numbers of the children, nodes in all.
+        self.shapes: list[tuple[str, tuple[int, ...], int]] = []
+        self.known: dict[tuple[int, int], int] = {}
+
+    def of(self, node: list) -> tuple[int, int, list, list]:
+        """Number, number of the tree with its texts, node, and its children in this form."""
+        children = [self.of(x) for x in node[2]]
+        below = tuple([x[0] for x in children])
+        number = self.numbers.setdefault((node[0], below), len(self.shapes))
+        if number == len(self.shapes):
+            self.shapes.append((node[0], below, 1 + sum(self.shapes[x][2] for x in below)))
+        whole = self.wholes.setdefault((node[0], tuple(node[1]), tuple([x[1] for x in children])), len(self.wholes))
+        return number, whole, node, children
+
+    def size(self, x: int, y: int) -> int:
+        """Nodes in the largest matching that keeps order and levels."""
+        if x == y:
+            return self.shapes[x][2]
+        if self.shapes[x][0] != self.shapes[y][0]:
+            return 0
+        found = self.known.get((x, y))
+        if found is None:
+            one, two = self.shapes[x][1], self.shapes[y][1]
+            k = _same(one, two)
+            found = 1 + sum(self.shapes[c][2] for c in one[:k])
+            if k < min(len(one), len(two)):
+                row = np.zeros(len(two) - k + 1, np.int32)
+                for row in self._rows(one[k:], self._weights(two[k:]), row):
+                    pass
+                found += int(row[-1])
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            self.known[x, y] = found
+        return found
+
+    def _weights(self, two: Sequence[int]) -> Callable[[int], np.ndarray]:
+        """For a shape, the sizes of its matchings with each of ``two``; worked out once for each pair of different shapes."""
+        kinds, place = np.unique(np.array(two), return_inverse=True)
+        of = functools.cache(lambda x: np.array([self.size(x, y) for y in kinds.tolist()], np.int32))
+        return functools.lru_cache(16)(lambda x: of(x)[place])
+
+    @staticmethod
+    def _rows(one: Sequence[int], weights: Callable[[int], np.ndarray], above: np.ndarray) -> Iterator[np.ndarray]:
+        """Rows of the table of best sizes, from the one below ``above`` on."""
+        for x in one:
+            row = np.zeros_like(above)
+            np.maximum.accumulate(np.maximum(above[1:], above[:-1] + weights(x)), out=row[1:])
+            yield row
+            above = row
+
+    def matched(self, one: Sequence[int], two: Sequence[int]) -> list[tuple[int, int]]:
+        """Places of the pairs of two lists that are matched; of several best ways the one that leaves out what comes last.
+
+        What is the same in front is matched as it is: so does every best way that prefers early places. Of the table
+        for the rest, some rows are kept, and the rows between them worked out again on the way back."""
+        k = _same(one, two)
+        pairs = [(i, i) for i in range(k)]
+        i, j = len(one) - k, len(two) - k
+        if not i or not j:
+            return pairs
+        rest, weights = one[k:], self._weights(two[k:])
+        step = math.isqrt(i) + 1
+        row = np.zeros(j + 1, np.int32)
+        marks = [row]
+        for n, row in enumerate(self._rows(rest, weights, row), 1):
+            if n % step == 0:
+                marks.append(row)
+        while i and j:
+            first = (i - 1) // step * step
+            best = [marks[first // step], *self._rows(rest[first:i], weights, marks[first // step])]
+            while i > first and j:
+                if best[i - first][j] == best[i - first - 1][j]:
+                    i -= 1
+                elif best[i - first][j] == best[i - first][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    pairs.append((k + i, k + j))
+        return pairs
+
+    def pairs(self, a: tuple[int, int, list, list], b: tuple[int, int, list, list]) -> Iterator[tuple[list, list]]:
+        """Pairs of nodes of two trees whose labels are the same."""
+        yield a[2], b[2]
+        one, two, i, j = a[3], b[3], 0, 0
+        for p, q in [*_anchors([x[1] for x in one], [x[1] for x in two]), (len(one), len(two))]:
+            for k, n in self.matched([x[0] for x in one[i:p]], [x[0] for x in two[j:q]]):
+                yield from self.pairs(one[i + k], two[j + n])
+            if p < len(one):
+                yield from self.pairs(one[p], two[q])
+            i, j = p + 1, q + 1
+
+
+def _same(one: Sequence[int], two: Sequence[int]) -> int:
+    """How many are the same in front."""
+    return next((k for k, (x, y) in enumerate(zip(one, two)) if x != y), min(len(one), len(two)))
+
+
+def align(a: list, b: list, shapes: Shapes | None = None) -> tuple[int, list[tuple[list, list]]]:
+    """Simple tree matching: pairs of nodes that keep order and levels, and their number.
+
+    Children that are the same and stand once are matched first; between them the largest matching counts."""
     if a[0] != b[0]:
         return 0, []
-    if len(a[2]) * len(b[2]) <= PAIRS:
-        size, pairs = _stretch(a[2], b[2])
-        return size + 1, [(a, b), *pairs]
-    one, two = ([hash(json.dumps(x)) for x in node[2]] for node in (a, b))
-    size, pairs, i, j = 1, [(a, b)], 0, 0
-    for p, q in [*_anchors(one, two), (len(one), len(two))]:
-        some, found = _stretch(a[2][i:p], b[2][j:q])
-        size, pairs = size + some, pairs + found
-        if p < len(one):
-            some, found = align(a[2][p], b[2][q])
-            size, pairs = size + some, pairs + found
-        i, j = p + 1, q + 1
-    return size, pairs
+    shapes = shapes or Shapes()
+    pairs = list(shapes.pairs(shapes.of(a), shapes.of(b)))
+    return len(pairs), pairs
 
 
 def shared_texts(tree: list, references: list[list]) -> set[int]:
     """Texts that stand at aligned nodes of a page and of a reference."""
     out: set[int] = set()
+    shapes = Shapes()
     for other in references:
-        for x, y in align(tree, other)[1]:
+        for x, y in align(tree, other, shapes)[1]:
             if x[1] and y[1]:
                 out.update(set(x[1]).intersection(y[1]))
     return out

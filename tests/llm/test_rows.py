@@ -307,6 +307,51 @@ def test_alignment():
     assert wrapper.align(a, leaf("x")) == (0, [])
 
 
+def best_matching(a, b):
+    """Size of the largest matching, by the textbook's table."""
+    if a[0] != b[0]:
+        return 0
+    table = [[0] * (len(b[2]) + 1) for _ in range(len(a[2]) + 1)]
+    for i, x in enumerate(a[2]):
+        for j, y in enumerate(b[2]):
+            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + best_matching(x, y))
+    return 1 + table[-1][-1]
+
+
+def test_alignment_of_long_lists():
+    """Over 200 times 200 children without a text in common are matched like short lists."""
+    some = random.Random(1)
+
+    def tree(depth, keys):
+        return [some.choice("abc"), [some.choice(keys)], [tree(depth - 1, keys) for _ in range(some.randrange(3))] if depth else []]
+
+    for m, n in ((3, 4), (230, 240), (260, 170)):
+        a, b = ["r", [], [tree(1, [1, 2]) for _ in range(m)]], ["r", [], [tree(1, [3, 4]) for _ in range(n)]]
+        size, pairs = wrapper.align(a, b)
+        assert size == len(pairs) == best_matching(a, b)
+        # Pairs keep order.
+        places = [{id(x): i for i, x in enumerate(t[2])} for t in (a, b)]
+        top = [(places[0][id(x)], places[1][id(y)]) for x, y in pairs if id(x) in places[0]]
+        assert sorted(top) == sorted(zip(*map(sorted, zip(*top))))
+
+
+def test_alignment_does_not_depend_on_length():
+    """A few children at the end, where 300 times 300 others in front are the same or are missing."""
+    leaf = lambda x, *keys: [x, list(keys), []]
+    one = [leaf("b", 8), leaf("a", 1), leaf("b", 2), leaf("c", 3)]
+    two = [leaf("a", 1), leaf("b", 9), leaf("a", 4), leaf("b", 2)]
+    front = [leaf("de"[i % 2], 1000 + i) for i in range(300)]
+    assert wrapper.shared_texts(["r", [], one], [["r", [], two]]) == {1, 2}
+    assert wrapper.shared_texts(["r", [], front + one], [["r", [], front + two]]) == {1, 2, *range(1000, 1300)}
+
+
+def test_long_lists_of_one_page():
+    """Blocks without a text in common, the same shapes in front or not."""
+    for n, front in ((30_000, []), (8_000, [["ul", [], []]])):
+        one, two = ([[("p", "h2")[i % 2], [i + k], []] for i in range(n)] for k in (0, n))
+        assert wrapper.align(["r", [], one], ["r", [], front + two])[0] == n + 1
+
+
 @pytest.mark.parametrize(
     "body",
     [
