@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from stepview.functions import paths
 from stepview.functions.natural import natural_key
 from stepview.operators.prefix import prefix_join
-from stepview.operators.ranking import materialize, rank
+from stepview.operators.ranking import materialize, rank, spread
 
 PARTICIPANT = ["source", "participant"]
 
@@ -91,16 +91,18 @@ def _with_shifted(files: DataFrame, *carried: str) -> DataFrame:
     """Each row twice: under its own step and, with ``own`` false, under the next.
 
     Grouping the result replaces the self-join on ``step_num - 1``: one scan,
-    one shuffle, combined on the map side.
+    one shuffle. Only files that are alike but for their directory's name share
+    a key, so nothing is combined in front of it.
     """
     num = F.col("step_num")
     marks = F.array(
         F.struct(num.alias("step_num"), F.lit(True).alias("own")),
         F.struct(F.try_add(num, F.lit(1)).alias("step_num"), F.lit(False).alias("own")),
     )
-    return files.select(*PARTICIPANT, *carried, F.explode(marks).alias("_at")).select(
+    both = files.select(*PARTICIPANT, *carried, F.explode(marks).alias("_at")).select(
         *PARTICIPANT, *carried, "_at.step_num", "_at.own"
     )
+    return spread(both, *PARTICIPANT, "step_num")
 
 
 def with_previous(files: DataFrame) -> DataFrame:

@@ -51,6 +51,15 @@ def delete_at_end(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over ``spark.sql.shuffle.partitions`` tasks, for grouping by rows that are nearly all different.
+
+    Partial sums of such rows only fill the memory in front of the shuffle, and of what is behind it AQE puts up to its
+    advisory size into one task, of small rows many millions. A number that is asked for stays as it is.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _cut(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: Column, tag: str, partitions: int | None
 ) -> tuple[DataFrame, DataFrame]:

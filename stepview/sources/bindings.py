@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepview.operators import png
-from stepview.operators.ranking import rank
+from stepview.operators.ranking import rank, spread
 
 # The channels in index order, those that hold data, and the
 # shape of an epoch in one embedding vector.
@@ -47,7 +47,7 @@ def person(number: str) -> Column:
 def step_files(spark: SparkSession, sf: str) -> DataFrame:
     # Distinct before the texts are put together: the same rows, cheaper to compare.
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.lower("l_returnflag").alias("flag"))
-    return lines.distinct().select(
+    return spread(lines, *lines.columns).distinct().select(
         site("l_orderkey").alias("source"),
         person("l_orderkey").alias("participant"),
         F.col("l_linenumber").cast("bigint").alias("step_num"),

@@ -4,7 +4,9 @@ import re
 
 import pytest
 
+from stepview.operators import catalog
 from stepview.plans.queries import QUERIES
+from stepview.sources import bindings
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,3 +50,11 @@ def test_whole_groups_are_not_gathered_by_windows(spark):
         plan = physical(QUERIES[name](spark, SF))
         big = [line for line in plan.splitlines() if "Window [" in line and "_before" not in line]
         assert big and all("_chunk" in line.split("windowspecdefinition")[1] for line in big)
+
+
+def test_rows_that_differ_stay_dealt(spark):
+    """Of rows that are nearly all different AQE doesn't put more into a task than the set number of tasks makes of them."""
+    files = spark.range(1000).selectExpr("'s' AS source", "concat('P', id) AS participant", "id % 9 AS step_num", "concat(id % 9, '_a') AS step_dir")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for found in (catalog.with_previous(files), catalog.resolved_steps(files), bindings.step_files(spark, SF)):
+        assert found.rdd.getNumPartitions() == n
