@@ -156,8 +156,9 @@ def step_lookup(requests: DataFrame, files: DataFrame, present: DataFrame | None
     files there are now, where ``files`` is an older catalogue.
     """
     if present is not None:
-        here = present.select(*PARTICIPANT, "step_dir", F.lit(True).alias("_here")).distinct()
-        files = files.join(here, [*PARTICIPANT, "step_dir"], "left").select(
+        keys = [*PARTICIPANT, "step_dir"]
+        here = spread(present.select(*keys), *keys).distinct().withColumn("_here", F.lit(True))
+        files = spread(files, *keys).join(here, keys, "left").select(
             *PARTICIPANT, "step_num", "step_dir", F.coalesce("_here", F.lit(False)).alias("present")
         )
     asked = requests.withColumn("step_num", paths.text_to_int(F.col("step_text")))
