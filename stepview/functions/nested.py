@@ -1,13 +1,15 @@
 """Values nested to any depth: finding and replacing the texts below named fields.
 
-The expressions are built by walking the type: structs field by field, arrays element by element, maps by their values. A
-text counts if it is in a field of one of the given names, or anywhere below such a field.
+Finding is an expression built by walking the type: structs field by field, arrays element by element, maps by their values.
+Replacing walks the Arrow arrays of a batch in the same way. A text counts if it is in a field of one of the given names, or anywhere below such a field.
 """
 
 from __future__ import annotations
 
 from collections.abc import Collection
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,15 +32,32 @@ def texts(value: Column, kind: T.DataType, names: Collection[str], named: bool =
     return None
 
 
-def replaced(value: Column, kind: T.DataType, names: Collection[str], by: Column, named: bool = False) -> Column:
-    """``value`` with every text that counts looked up in the map ``by``; NULL where it is not in there."""
+def replaced(values: pa.Array, kind: T.DataType, names: Collection[str], rows: np.ndarray, known: list[dict[str, str]], named: bool = False) -> pa.Array:
+    """``values`` with every text that counts looked up in the table of its row; NULL where it is not in there.
+
+    ``rows`` has the row that each value belongs to. A look-up takes the same time however many texts a row has."""
     if isinstance(kind, T.StringType):
-        return by[value] if named else value
-    if texts(F.lit(None), kind, names, named) is None:
-        return value
+        if not named:
+            return values
+        return pa.array([None if x is None else known[r].get(x) for r, x in zip(rows.tolist(), values.to_pylist())], pa.string())
     if isinstance(kind, T.StructType):
-        fields = [replaced(value[f.name], f.dataType, names, by, named or f.name in names).alias(f.name) for f in kind.fields]
-        return F.when(value.isNotNull(), F.struct(*fields))
+        fields = [replaced(v, f.dataType, names, rows, known, named or f.name in names) for v, f in zip(values.flatten(), kind.fields)]
+        return pa.StructArray.from_arrays(fields, names=kind.names, mask=values.is_null()) if fields else values
     if isinstance(kind, T.ArrayType):
-        return F.transform(value, lambda x: replaced(x, kind.elementType, names, by, named))
-    return F.transform_values(value, lambda _, x: replaced(x, kind.valueType, names, by, named))
+        ends, within = _spread(values, rows)
+        return pa.ListArray.from_arrays(ends, replaced(values.flatten(), kind.elementType, names, within, known, named))
+    if isinstance(kind, T.MapType):
+        ends, within = _spread(values, rows)
+        begin, n = values.offsets[0].as_py(), len(within)
+        items = replaced(values.items.slice(begin, n), kind.valueType, names, within, known, named)
+        return pa.MapArray.from_arrays(ends, values.keys.slice(begin, n), items)
+    return values
+
+
+def _spread(values: pa.Array, rows: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Offsets of lists or maps, null where they are null, and the row of each of their elements."""
+    offsets = values.offsets.to_numpy()
+    counts = np.diff(offsets)
+    null = values.is_null().to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    return pa.array(ends, pa.int32(), mask=np.append(null, False)), np.repeat(rows, counts)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stepview.functions import nested, paths
 from stepview.functions.natural import natural_key
@@ -223,6 +228,21 @@ def nested_sets(tree: DataFrame) -> DataFrame:
     ranges = F.collect_list(F.when(F.col("item_kind") == "chs", F.struct("pos", "ch_start", "ch_end", "name", "rel_path")))
     chs = F.transform(F.array_sort(ranges), lambda r: r.dropFields("pos"))
     bits = shown.groupBy(*SET, "is_rest", "bit").agg(scalp.alias("scalp"), chs.alias("chs"), F.max("rel_path").alias("rel_path"))
+    return _sets(bits)
+
+
+def nested_items(items: DataFrame) -> DataFrame:
+    """The same from ``classified`` rows: no positions are needed where the images of a set are brought together anyway."""
+    # Written first: grouped as they come from the prefix join, all sets of a participant would stay in one task.
+    items = materialize(items.withColumn("is_rest", _is_rest()), "items")
+    order = ("ch_start", "ch_end", "name", "rel_path")
+    ranges = F.collect_list(F.when(F.col("item_kind") == "chs", F.struct(*order)))
+    bits = items.groupBy(*SET, "is_rest", "bit").agg(_last("scalp").alias("_scalp"), ranges.alias("chs"), _last("rest").alias("_rest"))
+    scalp = F.when(F.col("_scalp").isNotNull(), F.struct(F.col("_scalp.name").alias("name"), F.col("_scalp.rel_path").alias("rel_path")))
+    return _sets(bits.select(*SET, "is_rest", "bit", scalp.alias("scalp"), F.array_sort("chs").alias("chs"), F.col("_rest.rel_path").alias("rel_path")))
+
+
+def _sets(bits: DataFrame) -> DataFrame:
     group = F.when(~F.col("is_rest"), F.struct("bit", F.struct("scalp", "chs")))
     other = F.when(F.col("is_rest"), F.struct("bit", "rel_path"))
     sets = bits.groupBy(*SET).agg(F.collect_list(group).alias("groups"), F.collect_list(other).alias("rest"))
@@ -241,7 +261,21 @@ def encode_nested(rows: DataFrame, columns: list[str], encoded: DataFrame, keys:
     kind = rows.select(*columns).schema
     wanted = rows.select("_row", *keys, F.explode(F.array_distinct(nested.texts(whole, kind, names))).alias("rel_path"))
     known = wanted.join(encoded.select(*keys, "rel_path", "encoded"), [*keys, "rel_path"])
-    known = known.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("rel_path", "encoded"))).alias("_known"))
-    by = F.coalesce("_known", F.create_map().cast("map<string,string>"))
-    out = {c: nested.replaced(F.col(c), rows.schema[c].dataType, names, by, c in names) for c in columns}
-    return rows.join(known, "_row", "left").withColumns(out).drop("_row", "_known")
+    known = known.groupBy("_row").agg(F.collect_list(F.struct("rel_path", "encoded")).alias("_known"))
+    both = rows.join(known, "_row", "left").drop("_row")
+    n = len(both.columns) - 1
+    schema = T.StructType(both.schema.fields[:n])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                tables = [dict(zip(*map(pa.Array.to_pylist, x.values.flatten()))) if x.is_valid else {} for x in part.column(n)]
+                out = []
+                for field, value in zip(schema.fields, part.columns[:n], strict=True):
+                    if field.name in columns:
+                        value = nested.replaced(value, field.dataType, names, np.arange(len(value)), tables, field.name in names)
+                    out.append(value)
+                yield pa.RecordBatch.from_arrays(out, names=schema.names)
+
+    return both.toDF(*[f"c{i}" for i in range(n + 1)]).mapInArrow(run, schema)

@@ -492,7 +492,7 @@ def qc_nested(spark, sf):
     """The drill-down as nested values, with every path in them replaced by content, and taken apart again."""
     items = qc.classified(b.qc_files(spark, sf), b.qc_participants(spark, sf))
     content = b.qc_files(spark, sf).withColumn("encoded", labels.base64_text(F.encode("rel_path", "UTF-8")))
-    sets = qc.encode_nested(qc.nested_sets(qc.qc_tree(items)), ["groups", "rest"], content, ["source"])
+    sets = qc.encode_nested(qc.nested_items(items), ["groups", "rest"], content, ["source"])
     ranges = F.array_join(F.transform("value.chs", lambda c: F.concat_ws(":", c["ch_start"], c["ch_end"], c["rel_path"])), " ")
     groups = sets.select(*qc.SET, F.explode("groups")).select(
         *qc.SET, F.lit(False).alias("is_rest"), F.col("key").alias("bit"), F.col("value.scalp.name").alias("name"), F.col("value.scalp.rel_path").alias("shown"), ranges.alias("ranges")

@@ -2,6 +2,7 @@
 
 import base64
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -173,3 +174,16 @@ def test_nested_values_of_any_depth(spark):
     found = df.select("n", nested.texts(F.struct("a", "rest"), kind, ("rel_path", "rest")).alias("t")).collect()
     assert {r.n: sorted(r.t) for r in found} == {1: ["gone", "p1", "p2", "p3"], 2: [], 3: ["p1"]}
     assert nested.texts(F.lit(None), T.StructType([T.StructField("x", T.LongType())]), ("x",)) is None
+
+
+def test_many_texts_in_one_row_and_many_rows(spark):
+    """100,000 texts of one row are looked up in time that grows with their number, not its square; 600 rows are cut in slices."""
+    encoded = spark.range(100_000).select(F.lit("s").alias("source"), F.concat(F.lit("p"), F.col("id")).alias("rel_path"), F.concat(F.lit("E"), F.col("id")).alias("encoded"))
+    pairs = encoded.select(F.struct(F.concat(F.lit("k"), F.substring("rel_path", 2, 9)), "rel_path").alias("e"))
+    one = pairs.agg(F.map_from_entries(F.collect_list("e")).alias("rest")).withColumn("source", F.lit("s"))
+    begun = time.perf_counter()
+    out = qc.encode_nested(one, ["rest"], encoded, ["source"]).select(F.explode("rest")).where("value = concat('E', substring(key, 2))")
+    assert out.count() == 100_000 and time.perf_counter() - begun < 20
+    many = spark.range(600).selectExpr("id", "'s' AS source", "CASE WHEN id % 7 > 0 THEN map(concat('k', id), CASE WHEN id % 3 > 0 THEN concat('p', id) END) END AS rest").coalesce(1)
+    got = {r.id: r.rest for r in qc.encode_nested(many, ["rest"], encoded, ["source"]).collect()}
+    assert got == {i: {f"k{i}": f"E{i}" if i % 3 else None} if i % 7 else None for i in range(600)}
