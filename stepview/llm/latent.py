@@ -25,7 +25,7 @@ Texts of any length are gone through to the end.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,28 +48,67 @@ TAIL = 0.25
 LONG, BITS = 12, 22
 #: Items compared at a time; slices of sums; words searched and windows compared at a time.
 ITEMS, SLICES, SEARCHED, WINDOWS = 4096, 64, 1 << 18, 4096
+#: Bytes of a word whose checksum is taken together with others; bytes of texts gone through at a time.
+FAR, PIECE = 32, 1 << 18
+#: Terms of a stretch of passages that are summed up by a product of matrices, the most common ones.
+DENSE = 256
+#: Bits of words by which a text's share of an item is judged at first; marks of texts held at a time.
+MARKED, MARKS = 18, 1 << 22
 
 #: Letters, digits, ``_`` and whatever isn't ASCII stay; all else divides words.
 _LETTERS = bytes(c if c >= 128 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
 
 
-class _Terms(dict):
-    """Checksums of words; a bounded number is kept."""
-
-    def __missing__(self, word: bytes) -> int:
-        got = zlib.crc32(word)
-        if len(self) < 400_000:
-            self[word] = got
-        return got
-
-
-_terms = _Terms()
+def _checksums() -> tuple[np.ndarray, np.ndarray]:
+    """What a byte adds to the CRC-32 of a word, by its distance from the word's end; checksums of so many zeros."""
+    parts = [[zlib.crc32(bytes([b]) + bytes(far)) ^ zlib.crc32(bytes(far + 1)) for b in range(256)] for far in range(FAR)]
+    parts = np.array(parts, np.uint32)
+    parts[:, 32] = 0
+    return parts.ravel(), np.array([zlib.crc32(bytes(n)) for n in range(FAR + 1)], np.uint32)
+
+
+_PARTS, _ZEROS = _checksums()
+
+
+def _summed(plain: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and checksums of the words of ``plain``, which begins and ends with a blank."""
+    found = np.frombuffer(plain, np.uint8)
+    letter = found != 32
+    edges = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+    begins, ends = edges[::2], edges[1::2]
+    if not len(begins):
+        return begins, np.zeros(0, np.uint32)
+    first, sizes = int(begins[0]), ends - begins
+    # A checksum is the exclusive or of what its bytes add, wherever they stand in front of the end. Blanks add nothing.
+    at = np.repeat((ends - 1).astype(np.int32), np.diff(np.append(begins, len(found)))) - np.arange(first, len(found), dtype=np.int32)
+    at = np.clip(at, 0, FAR - 1, out=at) << 8 | found[first:]
+    out = np.bitwise_xor.reduceat(_PARTS[at], begins - first) ^ _ZEROS[np.minimum(sizes, FAR)]
+    for i in np.flatnonzero(sizes > FAR).tolist():
+        out[i] = zlib.crc32(plain[begins[i] : ends[i]])
+    return begins, out
+
+
+def words_of_all(texts: Iterable[str | None]) -> list[np.ndarray]:
+    """``words_of`` each text; texts are gone through together, about ``PIECE`` bytes at a time."""
+    plain = [(t or "").lower().encode("utf-8", "replace").translate(_LETTERS) for t in texts]
+    stops = np.cumsum([len(x) + 1 for x in plain], dtype=np.int64)
+    whole = b" ".join([b"", *plain, b""])
+    del plain
+    begins, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    begin = 0
+    while begin + 1 < len(whole):
+        end = whole.find(b" ", begin + PIECE)
+        end = end if end >= 0 else len(whole) - 1
+        some, out = _summed(whole[begin : end + 1])
+        begins.append(some + begin)
+        sums.append(out)
+        begin = end
+    return np.split(np.concatenate(sums), np.searchsorted(np.concatenate(begins), stops))[:-1]
 
 
 def words_of(text: str | None) -> np.ndarray:
     """A checksum for each word of the whole text, in lower case and without punctuation."""
-    found = (text or "").lower().encode("utf-8", "replace").translate(_LETTERS).split()
-    return np.fromiter(map(_terms.__getitem__, found), np.uint32, len(found))
+    return words_of_all([text])[0]
 
 
 def worded(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -79,7 +118,7 @@ def worded(docs: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                got = [words_of(x.as_py()).astype("<u4").tobytes() for x in part.column(1)]
+                got = [x.astype("<u4").tobytes() for x in words_of_all(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.binary())], names=["doc_id", "words"])
 
     return docs.select(col(key).cast("bigint").alias("doc_id"), col(text).alias("text")).mapInArrow(run, "doc_id bigint, words binary")
@@ -121,20 +160,52 @@ def document_frequencies(terms: DataFrame) -> tuple[np.ndarray, int]:
     return out[:TERMS], int(out[TERMS])
 
 
+def summed(places: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the ``places`` of the terms in each of ``rows``."""
+    out = places.take(rows[:, 0], axis=0)
+    held = np.empty_like(out)
+    for column in rows.T[1:]:
+        out += places.take(column, axis=0, out=held, mode="clip")
+    return out
+
+
+def scatter(total: np.ndarray, rows: np.ndarray, projected: np.ndarray) -> None:
+    """Add to the row of each term in ``total`` the rows of ``projected`` of the passages that it stands in, as often as it does."""
+    flat = rows.ravel()
+    counts = np.bincount(flat, minlength=TERMS + 1)
+    counts[TERMS] = 0
+    common = np.argpartition(counts, -DENSE)[-DENSE:]
+    slot = np.full(TERMS + 1, DENSE)
+    slot[common] = np.arange(DENSE)
+    slots = slot[rows]
+    times = np.bincount((slots + np.arange(len(rows))[:, None] * (DENSE + 1)).ravel(), minlength=len(rows) * (DENSE + 1))
+    times = times.reshape(len(rows), DENSE + 1)[:, :DENSE].astype(np.float32)
+    total[common] += times.T @ projected
+    # The others in turns, in each of which a term comes up once; none is left for more than len(flat) / DENSE of them.
+    at = np.flatnonzero((slots.ravel() == DENSE) & (flat != TERMS))
+    at = at[np.argsort(flat[at].astype(np.uint16), kind="stable")]
+    term = flat[at]
+    new = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(at) else at
+    turn = np.arange(len(at)) - np.repeat(new, np.diff(np.append(new, len(at))))
+    order = np.argsort(turn.astype(np.uint16), kind="stable")
+    term, passage = term[order], at[order] // rows.shape[1]
+    ends = np.cumsum(np.bincount(turn)) if len(at) else at
+    for begin, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
+        total[term[begin:end]] += projected[passage[begin:end]]
+
+
 def gram_times(terms: DataFrame, weight: np.ndarray, thin: np.ndarray) -> np.ndarray:
     """Transposed passages times passages times ``thin``, summed over all passages."""
     width = thin.shape[1]
-    weighted = np.vstack([thin * weight[:, None], np.zeros(width)]).astype(np.float32)
+    weighted = np.ascontiguousarray(np.vstack([thin * weight[:, None], np.zeros(width)]), np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width, TERMS + 1))
+        total = np.zeros((TERMS + 1, width))
         for batch in batches:
             for rows in passages(batch):
-                projected = np.concatenate([weighted[rows[k : k + 256]].sum(axis=1) for k in range(0, len(rows), 256)])
-                flat = rows.ravel()
-                for c, column in enumerate(np.ascontiguousarray(projected.T, np.float64)):
-                    total[c] += np.bincount(flat, np.repeat(column, PASSAGE), TERMS + 1)
-        parts = np.split(total.T[:TERMS].astype(np.float32), SLICES)
+                projected = np.concatenate([summed(weighted, rows[k : k + 256]) for k in range(0, len(rows), 256)])
+                scatter(total, rows, projected)
+        parts = np.split(total[:TERMS].astype(np.float32), SLICES)
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["slice", "part"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +248,8 @@ def fit(words: DataFrame, rank: int = RANK, seed: int = 0) -> Space:
     keep = np.flatnonzero(values > values[0] * 1e-5)[:rank]
     keep = keep[min(COMMON, len(keep) // 16) :]
     vectors = vectors[:, keep] / np.sqrt(values[keep])
-    return Space(np.vstack([vectors * weight[:, None], np.zeros(len(keep))]).astype(np.float32))
+    # Row by row in memory: rows are looked up by term.
+    return Space(np.ascontiguousarray(np.vstack([vectors * weight[:, None], np.zeros(len(keep))]), np.float32))
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -199,9 +271,11 @@ def near(texts: list[np.ndarray], space: Space, directions: np.ndarray) -> Itera
     for k in range(0, len(text), WINDOWS):
         some, two = begin[k : k + WINDOWS], pair[k : k + WINDOWS]
         low, high = int(some[0]), int(some[-1]) + 2
-        halves = np.concatenate([space.place[rows[i : min(i + 256, high)]].sum(axis=1) for i in range(low, min(high, len(rows)), 256)])
+        halves = np.concatenate([summed(space.place, rows[i : min(i + 256, high)]) for i in range(low, min(high, len(rows)), 256)])
         there = np.where(two, np.minimum(some - low + 1, len(halves) - 1), 0)
-        at, item = np.nonzero(unit(halves[some - low] + halves[there] * two[:, None]) @ directions.T >= COSINE)
+        whole = halves[some - low] + halves[there] * two[:, None]
+        least = COSINE * np.maximum(np.linalg.norm(whole, axis=1, keepdims=True), 1e-12)
+        at, item = np.divmod(np.flatnonzero(whole @ directions.T >= least), len(directions))
         yield text[k + at], number[k + at], item
 
 
@@ -266,6 +340,42 @@ class Items:
     #: Made in the worker, by ``spans``.
     runs: list[Grams] | None = None
     lengths: np.ndarray | None = None
+    #: Place of a word's last bits among those of the items' words; the places of each item's words, and where they begin.
+    place: np.ndarray | None = None
+    places: np.ndarray | None = None
+    starts: np.ndarray | None = None
+
+    def may_hold(self, words: np.ndarray, ends: np.ndarray, text: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """False only for pairs whose text lacks so many words of the item that no common subsequence can be long enough."""
+        if self.place is None:
+            own = [np.unique(w) & np.uint32((1 << MARKED) - 1) for w in self.words]
+            every, places = np.unique(np.concatenate([np.zeros(0, np.uint32), *own]), return_inverse=True)
+            self.place = np.full(1 << MARKED, len(every), np.int32)
+            self.place[every] = np.arange(len(every))
+            self.places, self.starts = places, np.cumsum([0, *map(len, own)])
+            self.lengths = np.array([len(w) for w in self.words], np.int64)
+        width = int(self.place.max()) + 1
+        out = np.zeros(len(text), bool)
+        owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        order = np.argsort(text, kind="stable")
+        many = max(1, MARKS // width)
+        for low in range(0, len(ends), many):
+            stop = int(ends[min(low + many, len(ends)) - 1])
+            first = int(ends[low - 1]) if low else 0
+            mine = order[slice(*np.searchsorted(text[order], [low, low + many]))]
+            if not len(mine):
+                continue
+            marks = np.zeros(min(many, len(ends) - low) * width, bool)
+            marks[(owner[first:stop] - low) * width + self.place[words[first:stop] & np.uint32((1 << MARKED) - 1)]] = True
+            for k in range(0, len(mine), WINDOWS):
+                some = mine[k : k + WINDOWS]
+                sizes = self.starts[item[some] + 1] - self.starts[item[some]]
+                begins = np.cumsum(sizes) - sizes
+                at = np.arange(sizes.sum()) + np.repeat(self.starts[item[some]] - begins, sizes)
+                there = marks[np.repeat((text[some] - low) * width, sizes) + self.places[at]]
+                n = self.lengths[item[some]]
+                out[some] = n - sizes + np.add.reduceat(there, begins, dtype=np.int64) >= SHARE * n
+        return out
 
     def spans(self, words: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """Text, item, begin and end (among all ``words``) of the words of a text that share enough runs with an item."""
@@ -307,13 +417,15 @@ def candidates(texts: list[np.ndarray], space: Space, items: Items) -> dict[int,
     """By text and item, the stretches of words that may hold the item."""
     out: dict[int, dict[int, list[tuple[int, int]]]] = {}
     half = PASSAGE // 2
-    for text, number, item in near(texts, space, items.directions):
-        for t, j, first, last in _runs(text, number, item):
-            n = len(items.words[j])
-            out.setdefault(t, {}).setdefault(j, []).append((first * half - n, last * half + PASSAGE + n))
-    ends = np.cumsum([len(w) for w in texts])
+    words, ends = np.concatenate(texts), np.cumsum([len(w) for w in texts])
+    found = np.concatenate([np.zeros((4, 0), np.int64), *(_runs(*x) for x in near(texts, space, items.directions))], axis=1)
+    pair, which = np.unique(found[0] * len(items.words) + found[1], return_inverse=True)
+    may = items.may_hold(words, ends, *np.divmod(pair, len(items.words)))[which]
+    for t, j, first, last in found[:, may].T.tolist():
+        n = len(items.words[j])
+        out.setdefault(t, {}).setdefault(j, []).append((first * half - n, last * half + PASSAGE + n))
     begins = (ends - [len(w) for w in texts]).tolist()
-    for t, j, begin, end in items.spans(np.concatenate(texts), ends):
+    for t, j, begin, end in items.spans(words, ends):
         out.setdefault(t, {}).setdefault(j, []).append((begin - begins[t], end - begins[t]))
     return out
 
@@ -356,7 +468,7 @@ def leaks(texts: list[np.ndarray], space: Space, items: Items) -> list[list[tupl
     return out
 
 
-def _runs(text: np.ndarray, number: np.ndarray, item: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+def _runs(text: np.ndarray, number: np.ndarray, item: np.ndarray) -> np.ndarray:
     """Text and item with the first and last of each run of neighbouring windows."""
     order = np.lexsort((number, item, text))
     text, number, item = text[order], number[order], item[order]
@@ -364,7 +476,7 @@ def _runs(text: np.ndarray, number: np.ndarray, item: np.ndarray) -> Iterator[tu
     new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (np.diff(number) > 1)
     starts = np.flatnonzero(new)
     lasts = np.append(starts[1:], len(text)) - 1 if len(starts) else starts
-    yield from zip(text[starts].tolist(), item[starts].tolist(), number[starts].tolist(), number[lasts].tolist(), strict=True)
+    return np.stack([text[starts], item[starts], number[starts], number[lasts]])
 
 
 def _merged(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
@@ -433,7 +545,7 @@ def _clean(docs: DataFrame, items: Items, space: Space, text: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                clean = [not found for found in leaks([words_of(t.as_py()) for t in part.column(place)], space, items)]
+                clean = [not found for found in leaks(words_of_all(part.column(place).to_pylist()), space, items)]
                 yield pa.RecordBatch.from_arrays(part.filter(pa.array(clean, pa.bool_())).columns[:n], names=schema.names)
 
     return map_batches(both, run, schema)
