@@ -77,22 +77,51 @@ def _fragments(path: str) -> Fragments:
     return Fragments(path)
 
 
+def _ids(texts: pa.Array, path: str) -> pa.ListArray:
+    table = _fragments(path)
+    buffers = [table.ids(x) for x in texts.cast(pa.binary()).to_pylist()]
+    ends = np.cumsum([0, *(len(x) // 4 for x in buffers)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(buffers), "<i4")))
+
+
+@functools.cache
+def _tokens(path: str) -> list[str]:
+    with open(path, encoding="utf-8") as file:
+        if json.load(file)["decoder"] is not None:
+            raise ValueError(f"{path}: has a decoder of its own")
+    library = words.load(path)
+    return [library.id_to_token(i) for i in range(library.get_vocab_size())]
+
+
+def _texts(ids: pa.ListArray, path: str) -> pa.Array:
+    tokens = _tokens(path)
+    return pa.array([" ".join(map(tokens.__getitem__, x)) for x in ids.to_pylist()], pa.string())
+
+
 def encode(docs: DataFrame, text: str = "text", into: str = "ids", path: str = TOKENIZER) -> DataFrame:
     """``docs`` with the ids of each whole text, as ARRAY<INT>."""
-    kept = [c for c in docs.columns if c.lower() != into.lower()]
-    both, place, n = beside(docs, kept, text)
-    schema = T.StructType([*both.schema.fields[:n], T.StructField(into, T.ArrayType(T.IntegerType(), False), False)])
+    return _with_ids(docs, text, path, into)
+
+
+def coded(docs: DataFrame, text: str = "text", into: str = "ids", back: str = "decoded", path: str = TOKENIZER) -> DataFrame:
+    """``decode`` of ``encode`` without the text, in one pass: two would keep twice as many workers, each with its tables, beside one another."""
+    return _with_ids(docs, text, path, into, back)
+
+
+def _with_ids(docs: DataFrame, text: str, path: str, into: str, back: str | None = None) -> DataFrame:
+    names = [into] if back is None else [into, back]
+    left_out = {x.lower() for x in names} | ({text.lower()} if back is not None else set())
+    both, place, n = beside(docs, [c for c in docs.columns if c.lower() not in left_out], text)
+    kinds = [T.ArrayType(T.IntegerType(), False), T.StringType()]
+    schema = T.StructType([*both.schema.fields[:n], *(T.StructField(x, kind, False) for x, kind in zip(names, kinds))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _fragments(path)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
-                buffers = [table.ids(x) for x in part.column(place).cast(pa.binary()).to_pylist()]
-                ends = np.cumsum([0, *(len(x) // 4 for x in buffers)], dtype=np.int32)
-                values = pa.array(np.frombuffer(b"".join(buffers), "<i4"))
-                ids = pa.ListArray.from_arrays(pa.array(ends), values)
-                yield pa.RecordBatch.from_arrays([*part.columns[:n], ids], names=schema.names)
+                ids = _ids(part.column(place), path)
+                new = [ids] if back is None else [ids, _texts(ids, path)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *new], names=schema.names)
 
     return map_batches(both, run, schema)
 
@@ -104,26 +133,20 @@ def decode(docs: DataFrame, ids: str = "ids", into: str = "decoded", path: str =
     schema = T.StructType([*both.schema.fields[:-1], T.StructField(into, T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = words.load(path)
-        tokens = [library.id_to_token(i) for i in range(library.get_vocab_size())]
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
-                texts = [" ".join(map(tokens.__getitem__, x)) for x in part.column(part.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], _texts(part.column(part.num_columns - 1), path)], names=schema.names)
 
-    with open(path, encoding="utf-8") as file:
-        if json.load(file)["decoder"] is not None:
-            raise ValueError(f"{path}: has a decoder of its own")
+    _tokens(path)
     return map_batches(both, run, schema)
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = TOKENIZER) -> DataFrame:
     """Per row its key, number of ids, and the hashes of ids and decoded text."""
     plain = docs.select(col(key).alias("doc_id"), col(text).alias("text"))
-    coded = decode(encode(plain, path=path).drop("text"), path=path)
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return coded.select(
+    return coded(plain, path=path).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(joined.cast("binary"), 256).alias("ids_sha256"),
