@@ -18,6 +18,10 @@ more. Texts with the same set are one node from the start.
    blocks of bounded size, inside a task that has the sets of the block and passes on no more links than hold its
    components together. A pair is compared in the first list that it shares.
 
+With ``anchored`` there is a step in front of the hubs: each set also has a SimHash fingerprint, those of all nodes are
+linked by the anchors of ``simhash``, and these links, too, are decided on the whole sets, unless their nodes are in one
+component by then. Anchors reach four bits, which most pairs at 80 percent exceed; the coordinates find the rest, so the components are the same with and without.
+
 Every link is decided on the whole sets. So what is lost is lost in step 1 only, and nothing is linked that is not alike.
 A node is known by 64 bits of hash; different sets with equal hashes are one in 2**64 pairs.
 
@@ -98,23 +102,27 @@ def fingerprints(docs: DataFrame, text: str, into: str, keep: list[str]) -> Data
     return map_batches(both, run, schema)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """Of (``key``, ``text``): ``key``, node ``fp``, number of shingles, signature."""
-    schema = T.StructType([docs.schema["key"], *T.StructType.fromDDL("fp bigint, n bigint, coordinates array<bigint>").fields])
+def signatures(docs: DataFrame, anchored: bool = False) -> DataFrame:
+    """Of (``key``, ``text``): ``key``, node ``fp``, number of shingles, signature; ``anchored``: and the SimHash ``print`` of the set."""
+    more, printed = ", print bigint" if anchored else "", simhash.majority
+    schema = T.StructType([docs.schema["key"], *T.StructType.fromDDL("fp bigint, n bigint, coordinates array<bigint>" + more).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                fps, sizes, values = [], [], []
+                fps, sizes, values, prints = [], [], [], []
                 for x in part.column(1).cast(pa.binary()):
                     found = _set(x.as_py())
                     fps.append(_node(found))
                     sizes.append(len(found))
                     values.append(signature(found).view(np.int64) if len(found) else np.zeros(0, np.int64))
+                    if anchored:
+                        prints.append(printed(found))
                 ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *values])))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), lists], names=schema.names)
+                last = [pa.array(np.array(prints, np.uint64).view(np.int64))] if anchored else []
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), lists, *last], names=schema.names)
 
     return docs.select("key", "text").mapInArrow(run, schema)
 
@@ -276,39 +284,64 @@ def compared(open_lists: DataFrame, nodes: DataFrame, found: DataFrame, percent:
     return carried.groupBy("list", "i", "j").applyInArrow(_compare(percent), "a bigint, b bigint")
 
 
-def links(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def anchored_pairs(nodes: DataFrame) -> DataFrame:
+    """``a``, ``b``: pairs of nodes with equal prints, or with prints linked by ``simhash``; one node of each print stands for it."""
+    standing = saved(nodes.groupBy("print").agg(F.min("fp").alias("a")), "prints")
+    equal = nodes.join(standing, "print").where("fp <> a").select("a", F.col("fp").alias("b"))
+    one, two = (standing.select(F.col("print").alias(f"print_{k}"), F.col("a").alias(k)) for k in "ab")
+    met = simhash.links(standing.select("print")).toDF("print_a", "print_b")
+    return equal.unionByName(met.join(two, "print_b").join(one, "print_a").select("a", "b"))
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (``a``, ``b``) whose nodes are in different components."""
+    for k in "ab":
+        pairs = pairs.join(roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")), k, "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def links(nodes: DataFrame, docs: DataFrame, percent: int, anchored: bool = False) -> DataFrame:
     """``a``, ``b``: nodes whose links connect all that are alike."""
     placed = saved(members(saved(places(nodes, percent), "places")), "members")
     found = saved(sets(docs, placed.select("fp").distinct().join(nodes.select("fp", "first"), "fp")), "sets")
     # At first each node is compared with the best of its hubs only.
     hubs = _hubs(placed.withColumn("root", F.col("fp")))
     best = placed.join(hubs, "list").where("fp <> hub").groupBy("fp").agg(F.max(F.struct("hub_weight", "hub")).alias("top"))
-    tried = saved(best.select(F.col("top.hub").alias("a"), F.col("fp").alias("b")), "first")
+    first = best.select(F.col("top.hub").alias("a"), F.col("fp").alias("b"))
+    if anchored:
+        # A large group has several links a node: one each is decided now, in the first round those that still join two components.
+        close = saved(anchored_pairs(nodes), "anchored")
+        first = close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(first).distinct()
+    tried = saved(first, "first")
     sure = saved(verified(tried, nodes, found, percent), "sure")
-    for _ in range(ROUNDS):
-        rest = labelled(placed, simhash.components(sure))
+    for k in range(ROUNDS):
+        roots = simhash.components(sure)
+        rest = labelled(placed, roots)
         hubs = _hubs(rest)
-        more = rest.join(hubs, "list").where("root <> hub_root").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
-        more = saved(more.join(tried, ["a", "b"], "left_anti"), "more")
+        more = rest.join(hubs, "list").where("root <> hub_root").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
+        if anchored and k == 0:
+            more = more.unionByName(apart(close, roots))
+        more = saved(more.distinct().join(tried, ["a", "b"], "left_anti"), "more")
         tried = tried.unionByName(more)
         sure = saved(sure.unionByName(verified(more, nodes, found, percent)), "sure")
     rest = labelled(placed, simhash.components(sure))
     return sure.unionByName(compared(rest, nodes, found, percent))
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, anchored: bool = False) -> tuple[DataFrame, DataFrame]:
     """Documents (``key``, ``fp``, ``n``) and nodes (``fp``, ``root``, ``first``: least key of the component)."""
     spark = docs.sparkSession
     docs = docs.select(col(key).alias("key"), col(text).alias("text"))
     path = new_path(spark, "signatures")
-    signatures(docs).write.parquet(path)
+    signatures(docs, anchored).write.parquet(path)
     signed = spark.read.parquet(path)
     rows = saved(signed.select("key", "fp", "n"), "rows")
     with scope(spark):
-        each = signed.groupBy("fp").agg(F.min("key").alias("first"), F.first("n").alias("n"), F.first("coordinates").alias("coordinates"))
+        of_node = ["n", "coordinates", *["print"] * anchored]
+        each = signed.groupBy("fp").agg(F.min("key").alias("first"), *[F.first(c).alias(c) for c in of_node])
         nodes = saved(each, "nodes")
         drop(spark, path)
-        roots = simhash.components(links(nodes, docs, percent))
+        roots = simhash.components(links(nodes, docs, percent, anchored))
         rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left")
         rooted = saved(rooted.select("fp", F.coalesce("root", "fp").alias("root"), "first"), "rooted")
         least = saved(rooted.groupBy("root").agg(F.min("first").alias("least")), "least")
@@ -324,6 +357,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def kept(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+def kept(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, anchored: bool = False) -> DataFrame:
     """``docs`` with one row of each component: a row with the least key, of equal keys any one."""
-    return simhash.kept(docs, key, text, functools.partial(groups, percent=percent), fingerprints)
+    return simhash.kept(docs, key, text, functools.partial(groups, percent=percent, anchored=anchored), fingerprints)

@@ -62,7 +62,11 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
     begins = [0, *ends[: max(0, len(parts) - words)]]
     hashed, view = xxhash.xxh64_intdigest, memoryview(whole)
     last = ends[words - 1 :] or ends[-1:]
-    hashes = np.fromiter((hashed(view[a : b - 1], SEED) for a, b in zip(begins, last)), np.uint64, len(last))
+    return majority(np.fromiter((hashed(view[a : b - 1], SEED) for a, b in zip(begins, last)), np.uint64, len(last)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

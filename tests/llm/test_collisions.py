@@ -10,7 +10,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stepview.llm import collisions, queries
+from stepview.llm import collisions, queries, simhash
 from stepview.llm.shared import ship, table
 
 from .conftest import ROWS, texts
@@ -114,6 +114,59 @@ def test_stage_on_documents(spark):
     assert {r["doc_id"] for r in got.select("doc_id").collect()} == want
 
 
+def test_stage_links_by_anchors(spark, monkeypatch):
+    """The pipeline's stage links what is within four bits by SimHash anchors, confirms it on whole sets and loses no other link."""
+    rng = random.Random(7)
+    docs = []
+    for _ in range(8):
+        base = [f"w{rng.randrange(9000)}" for _ in range(400)]
+        for changes in (0, 1, 2, 30):
+            copy = list(base)
+            for _ in range(changes):
+                copy[rng.randrange(400)] = f"x{rng.randrange(10**6)}"
+            docs.append((len(docs), " ".join(copy)))
+    asked, confirmed, pairs, verified = [], [], collisions.anchored_pairs, collisions.verified
+
+    def spied(nodes):
+        found = pairs(nodes)
+        prints = {r["fp"]: r["print"] % (1 << 64) for r in nodes.collect()}
+        asked.append((prints, [tuple(r) for r in found.select("a", "b").collect()]))
+        return found
+
+    def checked(tried, *rest):
+        held = verified(tried, *rest)
+        confirmed.append([{frozenset(r) for r in x.select("a", "b").collect()} for x in (tried, held)])
+        return held
+
+    monkeypatch.setattr(collisions, "anchored_pairs", spied)
+    monkeypatch.setattr(collisions, "verified", checked)
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, texts(spark, docs), "").collect()}
+    assert got == survivors(docs, 80)
+    ((prints, found),) = asked
+    found = {frozenset(x) for x in found}
+    near = {frozenset((a, b)) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= simhash.REACH}
+    assert len(near) >= 8 and found <= near
+
+    def parts(edges):
+        of = {a: {a} for a in prints}
+        for a, b in map(tuple, edges):
+            both = of[a] | of[b]
+            of.update(dict.fromkeys(both, both))
+        return {frozenset(x) for x in of.values()}
+
+    assert parts(found) == parts(near)
+    # Each is decided on whole sets, or its nodes are in one component without it.
+    (first, sure), (second, _) = confirmed[:2]
+    assert first & found and all(x in first | second or any(x <= p for p in parts(sure)) for x in found)
+
+
+def test_equal_prints_of_different_sets_are_pairs(spark):
+    rows = [(1, 5), (2, 5), (3, 5), (4, 7), (5, -1)]
+    found = collisions.anchored_pairs(spark.createDataFrame(rows, "fp bigint, print bigint"))
+    assert {tuple(r) for r in found.where("4 not in (a, b)").collect()} == {(1, 2), (1, 3)}
+    assert {frozenset(r) for r in found.where("4 in (a, b)").collect()} == {frozenset((1, 4))}
+
+
 def test_rows(spark, odd, none):
     ship(spark)
     out = collisions.near_duplicates(odd).collect()
