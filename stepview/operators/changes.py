@@ -21,6 +21,8 @@ def changes(old: DataFrame, new: DataFrame, keys: list[str] = ENTRY, state: list
     """``keys`` and ``change`` (``added``, ``removed``, ``modified``) of all rows that differ; keys are unique in each listing."""
     before, after = (t.select(*keys, F.struct(*state).alias(n)) for t, n in ((old, "_old"), (new, "_new")))
     before, after = before.withColumn("_in", F.lit(True)), after.withColumn("_in", F.lit(True))
+    # Columns of their own, so that a listing can be compared with itself.
+    after = after.select(*[F.col(c).alias(c) for c in after.columns])
     same = functools.reduce(Column.__and__, [before[k].eqNullSafe(after[k]) for k in keys])
     change = (
         F.when(before["_in"].isNull(), "added")
