@@ -301,7 +301,7 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame, docs: DataFrame, percent: int, anchored: bool = False) -> DataFrame:
-    """``a``, ``b``: nodes whose links connect all that are alike."""
+    """``a``, ``b``: links and shortcuts along them that connect all that are alike."""
     placed = saved(members(saved(places(nodes, percent), "places")), "members")
     found = saved(sets(docs, placed.select("fp").distinct().join(nodes.select("fp", "first"), "fp")), "sets")
     # At first each node is compared with the best of its hubs only.
@@ -323,9 +323,12 @@ def links(nodes: DataFrame, docs: DataFrame, percent: int, anchored: bool = Fals
             more = more.unionByName(apart(close, roots))
         more = saved(more.distinct().join(tried, ["a", "b"], "left_anti"), "more")
         tried = tried.unionByName(more)
-        sure = saved(sure.unionByName(verified(more, nodes, found, percent)), "sure")
-    rest = labelled(placed, simhash.components(sure))
-    return sure.unionByName(compared(rest, nodes, found, percent))
+        # What is connected already goes on as stars, which later rounds need not find again.
+        stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        sure = saved(stars.unionByName(verified(more, nodes, found, percent)), "sure")
+    roots = simhash.components(sure)
+    stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return stars.unionByName(compared(labelled(placed, roots), nodes, found, percent))
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, anchored: bool = False) -> tuple[DataFrame, DataFrame]:

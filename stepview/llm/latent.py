@@ -194,12 +194,29 @@ def scatter(total: np.ndarray, rows: np.ndarray, projected: np.ndarray) -> None:
         total[term[begin:end]] += projected[passage[begin:end]]
 
 
-def gram_times(terms: DataFrame, weight: np.ndarray, thin: np.ndarray) -> np.ndarray:
-    """Transposed passages times passages times ``thin``, summed over all passages."""
-    width = thin.shape[1]
-    weighted = np.ascontiguousarray(np.vstack([thin * weight[:, None], np.zeros(width)]), np.float32)
+def stretches(width: int, seed: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The random matrix (``TERMS`` x ``width``), ``SLICES`` equal parts one after another: the row that each begins with, and its rows."""
+    rng, size = np.random.default_rng(seed), TERMS // SLICES
+    for at in range(0, TERMS, size):
+        yield at, rng.standard_normal((size, width))
+
+
+def upright(width: int, seed: int) -> np.ndarray:
+    """What makes the columns of the random matrix orthonormal, if it is multiplied with this from the right."""
+    gram = sum(part.T @ part for _, part in stretches(width, seed))
+    return np.linalg.inv(np.linalg.cholesky(gram)).T
+
+
+def gram_times(terms: DataFrame, weight: np.ndarray, turn: np.ndarray, seed: int) -> DataFrame:
+    """Transposed passages times passages times the random matrix made orthonormal by ``turn``, summed over all passages: ``slice``, ``part``.
+
+    Tasks make the matrix themselves, and the sums stay in a table: the driver has neither."""
+    width = len(turn)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weighted = np.zeros((TERMS + 1, width), np.float32)
+        for at, part in stretches(width, seed):
+            weighted[at : at + len(part)] = (part @ turn) * weight[at : at + len(part), None]
         total = np.zeros((TERMS + 1, width))
         for batch in batches:
             for rows in passages(batch):
@@ -213,14 +230,35 @@ def gram_times(terms: DataFrame, weight: np.ndarray, thin: np.ndarray) -> np.nda
         for batch in batches:
             for k, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 sums[k] = sums.get(k, 0) + np.frombuffer(part.as_buffer(), np.float32).astype(np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "part"])
+        size = TERMS // SLICES
+        parts = [x.reshape(size, width) * weight[k * size : (k + 1) * size, None] for k, x in sums.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["slice", "part"])
 
     kind = "slice int, part binary"
-    rows = terms.mapInArrow(run, kind).repartition("slice").mapInArrow(add, kind).collect()
-    out = np.zeros((SLICES, TERMS // SLICES, width))
+    return saved(terms.mapInArrow(run, kind).repartition("slice").mapInArrow(add, kind), "image")
+
+
+def _small(image: DataFrame, turn: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The orthonormal matrix transposed, times ``image``; ``image`` transposed, times itself."""
+    width = len(turn)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            held |= {k: np.frombuffer(x.as_buffer()).reshape(-1, width) for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)}
+        across, own = np.zeros((width, width)), np.zeros((width, width))
+        for k, (_, part) in enumerate(stretches(width, seed) if held else ()):
+            if k in held:
+                across += (part @ turn).T @ held[k]
+                own += held[k].T @ held[k]
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (across, own)], names=["across", "own"])
+
+    rows = image.mapInArrow(run, "across binary, own binary").toLocalIterator()
+    across, own = np.zeros((width, width)), np.zeros((width, width))
     for r in rows:
-        out[r["slice"]] += np.frombuffer(r["part"]).reshape(-1, width)
-    return out.reshape(TERMS, width) * weight[:, None]
+        across += np.frombuffer(r["across"]).reshape(width, width)
+        own += np.frombuffer(r["own"]).reshape(width, width)
+    return across, own
 
 
 @dataclass
@@ -233,23 +271,47 @@ class Space:
 def fit(words: DataFrame, rank: int = RANK, seed: int = 0) -> Space:
     """The latent space of all passages of all texts in a table of ``words``."""
     # A task sends one matrix of sums: few, long tasks rather than one for each file.
-    words = words.select("words").coalesce(4 * words.sparkSession.sparkContext.defaultParallelism)
+    parallel = words.sparkSession.sparkContext.defaultParallelism
+    words = words.select("words").coalesce(4 * parallel)
     frequency, n = document_frequencies(words)
     weight = np.log((1 + n) / (1 + frequency))
-    thin = np.linalg.qr(np.random.default_rng(seed).standard_normal((TERMS, rank + EXTRA)))[0]
-    image = gram_times(words, weight, thin)
-    # Nystrom: with G the Gram matrix, G ~ (G thin) (thin' G thin)^-1 (G thin)', shifted a little to stay definite.
-    shift = np.linalg.norm(image) * 1e-7 + 1e-12
-    image = image + shift * thin
-    small = thin.T @ image
-    root = np.linalg.cholesky((small + small.T) / 2)
-    vectors, values, _ = np.linalg.svd(np.linalg.solve(root, image.T).T, full_matrices=False)
-    values = np.maximum(values**2 - shift, 0)
+    turn = upright(rank + EXTRA, seed)
+    with scope(words.sparkSession):
+        image = gram_times(words, weight, turn, seed).coalesce(parallel)
+        return Space(_placed(image, weight, turn, rank, seed))
+
+
+def _placed(image: DataFrame, weight: np.ndarray, turn: np.ndarray, rank: int, seed: int) -> np.ndarray:
+    """The places of all terms, from the Gram matrix times the orthonormal one."""
+    width = len(turn)
+    across, own = _small(image, turn, seed)
+    # Nystrom: with G the Gram matrix and T thin, G ~ (G T) (T' G T)^-1 (G T)', shifted a little to stay definite.
+    # The driver works on what is ``width`` wide and high: with B = (G T) (T' G T)^-1/2, B'B has the values and one side's vectors.
+    shift = np.sqrt(np.trace(own)) * 1e-7 + 1e-12
+    small = across + shift * np.eye(width)
+    undo = np.linalg.inv(np.linalg.cholesky((small + small.T) / 2)).T
+    squares, vectors = np.linalg.eigh(undo.T @ (own + shift * (across + across.T) + shift**2 * np.eye(width)) @ undo)
+    squares, vectors = np.maximum(squares[::-1], 0), vectors[:, ::-1]
+    values = np.maximum(squares - shift, 0)
     keep = np.flatnonzero(values > values[0] * 1e-5)[:rank]
     keep = keep[min(COMMON, len(keep) // 16) :]
-    vectors = vectors[:, keep] / np.sqrt(values[keep])
+    final = (undo @ vectors[:, keep]) / np.sqrt(squares[keep] * values[keep])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            held |= {k: np.frombuffer(x.as_buffer()).reshape(-1, width) for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)}
+        for k, (at, part) in enumerate(stretches(width, seed) if held else ()):
+            if k in held:
+                found = ((held[k] + shift * (part @ turn)) @ final) * weight[at : at + len(part), None]
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([found.astype(np.float32).tobytes()], pa.binary())], names=["slice", "part"])
+
     # Row by row in memory: rows are looked up by term.
-    return Space(np.ascontiguousarray(np.vstack([vectors * weight[:, None], np.zeros(len(keep))]), np.float32))
+    place = np.zeros((TERMS + 1, len(keep)), np.float32)
+    for r in image.mapInArrow(run, "slice int, part binary").toLocalIterator():
+        at = r["slice"] * (TERMS // SLICES)
+        place[at : at + TERMS // SLICES] = np.frombuffer(r["part"], np.float32).reshape(-1, len(keep))
+    return place
 
 
 def unit(rows: np.ndarray) -> np.ndarray:

@@ -104,6 +104,17 @@ def test_components_of_a_chain_and_a_star(spark):
     assert simhash.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_stars_take_no_round(spark, monkeypatch):
+    rounds = []
+    star = simhash._star
+    monkeypatch.setattr(simhash, "_star", lambda edges, large: rounds.append(large) or star(edges, large))
+    stars = [(1, 1 + i) for i in range(1, 9)] + [(20, 30), (31, 20), (7, 1)]
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(stars, "a bigint, b bigint")).collect()}
+    assert got == {**{i: 1 for i in range(1, 10)}, 20: 20, 30: 20, 31: 20} and not rounds
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame([*stars, (31, 9)], "a bigint, b bigint")).collect()}
+    assert got == {**{i: 1 for i in range(1, 10)}, 20: 1, 30: 1, 31: 1} and rounds
+
+
 def test_rows(spark, odd, none):
     got = sorted(map(tuple, simhash.near_duplicates(odd).collect()), key=repr)
     prints = [plain_fingerprint(t) for _, t, _ in ROWS]
